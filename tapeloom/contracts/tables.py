@@ -21,11 +21,17 @@ class TableContract:
     def column_names(self) -> tuple[str, ...]:
         return tuple(self.columns)
 
-    def create_sql(self, table: str | None = None, location: str | None = None) -> str:
+    def create_sql(
+        self,
+        table: str | None = None,
+        location: str | None = None,
+        period: str | None = None,
+    ) -> str:
         """``CREATE TABLE IF NOT EXISTS`` for a Parquet table.
 
         Parquet tables hold no key constraint; ``operators.quality`` and the
-        store's checked append guard the key.
+        store's checked append guard the key. ``period`` names a text column to
+        partition a partitioned contract by instead of its own column.
         """
         fields = []
         for field in self.schema.fields:
@@ -33,9 +39,13 @@ class TableContract:
             if field.name == "created_at":
                 line += " DEFAULT current_timestamp()"
             fields.append(line)
+        partition_by = self.partition_by
+        if partition_by and period:
+            fields.append(f"`{period}` string")
+            partition_by = (period,)
         sql = f"CREATE TABLE IF NOT EXISTS {table or self.name} ({', '.join(fields)}) USING parquet"
-        if self.partition_by:
-            sql += f" PARTITIONED BY ({', '.join(self.partition_by)})"
+        if partition_by:
+            sql += f" PARTITIONED BY ({', '.join(partition_by)})"
         if location:
             sql += f" LOCATION '{location}'"
         return sql

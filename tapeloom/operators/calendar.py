@@ -11,12 +11,13 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..contracts import fixed_values as fixed
 from ..functions import dates
 
-_LINE = Window.orderBy("trade_date")
+def _line() -> WindowSpec:
+    return Window.orderBy("trade_date")
 
 
 def trading_days(df: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def number_days(calendar: DataFrame) -> DataFrame:
     """``trade_date`` with ``day_no`` from 1 and ``n_days``."""
     return calendar.select(
         "trade_date",
-        F.row_number().over(_LINE).alias("day_no"),
+        F.row_number().over(_line()).alias("day_no"),
         F.count(F.lit(1)).over(Window.partitionBy()).cast("int").alias("n_days"),
     )
 
@@ -36,7 +37,7 @@ def number_days(calendar: DataFrame) -> DataFrame:
 def previous_trade_dates(calendar: DataFrame) -> DataFrame:
     """Every trade date with the one before it."""
     return calendar.select(
-        "trade_date", F.lag("trade_date").over(_LINE).alias("prev_trade_date")
+        "trade_date", F.lag("trade_date").over(_line()).alias("prev_trade_date")
     )
 
 
@@ -69,7 +70,7 @@ def latest_trade_date(
     natural day, each carrying its latest trading day. Moments after the
     calendar's end take its last day, moments before its start get NULL.
     """
-    following = F.lead("trade_date").over(_LINE)
+    following = F.lead("trade_date").over(_line())
     by_day = calendar.select(
         F.col("trade_date").alias("latest_trade_date"),
         F.coalesce(F.date_sub(following, 1), F.col("trade_date")).alias("_until"),

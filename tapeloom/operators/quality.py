@@ -281,9 +281,11 @@ def quality_report(
         "ticker",
         F.col("ticker").alias("value"),
     )
-    repeated = key_ops.duplicate_keys(df).select(
+    # a key may come again in a later file, which then wins; not within one file
+    per_file = df.withColumn("_file", name)
+    repeated = key_ops.duplicate_keys(per_file, ["_file", *key_ops.PANEL_KEY]).select(
         F.lit("repeated_key").alias("rule"),
-        F.lit(None).cast("string").alias("file"),
+        F.col("_file").alias("file"),
         "trade_date",
         "ticker",
         F.col("n_rows").cast("string").alias("value"),

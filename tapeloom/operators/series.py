@@ -13,17 +13,22 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..contracts import fixed_values as fixed
 from ..functions import limits, numbers
 
-SERIES = Window.partitionBy("ticker").orderBy("trade_date")
-_SO_FAR = SERIES.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def by_ticker() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("trade_date")
+
+
+def so_far() -> WindowSpec:
+    return by_ticker().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def previous_close(df: DataFrame, name: str = "pre_close") -> DataFrame:
-    return df.withColumn(name, F.lag("close").over(SERIES))
+    return df.withColumn(name, F.lag("close").over(by_ticker()))
 
 
 def derive_changes(
@@ -60,7 +65,7 @@ def moving_averages(
     if places is None:
         out = {}
         for n in lengths:
-            frame = SERIES.rowsBetween(-(n - 1), Window.currentRow)
+            frame = by_ticker().rowsBetween(-(n - 1), Window.currentRow)
             out[f"{prefix}{n}"] = F.when(
                 F.count(value).over(frame) == n, F.avg(value).over(frame)
             )
@@ -68,15 +73,15 @@ def moving_averages(
     running = df.withColumns(
         {
             "_sum": F.coalesce(
-                F.sum(numbers.scaled(F.col(value), places)).over(_SO_FAR), F.lit(0)
+                F.sum(numbers.scaled(F.col(value), places)).over(so_far()), F.lit(0)
             ),
-            "_seen": F.count(value).over(_SO_FAR),
+            "_seen": F.count(value).over(so_far()),
         }
     )
 
     def average(n: int) -> Column:
-        total = F.col("_sum") - F.lag("_sum", n, 0).over(SERIES)
-        seen = F.col("_seen") - F.lag("_seen", n, 0).over(SERIES)
+        total = F.col("_sum") - F.lag("_sum", n, 0).over(by_ticker())
+        seen = F.col("_seen") - F.lag("_seen", n, 0).over(by_ticker())
         return F.when(seen == n, total / F.lit(float(n * 10**places)))
 
     return running.withColumns({f"{prefix}{n}": average(n) for n in lengths}).drop(
@@ -90,8 +95,8 @@ def board_streak(df: DataFrame, flag: str = "is_limit_up", name: str = "boards")
     The streak is the row's number less the number of the last row without a
     limit-up, which needs no second grouping by island.
     """
-    numbered = df.withColumn("_row", F.row_number().over(SERIES))
-    last_break = F.max(F.when(~F.coalesce(F.col(flag), F.lit(False)), F.col("_row"))).over(_SO_FAR)
+    numbered = df.withColumn("_row", F.row_number().over(by_ticker()))
+    last_break = F.max(F.when(~F.coalesce(F.col(flag), F.lit(False)), F.col("_row"))).over(so_far())
     return numbered.withColumn(
         name,
         F.when(F.col(flag), F.col("_row") - F.coalesce(last_break, F.lit(0))).otherwise(0),

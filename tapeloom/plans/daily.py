@@ -34,16 +34,14 @@ def clean_snapshot(
     ``sequence`` orders the input rows. The compact date of the tushare layout
     must parse unless ``strict_dates`` is off.
     """
-    named = apply_mapping(raw, layout, namespace="snapshot")
+    order = [f"_order{i}" for i in range(len(sequence))]
+    helpers = dict(zip(order, [F.col(c) if isinstance(c, str) else c for c in sequence]))
+    named = apply_mapping(raw.withColumns(helpers), layout, namespace="snapshot")
     if layout == "tushare_daily" and isinstance(named.schema["trade_date"].dataType, T.StringType):
         named = named.withColumn(
             "trade_date", dates.compact_date(F.col("trade_date"), strict_dates)
         )
-    order = [f"_order{i}" for i in range(len(sequence))]
-    helpers = dict(zip(order, [F.col(c) if isinstance(c, str) else c for c in sequence]))
-    shaped = conform(
-        named.withColumns(helpers), DAILY_MARKET_SNAPSHOT, keep=[*order, *keep]
-    )
+    shaped = conform(named, DAILY_MARKET_SNAPSHOT, keep=[*order, *keep])
     typed = quality.canonicalize(shaped)
     latest = keep_last(typed, order).drop(*order)
     return conform(latest, DAILY_MARKET_SNAPSHOT, typed=True, keep=keep)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -35,3 +36,30 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="tapeloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Set session settings (``__`` for a dot) and put the old values back after."""
+    names = {name.replace("__", "."): value for name, value in values.items()}
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def writing_folders(spark: SparkSession, mode: str = "dynamic"):
+    """Settings for writes into many folders.
+
+    Tasks are not merged by size: a long history of small days is bound by the
+    number of files opened, not by bytes. Large days are still split.
+    """
+    return settings(
+        spark,
+        spark__sql__sources__partitionOverwriteMode=mode,
+        spark__sql__adaptive__coalescePartitions__enabled="false",
+    )

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..contracts import fixed_values as fixed
 from ..functions import dates
+from ..session import writing_folders
 
 SNAPSHOT_GLOB = "*_Astock*.csv"
 HISTORY_GLOB = "*.csv"
@@ -102,10 +103,11 @@ def with_file_columns(df: DataFrame) -> DataFrame:
     """Add file name, its date and source, and the row's place in the input.
 
     The sequence orders files by path and rows by their place in the file,
-    however Spark packs files into tasks.
+    however Spark packs files into tasks. A stream cannot number rows; there
+    ``number_rows`` completes the sequence of each batch.
     """
     name = F.col("_metadata.file_name")
-    return df.withColumns(
+    tagged = df.withColumns(
         {
             "file_name": name,
             "file_date": file_date(name),
@@ -113,10 +115,17 @@ def with_file_columns(df: DataFrame) -> DataFrame:
             SEQUENCE: F.struct(
                 F.col("_metadata.file_path").alias("path"),
                 F.col("_metadata.file_block_start").alias("start"),
-                F.monotonically_increasing_id().alias("place"),
             ),
         }
     )
+    return tagged if df.isStreaming else number_rows(tagged)
+
+
+def number_rows(df: DataFrame) -> DataFrame:
+    return df.withColumn(
+        SEQUENCE,
+        F.struct(f"{SEQUENCE}.*", F.monotonically_increasing_id().alias("place")),
+    )
 
 
 def read_mixed_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -150,7 +159,13 @@ def fill_trade_date(df: DataFrame) -> DataFrame:
     return df.withColumn("trade_date", F.coalesce(F.col("trade_date").cast("string"), from_name))
 
 
-def write_raw(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+# folders of a raw landing; leave out the day when days are small
+RAW_FOLDERS = ("year", "day", "source")
+
+
+def write_raw(
+    df: DataFrame, path: str, mode: str = "overwrite", folders: Sequence[str] = RAW_FOLDERS
+) -> None:
     """Land text rows as CSV below year, day and source folders.
 
     The content keeps its own ``trade_date`` text. Only the delivered folders are
@@ -158,51 +173,59 @@ def write_raw(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     lets one busy day or source fill many files.
     """
     day = dates.parse_date(F.col("trade_date"), with_time=True)
-    (
-        df.withColumns({"year": F.year(day), "day": day})
-        .hint("rebalance", "day", "source")
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("year", "day", "source")
-        .option("header", "true")
-        .csv(path)
-    )
-
-
-def read_raw(spark: SparkSession, path: str, source: str) -> DataFrame:
+    parts = {"year": F.year(day), "day": day}
+    foldered = df.withColumns({name: parts[name] for name in folders if name in parts})
+    with writing_folders(df.sparkSession):
+        (
+            foldered.hint("rebalance", *folders)
+            .write.mode(mode)
+            .partitionBy(*folders)
+            .option("header", "true")
+            .csv(path)
+        )
+
+
+def read_raw(
+    spark: SparkSession, path: str, source: str, folders: Sequence[str] = RAW_FOLDERS
+) -> DataFrame:
     """One source's part of a ``write_raw`` landing; layouts differ between sources."""
     reader = (
         spark.read.option("header", "true")
         .option("enforceSchema", "false")
         .option("basePath", path)
     )
-    landed = with_file_columns(reader.csv(f"{path}/year=*/day=*/source={source}"))
-    return landed.withColumns(
-        {"file_date": F.col("day").cast("date"), "file_source": F.col("source")}
-    ).drop("year", "day")
-
-
-def write_canonical(df: DataFrame, path: str) -> None:
-    """Cleaned panel as Parquet by day; the source for a rebuild."""
-    (
-        df.hint("rebalance", "trade_date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("trade_date")
-        .parquet(path)
-    )
+    below = "/".join(f"source={source}" if name == "source" else f"{name}=*" for name in folders)
+    landed = with_file_columns(reader.csv(f"{path}/{below}"))
+    landed = landed.withColumn("file_source", F.col("source"))
+    if "day" in folders:
+        landed = landed.withColumn("file_date", F.col("day").cast("date"))
+    return landed.drop("year", "day")
+
+
+def write_canonical(df: DataFrame, path: str, grain: str = "day") -> None:
+    """Cleaned panel as Parquet by day, or by year when days are small.
+
+    It is the source for a rebuild.
+    """
+    folder = "trade_date"
+    if grain == "year":
+        folder = "year"
+        df = df.withColumn("year", F.year("trade_date"))
+    with writing_folders(df.sparkSession):
+        df.hint("rebalance", folder).write.mode("overwrite").partitionBy(folder).parquet(path)
 
 
 def export_by_ticker(df: DataFrame, path: str) -> None:
     """One folder of CSV per stock; an export, not a layout to query."""
-    (
-        df.hint("rebalance", "ticker")
-        .sortWithinPartitions("ticker", "trade_date")
-        .write.mode("overwrite")
-        .partitionBy("ticker")
-        .option("header", "true")
-        .csv(path)
-    )
+    with writing_folders(df.sparkSession, "static"):
+        (
+            df.hint("rebalance", "ticker")
+            .sortWithinPartitions("ticker", "trade_date")
+            .write.mode("overwrite")
+            .partitionBy("ticker")
+            .option("header", "true")
+            .csv(path)
+        )
 
 
 def load_report(df: DataFrame, files: DataFrame | None = None) -> DataFrame:

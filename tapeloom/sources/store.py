@@ -1,9 +1,10 @@
-"""The persistent store: Parquet catalog tables, the panel partitioned by day.
+"""The persistent store: Parquet catalog tables, the panel partitioned by date.
 
-Parquet has no row updates. Every change is one job that rewrites only the days
-it touches, by dynamic partition overwrite; Spark stages the new files and puts
-them in place when the job commits, so a lost executor or a failed check leaves
-the old day whole. Small unpartitioned tables are written to a fresh folder and
+Parquet has no row updates. Every change is one job that rewrites only the
+partitions it touches, by dynamic partition overwrite; Spark stages the new files
+and puts them in place when the job commits, so a lost executor or a failed check
+leaves the old partition whole. The panel is partitioned by ``trade_date``, or by
+a coarser ``period`` where a day is far smaller than a file should be. Small unpartitioned tables are written to a fresh folder and
 the catalog entry is pointed at it.
 """
 
@@ -11,7 +12,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from contextlib import contextmanager
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from ..contracts import ALL_TABLES, TableContract, get_table
 from ..contracts import fixed_values as fixed
+from ..functions.dates import spark_pattern
 from ..operators import calendar as cal
 from ..operators import quality
 from ..operators.keys import with_keys_in, with_keys_not_in
 from ..operators.shaping import conform, to_type
+from ..session import writing_folders
 
 PANEL = "daily_market_snapshot"
 PHASE = "market_phase"
@@ -31,35 +33,39 @@ NOTES = "notes"
 
 Day = date | str
 
-
-@contextmanager
-def _overwrite_mode(spark: SparkSession, mode: str):
-    name = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(name)
-    spark.conf.set(name, mode)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+PERIOD = "period"
+_PERIOD_FORMATS = {"day": "%Y-%m-%d", "month": "%Y-%m", "year": "%Y"}
 
 
 class Store:
-    def __init__(self, spark: SparkSession, database: str, root: str):
+    """``grain`` sizes the panel's partitions: day, month or year.
+
+    Day suits days of a gigabyte and more. Take month or year when days are
+    small: thousands of folders of a few kilobytes cost far more to list and
+    open than to rewrite with their neighbours.
+    """
+
+    def __init__(self, spark: SparkSession, database: str, root: str, grain: str = "day"):
+        if grain not in _PERIOD_FORMATS:
+            raise ValueError(f"grain must be one of {list(_PERIOD_FORMATS)}, not {grain!r}")
         self.spark, self.database, self.root = spark, database, root.rstrip("/")
+        self.grain = grain
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{self.root}'")
 
+    def _period_of(self, day: Day) -> str:
+        moment = day if isinstance(day, date) else date.fromisoformat(day)
+        return moment.strftime(_PERIOD_FORMATS[self.grain])
+
     # --- catalog -------------------------------------------------------------
 
     def name(self, table: str) -> str:
         return f"{self.database}.{table}"
 
     def create_tables(self, contracts: Sequence[TableContract] = ALL_TABLES) -> None:
+        period = None if self.grain == "day" else PERIOD
         for contract in contracts:
-            self.spark.sql(
-                contract.create_sql(
-                    self.name(contract.name), f"{self.root}/{contract.name}/v0"
-                )
-            )
+            location = f"{self.root}/{contract.name}/v0"
+            self.spark.sql(contract.create_sql(self.name(contract.name), location, period))
 
     def list_tables(self) -> list[str]:
         return sorted(t.name for t in self.spark.catalog.listTables(self.database))
@@ -67,14 +73,28 @@ class Store:
     def describe(self, table: str) -> DataFrame:
         return self.spark.sql(f"DESCRIBE TABLE {self.name(table)}")
 
-    def table(self, table: str) -> DataFrame:
-        """A stored table, contract columns first and in order."""
+    def table(
+        self, table: str, start_date: Day | None = None, end_date: Day | None = None
+    ) -> DataFrame:
+        """A stored table, contract columns first and in order.
+
+        Given dates prune partitions and rows.
+        """
         df = self.spark.table(self.name(table))
+        if PERIOD in df.columns:
+            if start_date:
+                df = df.where(F.col(PERIOD) >= self._period_of(start_date))
+            if end_date:
+                df = df.where(F.col(PERIOD) <= self._period_of(end_date))
+        df = between_days(df, start_date=start_date, end_date=end_date)
         wanted = [c for c in get_table(table).columns if c in df.columns]
-        return df.select(*wanted, *[c for c in df.columns if c not in wanted])
+        return df.select(*wanted, *[c for c in df.columns if c not in (*wanted, PERIOD)])
 
     def days(self, table: str = PANEL) -> DataFrame:
-        """Stored days, from the catalog's partition list: no data is read."""
+        """Stored days. With day partitions they come from the catalog's partition
+        list and no data is read."""
+        if self.grain != "day":
+            return cal.trading_days(self.table(table))
         parts = self.spark.sql(f"SHOW PARTITIONS {self.name(table)}")
         return parts.select(
             F.regexp_extract("partition", "trade_date=([^/]+)", 1)
@@ -91,7 +111,8 @@ class Store:
         start_date: Day | None = None,
         end_date: Day | None = None,
     ) -> DataFrame:
-        return query_panel(self.table(PANEL), trade_date, ticker, start_date, end_date)
+        panel = self.table(PANEL, trade_date or start_date, trade_date or end_date)
+        return query_panel(panel, trade_date, ticker, start_date, end_date)
 
     def phases(
         self,
@@ -111,8 +132,9 @@ class Store:
     def day_before(self, day: Day) -> DataFrame:
         """The slice of the last stored day before ``day``; empty when none is stored."""
         before = self.previous_trade_date(day)
-        panel = self.table(PANEL)
-        return panel.where(F.lit(False) if before is None else F.col("trade_date") == before)
+        if before is None:
+            return self.table(PANEL).where(F.lit(False))
+        return self.table(PANEL, before, before)
 
     # --- writing -------------------------------------------------------------
 
@@ -149,8 +171,11 @@ class Store:
         return [row.trade_date for row in days]
 
     def _slice(self, table: str, days: Sequence[date]) -> DataFrame:
-        """The stored rows that a batch on ``days`` can meet."""
-        stored = self.table(table)
+        """The stored rows of the partitions that a batch on ``days`` touches."""
+        stored = self.spark.table(self.name(table))
+        if days and PERIOD in stored.columns:
+            periods = sorted({self._period_of(day) for day in days})
+            return stored.where(F.col(PERIOD).isin(periods)).drop(PERIOD)
         return stored.where(F.col("trade_date").isin(list(days))) if days else stored
 
     def _put(self, df: DataFrame, table: str, mode: str) -> None:
@@ -159,7 +184,10 @@ class Store:
         contract = get_table(table)
         columns = []
         for field in target.schema.fields:
-            if field.name in df.columns:
+            if field.name == PERIOD:
+                pattern = spark_pattern(_PERIOD_FORMATS[self.grain])
+                value = F.date_format("trade_date", pattern)
+            elif field.name in df.columns:
                 value = to_type(F.col(field.name), df.schema[field.name].dataType, field.dataType)
             else:
                 value = F.lit(None).cast(field.dataType)
@@ -171,10 +199,13 @@ class Store:
             else:
                 self._swap(df, table)
             return
-        # whole days may be far larger than others: rebalance splits them into
-        # files of advisory size instead of one task per day
-        df = df.hint("rebalance", *contract.partition_by).sortWithinPartitions(*contract.key)
-        with _overwrite_mode(self.spark, "static" if mode == "all" else "dynamic"):
+        # some partitions may be far larger than others: rebalance splits them into
+        # files of advisory size instead of one task per partition
+        folders = [PERIOD] if PERIOD in df.columns else list(contract.partition_by)
+        sort = [*folders, *[k for k in contract.key if k not in folders]]
+        df = df.hint("rebalance", *folders).sortWithinPartitions(*sort)
+        # the frame's own session counts: a stream's batches run in a clone of it
+        with writing_folders(df.sparkSession, "static" if mode == "all" else "dynamic"):
             df.write.insertInto(self.name(table), overwrite=mode != "append")
 
     def _swap(self, df: DataFrame, table: str) -> None:
@@ -222,24 +253,35 @@ class Store:
 
     def replace_day(self, df: DataFrame, trade_date: Day) -> int:
         """Make ``df`` the whole content of one day; returns the rows stored for it."""
-        day = F.lit(trade_date).cast("date")
+        day = date.fromisoformat(trade_date) if isinstance(trade_date, str) else trade_date
         batch = self._ready(df, PANEL).where(F.col("trade_date") == day)
         if batch.isEmpty():
-            self.spark.sql(
-                f"ALTER TABLE {self.name(PANEL)} DROP IF EXISTS"
-                f" PARTITION (trade_date = DATE '{trade_date}')"
-            )
+            self._delete_day(day)
             return 0
-        self._profile(batch, get_table(PANEL))
-        self._put(batch, PANEL, "days")
-        return self.snapshot(trade_date=trade_date).count()
+        self.replace_days(batch)
+        return self.table(PANEL, day, day).count()
 
     def replace_days(self, df: DataFrame) -> None:
         """``replace_day`` for every day of the batch in one job."""
         batch = self._ready(df, PANEL)
-        self._profile(batch, get_table(PANEL))
+        days = self._profile(batch, get_table(PANEL))
+        if self.grain != "day":
+            neighbours = self._slice(PANEL, days).where(~F.col("trade_date").isin(days))
+            batch = neighbours.unionByName(batch, allowMissingColumns=True)
         self._put(batch, PANEL, "days")
 
+    def _delete_day(self, day: date) -> None:
+        if self.grain != "day":
+            rest = self._slice(PANEL, [day]).where(F.col("trade_date") != day)
+            if not rest.isEmpty():
+                self._put(rest, PANEL, "days")
+                return
+        column = "trade_date" if self.grain == "day" else PERIOD
+        self.spark.sql(
+            f"ALTER TABLE {self.name(PANEL)} DROP IF EXISTS"
+            f" PARTITION ({column} = '{self._period_of(day)}')"
+        )
+
     def rebuild(self, canonical_path: str) -> None:
         """Make the canonical files the panel's whole content."""
         raw = self.spark.read.parquet(canonical_path)
