@@ -209,12 +209,11 @@ _CLEAN_COLUMNS = ["trade_date", "ticker", "name", "close", "volume"]
 
 def landed_sources(spark, sf_dir):
     """Raw rows per source code, each under its own headers."""
-    raw = adapter.raw(spark, sf_dir).drop("trade_date")
+    raw = adapter.raw(spark, sf_dir)
     out = {}
     for code, renames in (("tushare", _RAW_TO_TUSHARE), ("sina", _RAW_TO_SINA), ("em", _RAW_TO_SINA)):
-        day = dates.parse_date(F.col("trade_date_text"))
         text = "yyyyMMdd" if code == "tushare" else "yyyy-MM-dd"
-        rows = raw.where(F.col("source") == code).withColumn("trade_date", F.date_format(day, text))
+        rows = raw.where(F.col("source") == code).withColumn("trade_date", F.date_format("trade_date", text))
         out[code] = rename_headers(rows, renames)
     return out
 

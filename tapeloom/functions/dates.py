@@ -1,4 +1,4 @@
-"""Date expressions. Parsing goes through ``try_cast``: no exception per bad row."""
+"""Date expressions. Days parse by ``try_cast``, without an exception per bad row."""
 
 from __future__ import annotations
 
@@ -8,11 +8,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..contracts import fixed_values as fixed
-from .tickers import strip
+from .tickers import BLANKS
 
-_DAY_SHAPE = r"^\d{4}([-/])\d{1,2}\1\d{1,2}$"
-_COMPACT_SHAPE = r"^\d{8}$"
-_MOMENT_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?$"
+# dashed, slashed or compact day; groups 1, 3 + 5 and 4 + 6 are year, month, day
+_DAY = r"(\d{4})(?:([-/])(\d{1,2})\2(\d{1,2}){time}|(\d{2})(\d{2}))"
+_TIME = r"(?:[ T](?:[01]?\d|2[0-3]):[0-5]?\d(?::[0-5]?\d(?:\.\d+)?)?)?"
+_COMPACT = r"(\d{4})()(\d{2})(\d{2})()()"
+
+
+def _rewritten(text: Column, shape: str) -> Column:
+    """Dashed form of a text of ``shape`` and NULL for any other.
+
+    One rewrite and one cast: the text appears once in the expression, so nothing
+    is evaluated twice when Catalyst inlines or pushes it down.
+    """
+    whole = rf"(?s)^[{BLANKS}]*{shape}[{BLANKS}]*$|^.*$"
+    return F.regexp_replace(text.cast("string"), whole, "$1-$3$5-$4$6").try_cast("date")
 
 
 def spark_pattern(strftime_format: str, lenient: bool = False) -> str:
@@ -41,19 +52,7 @@ def parse_date(text: Column, from_format: str | None = None, with_time: bool = F
         return F.try_to_timestamp(
             text.cast("string"), F.lit(spark_pattern(from_format, lenient=True))
         ).cast("date")
-    value = strip(text.cast("string"))
-    dashed = F.translate(value, "/", "-")
-    compact = F.concat_ws(
-        "-", F.substring(value, 1, 4), F.substring(value, 5, 2), F.substring(value, 7, 2)
-    )
-    parsed = F.when(value.rlike(_DAY_SHAPE), dashed.try_cast("date")).when(
-        value.rlike(_COMPACT_SHAPE), compact.try_cast("date")
-    )
-    if with_time:
-        parsed = parsed.when(
-            value.rlike(_MOMENT_SHAPE), value.try_cast("timestamp_ntz").cast("date")
-        )
-    return parsed
+    return _rewritten(text, _DAY.replace("{time}", _TIME if with_time else ""))
 
 
 def format_date(
@@ -75,8 +74,7 @@ def format_date(
 
 def compact_date(text: Column, strict: bool = True) -> Column:
     """``yyyyMMdd`` to date; raises on a bad value unless ``strict`` is off."""
-    day = parse_date(text)
-    day = F.when(strip(text.cast("string")).rlike(_COMPACT_SHAPE), day)
+    day = _rewritten(text, _COMPACT)
     if not strict:
         return day
     unread = text.isNotNull() & day.isNull()

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from ..contracts import fixed_values as fixed
 from .tickers import strip
 
-# forms Java reads as numbers although a market file never means them so
-_JAVA_ONLY_NUMBER = r"(?i)(?:[0-9.][fd]$|x)"
+# no numbers: not-a-number, and forms only Java reads as numbers (1.5f, 0x1p3)
+_NO_NUMBER = r"(?is)^(?:[+-]?nan|.*[0-9.][fd]|.*x.*)$"
 
 
 def no_nan(value: Column) -> Column:
@@ -33,13 +33,13 @@ def to_number(value: Column, dtype: T.DataType | None = None, errors: str = "coe
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
         return value.cast("double")
     text = strip(value.cast("string"))
-    number = F.when(~text.rlike(_JAVA_ONLY_NUMBER), text.try_cast("double"))
+    number = F.regexp_replace(text, _NO_NUMBER, "").try_cast("double")
     if errors == "raise":
-        bad = (text != "") & number.isNull()
+        bad = (F.regexp_replace(text, r"(?i)^[+-]?nan$", "") != "") & number.isNull()
         number = F.when(
             bad, F.raise_error(F.concat(F.lit("not a number: "), text)).cast("double")
         ).otherwise(number)
-    return no_nan(number)
+    return number
 
 
 def to_whole(value: Column) -> Column:

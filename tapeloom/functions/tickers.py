@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..contracts import fixed_values as fixed
 
 # what counts as blank around a text value
-_BLANKS = " \t\n\r\f\x0b 　"
+BLANKS = " \t\n\r\f\x0b 　"
 
 
 def strip(text: Column) -> Column:
-    return F.trim(text, F.lit(_BLANKS))
+    return F.trim(text, F.lit(BLANKS))
 
 
 def zero_pad(text: Column, width: int = fixed.TICKER_LENGTH) -> Column:

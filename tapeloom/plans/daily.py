@@ -22,6 +22,26 @@ from ..sources.store import PANEL, Store
 Day = date | str
 
 
+def _typed_rows(
+    raw: DataFrame,
+    layout: str,
+    sequence: Sequence[str | Column],
+    keep: Sequence[str],
+    strict_dates: bool,
+) -> tuple[DataFrame, list[str]]:
+    """Contract columns and types, and the helper columns that order the rows."""
+    order = [f"_order{i}" for i in range(len(sequence))]
+    helpers = dict(zip(order, [F.col(c) if isinstance(c, str) else c for c in sequence]))
+    named = apply_mapping(raw.withColumns(helpers), layout, namespace="snapshot")
+    if layout == "tushare_daily" and isinstance(named.schema["trade_date"].dataType, T.StringType):
+        named = named.withColumn(
+            "trade_date", dates.compact_date(F.col("trade_date"), strict_dates)
+        )
+    shaped = conform(named, DAILY_MARKET_SNAPSHOT, keep=[*order, *keep])
+    typed = quality.canonicalize(shaped)
+    return conform(typed, DAILY_MARKET_SNAPSHOT, typed=True, keep=[*order, *keep]), order
+
+
 def clean_snapshot(
     raw: DataFrame,
     layout: str = fixed.DEFAULT_LAYOUT,
@@ -34,17 +54,8 @@ def clean_snapshot(
     ``sequence`` orders the input rows. The compact date of the tushare layout
     must parse unless ``strict_dates`` is off.
     """
-    order = [f"_order{i}" for i in range(len(sequence))]
-    helpers = dict(zip(order, [F.col(c) if isinstance(c, str) else c for c in sequence]))
-    named = apply_mapping(raw.withColumns(helpers), layout, namespace="snapshot")
-    if layout == "tushare_daily" and isinstance(named.schema["trade_date"].dataType, T.StringType):
-        named = named.withColumn(
-            "trade_date", dates.compact_date(F.col("trade_date"), strict_dates)
-        )
-    shaped = conform(named, DAILY_MARKET_SNAPSHOT, keep=[*order, *keep])
-    typed = quality.canonicalize(shaped)
-    latest = keep_last(typed, order).drop(*order)
-    return conform(latest, DAILY_MARKET_SNAPSHOT, typed=True, keep=keep)
+    typed, order = _typed_rows(raw, layout, sequence, keep, strict_dates)
+    return keep_last(typed, order).drop(*order)
 
 
 def clean_sources(
@@ -52,13 +63,16 @@ def clean_sources(
     sequence: Sequence[str | Column] = (raw_files.SEQUENCE,),
     strict_dates: bool = True,
 ) -> DataFrame:
-    """Clean each landed source by its layout and keep the best source per day."""
-    cleaned = [
-        stamp(clean_snapshot(df, layout_of(code), sequence, strict_dates=strict_dates), source=code)
-        for code, df in landed.items()
-    ]
-    whole = reduce(DataFrame.unionByName, cleaned)
-    return prefer_source(whole).drop("source")
+    """Clean each landed source by its layout and keep the best source per day.
+
+    The choice comes before the dedupe, so only rows that stay are shuffled.
+    """
+    parts = []
+    for code, raw in landed.items():
+        typed, order = _typed_rows(raw, layout_of(code), sequence, (), strict_dates)
+        parts.append(stamp(typed, source=code))
+    chosen = prefer_source(reduce(DataFrame.unionByName, parts))
+    return keep_last(chosen, order).drop(*order, "source")
 
 
 def derive(panel: DataFrame) -> DataFrame:
