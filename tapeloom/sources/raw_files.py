@@ -134,12 +134,13 @@ def read_mixed_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     One extra pass over the text finds each file's header line.
     """
     lines = spark.read.text(list(paths)).select(
-        "value", F.col("_metadata.file_path").alias("path"), "_metadata.file_block_start"
+        "value",
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"),
     )
     headers = (
-        lines.where("file_block_start = 0")
-        .groupBy("path")
-        .agg(F.min_by("value", F.monotonically_increasing_id()).alias("header"))
+        lines.where("start = 0").groupBy("path").agg(F.min_by("value", "place").alias("header"))
     )
     layouts: dict[str, list[str]] = {}
     for row in headers.orderBy("path").collect():
