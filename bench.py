@@ -19,7 +19,6 @@ RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 HEADLINES = (
     "market_kpis",
     "limit_flags_price",
-    "limit_flags_pct",
     "moving_averages",
     "board_streak",
     "history_derivation",
@@ -28,7 +27,6 @@ HEADLINES = (
     "canonicalize",
     "clean_daily_snapshot",
     "source_priority",
-    "quality_report",
     "limit_up_pool",
     "big_losers",
     "stock_with_notes",
@@ -77,6 +75,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
     for name in sys.argv[1:] or HEADLINES:
+        print(f"timing {name}", file=sys.stderr, flush=True)
         times[name] = median_of(
             lambda: QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
         )

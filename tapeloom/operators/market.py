@@ -160,8 +160,11 @@ def attach_notes(panel: DataFrame, notes: DataFrame) -> DataFrame:
 
     Written as an inner join plus the rows without notes instead of an outer
     join: adaptive execution can split a hot (day, stock) on either side of an
-    inner join, but not the optional side of an outer one.
+    inner join, but not the optional side of an outer one. A panel's key is never
+    NULL; saying so in both branches makes them alike, so that Spark computes the
+    panel once and reuses its shuffle.
     """
+    panel = panel.where(F.col("trade_date").isNotNull() & F.col("ticker").isNotNull())
     stock = notes.where("scope = 'stock'").select(
         "trade_date",
         F.col("key").alias("ticker"),
