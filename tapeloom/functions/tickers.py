@@ -59,12 +59,15 @@ def is_bj_ticker(ticker: Column) -> Column:
 
 
 def _with_suffix(code: Column) -> Column:
-    return (
-        F.when(starts_with_any(code, fixed.LOADER_SH_PREFIXES), F.concat(code, F.lit(".SH")))
-        .when(starts_with_any(code, fixed.LOADER_SZ_PREFIXES), F.concat(code, F.lit(".SZ")))
-        .when(starts_with_any(code, fixed.LOADER_BJ_PREFIXES), F.concat(code, F.lit(".BJ")))
-        .otherwise(code)
-    )
+    """Append the exchange suffix. The prefix sets are disjoint, so at most one
+    rewrite applies, and the code appears once in the expression."""
+    for prefixes, suffix in (
+        (fixed.LOADER_SH_PREFIXES, ".SH"),
+        (fixed.LOADER_SZ_PREFIXES, ".SZ"),
+        (fixed.LOADER_BJ_PREFIXES, ".BJ"),
+    ):
+        code = F.regexp_replace(code, f"(?s)^((?:{'|'.join(prefixes)}).*)$", f"$1{suffix}")
+    return code
 
 
 def suffix_daily(text: Column) -> Column:
