@@ -173,3 +173,22 @@ def test_mappings_and_schema_checks(spark):
     with pytest.raises(quality.TypeConversionError) as error:
         quality.check_conversions(spark.createDataFrame([("x",), ("1",), ("",)], "close string"))
     assert (error.value.column, error.value.errors) == ("close", 1)
+
+
+def test_load_reports(spark):
+    rows = spark.createDataFrame([("a.csv",), ("a.csv",), ("b.csv",)], "file_name string")
+    listed = spark.createDataFrame([("a.csv",), ("b.csv",), ("c.csv",)], "file_name string")
+    report = raw_files.load_report(rows, listed)
+    assert {r.file_name: r.n_rows for r in report.collect()} == {"a.csv": 2, "b.csv": 1, "c.csv": 0, None: 3}
+    known = spark.createDataFrame([("b.csv",)], "file_name string")
+    outcome = raw_files.load_outcome(report, known)
+    assert {r.outcome: r.n_files for r in outcome.collect()} == {"success": 1, "skipped": 1, "failed": 1}
+    assert [r.file_name for r in quality.empty_files(listed, rows).collect()] == ["c.csv"]
+
+
+def test_export_by_ticker(spark, tmp_path):
+    path = str(tmp_path / "export")
+    rows = spark.createDataFrame([("2024-01-04", "a", 1.0), ("2024-01-04", "b", 2.0)], "trade_date string, ticker string, close double")
+    raw_files.export_by_ticker(rows, path)
+    back = spark.read.option("header", True).csv(f"{path}/ticker=b")
+    assert [(r.trade_date, r.close) for r in back.collect()] == [("2024-01-04", "2.0")]
