@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -24,17 +23,14 @@ def build_session(app: str = "tapeloom", master: str | None = None, **conf) -> S
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder path below the shared folder the cluster names.
+def shared_dir(spark: SparkSession, name: str, base: str | None = None) -> str:
+    """A new folder path below a folder that the driver and all executors share.
 
-    Only a local session without ``spark.checkpoint.dir`` gets a temporary
-    folder of this machine.
+    That folder is ``base`` if given, else what ``spark.checkpoint.dir`` names, else
+    the warehouse.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tapeloom-")
+    base = base or spark.conf.get("spark.checkpoint.dir", None)
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
