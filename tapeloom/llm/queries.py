@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.llm import substring_dedup, suffix_dedup
+from tapeloom.llm import decontaminate, lang_id, simhash, substring_dedup, suffix_dedup, tokens
 from tapeloom.llm.text import documents, keyed
 
 QUERIES = {}
@@ -16,6 +16,27 @@ def query(f):
     return f
 
 
+@query
+def op1_decontamination(spark, sf_dir):
+    """Benchmark items that documents hold, with the window most like each."""
+    return decontaminate.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_simhash_near_dedup(spark, sf_dir):
+    """Fingerprint and near-duplicate component of each document."""
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op3_best_fit_packing(spark, sf_dir):
+    """Packed sequences: pieces, cumulative lengths, and checksums of ids and positions."""
+    packed = tokens.pack_best_fit(documents(spark, sf_dir))
+    return packed.withColumns({
+        "ids_crc32": F.crc32("ids"), "positions_crc32": F.crc32("position_ids"),
+    }).drop("ids", "position_ids")
+
+
 @query
 def op4_substring_dedup(spark, sf_dir):
     """Words of each document that 35-word windows met elsewhere cover."""
@@ -40,3 +61,18 @@ def op5_suffix_dedup(spark, sf_dir):
         F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("kept_sha256"))
         .alias("kept_sha256"),
     )
+
+
+@query
+def op9_language_id(spark, sf_dir):
+    """Language of each document, learnt from the rows that are not held out."""
+    held_out = lang_id.fold("doc_id", 5) == 0
+    docs = documents(spark, sf_dir)
+    model = lang_id.fit(docs.filter(~held_out))
+    return lang_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+@query
+def op10_power_of_two_packing(spark, sf_dir):
+    """Pieces of binary lengths, each a sequence of its own."""
+    return tokens.pack_powers(documents(spark, sf_dir))
