@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.text import BLOCK, U, Words, blocks
+from tapeloom.llm.text import U, Words, blocks
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -139,20 +139,38 @@ def _regions(places: list[int], reach: int, low: int, last: int) -> Iterator[tup
         yield a, b
 
 
-def _pass(docs: DataFrame, items: Items) -> DataFrame:
+def _found(block, items: Items) -> dict[tuple[int, int], tuple]:
+    """(similarity, start, words) of the best window of each (row, item) of a block."""
+    found: dict[tuple[int, int], tuple] = {}
+    for row, item, value, start, size in _search(block.words(block.lower()), items):
+        if value > found.get((row, item), (0.0,))[0]:
+            found[row, item] = value, start, size
+    return found
+
+
+def _groups(benchmark: DataFrame) -> Iterator[Items]:
+    rows, size = [], 0
+    query = benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null")
+    for item_id, text in query.toLocalIterator():
+        rows.append((item_id, text))
+        size += len(text.split())
+        if size >= ITEM_WORDS:
+            yield Items(rows)
+            rows, size = [], 0
+    yield Items(rows)
+
+
+def _leaks(docs: DataFrame, items: Items) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, limit=BLOCK):
-            found: dict[tuple[int, int], tuple] = {}
-            for row, item, value, start, size in _search(block.words(block.lower()), items):
-                if value > found.get((row, item), (0.0,))[0]:
-                    found[row, item] = value, start, size
-            ids = block.rows.column("doc_id")
+        for block in blocks(batches):
+            found = _found(block, items)
+            best = list(found.values())
             yield pa.RecordBatch.from_pydict({
-                "doc_id": ids.take(pa.array([r for r, _ in found], pa.int64())),
+                "doc_id": block.rows.column("doc_id").take(pa.array([r for r, _ in found], pa.int64())),
                 "item_id": pa.array([items.ids[i] for _, i in found], pa.int64()),
-                "similarity": pa.array([v[0] for v in found.values()], pa.float64()),
-                "start": pa.array([v[1] for v in found.values()], pa.int64()),
-                "n_words": pa.array([v[2] for v in found.values()], pa.int64()),
+                "similarity": pa.array([b[0] for b in best], pa.float64()),
+                "start": pa.array([b[1] for b in best], pa.int64()),
+                "n_words": pa.array([b[2] for b in best], pa.int64()),
             })
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
@@ -160,13 +178,19 @@ def _pass(docs: DataFrame, items: Items) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, and start and length in words of the best window."""
-    groups, rows, size = [], [], 0
-    query = benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null")
-    for item_id, text in query.toLocalIterator():
-        rows.append((item_id, text))
-        size += len(text.split())
-        if size >= ITEM_WORDS:
-            groups.append(Items(rows))
-            rows, size = [], 0
-    groups.append(Items(rows))
-    return reduce(DataFrame.union, [_pass(docs, g) for g in groups])
+    return reduce(DataFrame.union, [_leaks(docs, g) for g in _groups(benchmark)])
+
+
+def _without(docs: DataFrame, items: Items) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            keep = np.ones(block.rows.num_rows, bool)
+            keep[[r for r, _ in _found(block, items)]] = False
+            yield block.rows.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that hold no item, as they are."""
+    return reduce(_without, _groups(benchmark), docs)

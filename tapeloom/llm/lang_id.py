@@ -145,6 +145,26 @@ def fit(docs: DataFrame) -> Model:
     return Model(counts)
 
 
+def predict(block, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and whether it is ambiguous, of each text of a block."""
+    gram = grams(block)
+    known = np.concatenate(([0], np.cumsum(gram < GRAMS)))
+    n = np.maximum(np.diff(known[block.offsets]), 1)
+    margins = []
+    for weight in model.weight:
+        total = np.concatenate(([0.0], np.cumsum(weight[gram], dtype=np.float64)))
+        margins.append(np.diff(total[block.offsets]) / n)
+    letter = np.concatenate(([0], np.cumsum((_FOLD[block.data] != 32) & (block.data < 128))))
+    letters = np.diff(letter[block.offsets]) > 0
+    for i in np.flatnonzero(~letters):
+        letters[i] = any(c.isalpha() for c in block.text(i).decode("utf-8", "replace"))
+    if not model.langs:
+        return [UNKNOWN] * len(n), np.zeros(len(n)), np.ones(len(n), bool)
+    best, score, close = model.decode(np.array(margins).T)
+    pred = [model.langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters, strict=True)]
+    return pred, np.where(letters, score, 0.0), close | ~letters
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred, score and ambiguous; columns of these names are replaced."""
     names = ["lang_pred", "score", "ambiguous"]
@@ -152,30 +172,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            gram = grams(block)
-            margins = []
-            known = np.concatenate(([0], np.cumsum(gram < GRAMS)))
-            n = np.maximum(np.diff(known[block.offsets]), 1)
-            for weight in model.weight:
-                total = np.concatenate(([0.0], np.cumsum(weight[gram], dtype=np.float64)))
-                margins.append(np.diff(total[block.offsets]) / n)
-            margins = np.array(margins).T
-            ascii_letter = np.concatenate(([0], np.cumsum((_FOLD[block.data] != 32) & (block.data < 128))))
-            letters = np.diff(ascii_letter[block.offsets]) > 0
-            for i in np.flatnonzero(~letters):
-                letters[i] = any(c.isalpha() for c in block.text(i).decode("utf-8", "replace"))
-            if model.langs:
-                best, score, close = model.decode(margins)
-            else:
-                letters[:] = False
-                best, score, close = (np.zeros(len(letters), np.int64) for _ in range(3))
-            pred = [model.langs[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters, strict=True)]
-            columns = [block.rows.column(c) for c in others] + [
-                pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64()),
-                pa.array(close.astype(bool) | ~letters)]
-            yield pa.RecordBatch.from_arrays(columns, names=others + names)
+            pred, score, close = predict(block, model)
+            yield pa.RecordBatch.from_arrays(
+                [block.rows.column(c) for c in others] + [pa.array(pred, pa.string()), pa.array(score), pa.array(close)],
+                names=others + names)
 
     schema = docs.select(*others).schema
     for name, kind in (("lang_pred", "string"), ("score", "double"), ("ambiguous", "boolean")):
         schema = schema.add(name, kind)
     return docs.select(*others).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose language is known and not ambiguous, as they are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            yield block.rows.filter(pa.array(~predict(block, model)[2]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tapeloom.llm import decontaminate, lang_id, simhash, substring_dedup, suffix_dedup, tokens
-from tapeloom.llm.text import documents, keyed
+from tapeloom.llm import (
+    decontaminate, imatch, lang_id, language_model, quality, simhash, substring_dedup, suffix_dedup, tokens,
+)
+from tapeloom.llm.text import documents, keyed, staged
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +65,30 @@ def op5_suffix_dedup(spark, sf_dir):
     )
 
 
+@query
+def op6_quality(spark, sf_dir):
+    """Quality score of each document, learnt from labelled rows that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = lang_id.fold("doc_id", 5) == 0
+    stats = staged(quality.text_statistics(docs.select("doc_id", held_out.alias("held_out"), "text")), "stats")
+    labels = documents(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("label"))
+    training = stats.filter("not held_out").join(labels.filter("label is not null"), "doc_id")
+    scored = quality.scored(stats, quality.fit(training))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query
+def op7_imatch_fingerprints(spark, sf_dir):
+    """Fingerprints of each document and of its edited text, with likenesses."""
+    return imatch.edited_documents(documents(spark, sf_dir))
+
+
+@query
+def op8_language_model(spark, sf_dir):
+    """Unigram and log-bilinear scores of each document."""
+    return language_model.score_documents(documents(spark, sf_dir), lang_id.fold("doc_id", 7) == 2)
+
+
 @query
 def op9_language_id(spark, sf_dir):
     """Language of each document, learnt from the rows that are not held out."""

@@ -10,6 +10,16 @@ tallied, pairs that reach the count are verified by their differing bits, and on
 links of a spanning forest leave. The two open bytes bound a list to 65,536 fingerprints.
 
 Equal fingerprints are collapsed before the index, so copies cost nothing there.
+
+``unique_documents`` serves the pipeline, where texts count as near duplicates from a
+Jaccard similarity of 0.8 over five-word shingles. At that similarity whole-text
+fingerprints of 64 bits differ in about ten bits, beyond what shared bytes can
+guarantee. There each positional byte is the SimHash byte of a sample of the shingles,
+the one that is least under the position's own order; two texts agree in a position with
+their Jaccard similarity as probability. The same index finds texts that share
+``BAND`` consecutive positions, pairs with at least ``TALLY`` shared positional bytes
+are kept, and the similarity of the whole shingle sets verifies them.
+
 Null text: no words, like an empty one; their fingerprint is zero and links like any
 other. A null doc_id keeps its fingerprint and takes the component's smallest id (null
 if there is none). Repeated rows each return. Extra columns are left alone.
@@ -27,13 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.graph import components
-from tapeloom.llm.text import U, blocks, staged
+from tapeloom.llm.text import U, blocks, keyed, mix, rolling, staged
 
 SHINGLE = 3
 RADIUS = 2
 BYTES = 8
 SEED = 42
 
+#: Positional bytes of samples, how many make a list, and how many a pair must share.
+POSITIONS, BAND, TALLY = 64, 4, 36
+SIMILARITY = 0.8
+WORDS = 5
+
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     """XXH64 of each run of size words, A-Z lower-cased; of all words if there are fewer."""
@@ -140,3 +155,91 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
     of_fp = reps.select("fp", "root").join(least, "root").select("fp", "component_id")
     return rows.join(of_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _samples(hashes: np.ndarray) -> bytes:
+    """One byte for each position: of the hash that is least in the position's order."""
+    if not len(hashes):
+        return bytes(POSITIONS)
+    least = hashes[[(hashes * salt).argmin() for salt in _SALTS]]
+    return mix(least ^ _SALTS).astype(np.uint8).tobytes()
+
+
+_SALTS = mix(np.arange(1, POSITIONS + 1, dtype=U)) | U(1)
+
+
+def _shingle_set(words, i: int) -> np.ndarray:
+    """Distinct hashes of a row's shingles of WORDS words (of all words if there are fewer)."""
+    own = words.hash[words.first[i] : words.first[i] + words.count[i]]
+    size = min(WORDS, len(own))
+    return np.unique(rolling(own, size)) if size else own
+
+
+def _text_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in blocks(batches):
+        words = block.words(block.lower())
+        sample = [_samples(_shingle_set(words, i)) for i in range(block.rows.num_rows)]
+        yield pa.RecordBatch.from_pydict({
+            **{x: block.rows.column(x) for x in ("t1", "t2", "order_id")},
+            "sample": pa.array(sample, pa.binary())})
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        sides = ([], [])
+        for name, side in zip(("text", "other"), sides, strict=True):
+            for block in blocks(iter([batch]), text=name):
+                words = block.words(block.lower())
+                side.extend(_shingle_set(words, i) for i in range(block.rows.num_rows))
+        for a, b in zip(*sides, strict=True):
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            keep.append(both >= SIMILARITY * (len(a) + len(b) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def unique_documents(docs: DataFrame) -> DataFrame:
+    """docs without near duplicates: of each group the row with the smallest doc_id stays.
+
+    Groups are connected by pairs of texts with a Jaccard similarity of at least
+    ``SIMILARITY`` over the sets of their shingles. Each list of the index links its
+    members to one of them, chosen by a hash of its own for each list, so a list of any
+    size gives one candidate for each member. A null doc_id comes last.
+    """
+    samples = staged(
+        keyed(docs).mapInArrow(_text_samples, "t1 long, t2 long, order_id long, sample binary")
+        .groupBy("t1", "t2").agg(F.min("sample").alias("sample")), "samples")
+    lists = samples.select("t1", F.posexplode(F.array(*[
+        F.xxhash64(F.substring("sample", i * BAND + 1, BAND)) for i in range(POSITIONS // BAND)
+    ])).alias("band", "bytes"))
+    heads = lists.groupBy("band", "bytes").agg(
+        F.min_by("t1", F.xxhash64("band", "t1")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pairs = (
+        lists.join(heads, ["band", "bytes"]).filter("t1 != head")
+        .select(F.least("t1", "head").alias("a"), F.greatest("t1", "head").alias("b")).distinct())
+    one = samples.select(F.col("t1").alias("a"), F.col("sample").alias("x"))
+    two = samples.select(F.col("t1").alias("b"), F.col("sample").alias("y"))
+    shared = F.expr(
+        f"size(filter(sequence(1, {POSITIONS}), i -> substring(x, i, 1) = substring(y, i, 1)))")
+    pairs = pairs.join(one, "a").join(two, "b").filter(shared >= TALLY).select("a", "b")
+
+    texts = keyed(docs).groupBy("t1").agg(F.max("text").alias("text"))
+    with_text = pairs.join(texts.withColumnRenamed("t1", "a"), "a")
+    both = with_text.join(texts.select(F.col("t1").alias("b"), F.col("text").alias("other")), "b")
+    linked = components(both.select("a", "b", "text", "other").mapInArrow(_verify, "a long, b long"))
+
+    # a group's winner is its text with the smallest doc_id; the others' texts go
+    first = keyed(docs).groupBy("t1", "t2").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first"))
+    nodes = linked.select(F.col("u").alias("t1"), F.col("v").alias("root")).union(
+        linked.select(F.col("v").alias("t1"), F.col("v").alias("root")).distinct())
+    known = nodes.join(first, "t1")
+    best = known.groupBy("root").agg(F.min(F.struct("first", "t1")).alias("best"))
+    losers = known.join(best, "root").filter(F.col("t1") != F.col("best.t1")).select("t1", "t2")
+
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = F.coalesce(F.col(f"c{docs.columns.index('text')}"), F.lit(""))
+    doc_id = F.col(f"c{docs.columns.index('doc_id')}")
+    firsts = plain.groupBy(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")).agg(
+        F.min_by(F.struct(*plain.columns), F.struct(doc_id.isNull(), doc_id)).alias("row"))
+    return firsts.join(losers, ["t1", "t2"], "left_anti").select("row.*").toDF(*docs.columns)

@@ -207,17 +207,16 @@ def kept_by_text(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs (doc_id, text and any other columns) with text replaced by its kept words.
+    """docs with text replaced by its kept words.
 
     A text without a repeated window, and a null one, stays as it was, blanks included.
     """
-    kept = kept_by_text(docs, window)
-    changed = kept.filter("n_removed > 0").select(
-        F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("kept_text").alias("_kept"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.join(
-        changed,
-        (F.xxhash64(text) == F.col("_t1")) & (F.xxhash64(F.lit(1), text) == F.col("_t2")),
-        "left",
-    )
-    return joined.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
+    changed = kept_by_text(docs, window).filter("n_removed > 0").select("t1", "t2", "kept_text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own = F.col(f"c{docs.columns.index('text')}")
+    text = F.coalesce(own, F.lit(""))
+    rows = plain.withColumns({"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)})
+    joined = rows.join(changed, ["t1", "t2"], "left")
+    columns = [F.coalesce("kept_text", own) if c == "text" else F.col(f"c{i}")
+               for i, c in enumerate(docs.columns)]
+    return joined.select(*columns).toDF(*docs.columns)
