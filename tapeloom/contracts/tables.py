@@ -26,12 +26,14 @@ class TableContract:
         table: str | None = None,
         location: str | None = None,
         period: str | None = None,
+        mark: str | None = None,
     ) -> str:
         """``CREATE TABLE IF NOT EXISTS`` for a Parquet table.
 
         Parquet tables hold no key constraint; ``operators.quality`` and the
         store's checked append guard the key. ``period`` names a text column to
-        partition a partitioned contract by instead of its own column.
+        partition a partitioned contract by instead of its own column; ``mark`` a
+        boolean column beside the contract's.
         """
         fields = []
         for field in self.schema.fields:
@@ -39,6 +41,8 @@ class TableContract:
             if field.name == "created_at":
                 line += " DEFAULT current_timestamp()"
             fields.append(line)
+        if mark:
+            fields.append(f"`{mark}` boolean")
         partition_by = self.partition_by
         if partition_by and period:
             fields.append(f"`{period}` string")
@@ -51,29 +55,39 @@ class TableContract:
         return sql
 
 
+_DATE, _TEXT, _REAL = T.DateType(), T.StringType(), T.DoubleType()
+_INT, _WHOLE, _FLAG, _TIME = T.IntegerType(), T.LongType(), T.BooleanType(), T.TimestampType()
+
+
 def _contract(name, key, columns, partition_by=()):
-    fields = [
-        T.StructField(column, dtype, column not in key)
-        for dtype, names in columns
-        for column in names.split()
-    ]
+    fields = [T.StructField(column, dtype, column not in key) for column, dtype in columns]
     return TableContract(name, T.StructType(fields), key, partition_by)
 
 
-_DATE, _TEXT, _REAL = T.DateType(), T.StringType(), T.DoubleType()
-_WHOLE, _FLAG, _TIME = T.LongType(), T.BooleanType(), T.TimestampType()
+# --- fixed values: columns in order ------------------------------------------
 
 DAILY_MARKET_SNAPSHOT = _contract(
     "daily_market_snapshot",
     ("trade_date", "ticker"),
     [
-        (_DATE, "trade_date"),
-        (_TEXT, "ticker name"),
-        (_REAL, "open high low close pct_change pre_close"),
-        (_WHOLE, "volume"),
-        (_REAL, "amount turnover market_cap float_cap"),
-        (_FLAG, "is_st is_limit_up is_limit_down"),
-        (_TIME, "created_at"),
+        ("trade_date", _DATE),
+        ("ticker", _TEXT),
+        ("name", _TEXT),
+        ("open", _REAL),
+        ("high", _REAL),
+        ("low", _REAL),
+        ("close", _REAL),
+        ("pct_change", _REAL),
+        ("pre_close", _REAL),
+        ("volume", _WHOLE),
+        ("amount", _REAL),
+        ("turnover", _REAL),
+        ("market_cap", _REAL),
+        ("float_cap", _REAL),
+        ("is_st", _FLAG),
+        ("is_limit_up", _FLAG),
+        ("is_limit_down", _FLAG),
+        ("created_at", _TIME),
     ],
     partition_by=("trade_date",),
 )
@@ -82,11 +96,14 @@ MARKET_PHASE = _contract(
     "market_phase",
     ("trade_date",),
     [
-        (_DATE, "trade_date"),
-        (_TEXT, "phase"),
-        (_FLAG, "M1_core M2_front M3_identifiable V_triggered"),
-        (_TEXT, "notes"),
-        (_TIME, "created_at"),
+        ("trade_date", _DATE),
+        ("phase", _TEXT),
+        ("M1_core", _FLAG),
+        ("M2_front", _FLAG),
+        ("M3_identifiable", _FLAG),
+        ("V_triggered", _FLAG),
+        ("notes", _TEXT),
+        ("created_at", _TIME),
     ],
 )
 
@@ -94,16 +111,18 @@ TRADE_EXECUTION = _contract(
     "trade_execution",
     ("trade_id",),
     [
-        (_TEXT, "trade_id ticker"),
-        (_DATE, "entry_date"),
-        (_REAL, "entry_price"),
-        (_TEXT, "path_type"),
-        (_REAL, "half_sell_trigger"),
-        (_DATE, "half_sell_date"),
-        (_REAL, "half_sell_price"),
-        (_DATE, "exit_date"),
-        (_REAL, "exit_price position_pct"),
-        (_TEXT, "notes"),
+        ("trade_id", _TEXT),
+        ("ticker", _TEXT),
+        ("entry_date", _DATE),
+        ("entry_price", _REAL),
+        ("path_type", _TEXT),
+        ("half_sell_trigger", _REAL),
+        ("half_sell_date", _DATE),
+        ("half_sell_price", _REAL),
+        ("exit_date", _DATE),
+        ("exit_price", _REAL),
+        ("position_pct", _REAL),
+        ("notes", _TEXT),
     ],
 )
 
@@ -111,10 +130,12 @@ NOTES = _contract(
     "notes",
     ("id",),
     [
-        (T.IntegerType(), "id"),
-        (_DATE, "trade_date"),
-        (_TEXT, "scope key content"),
-        (_TIME, "created_at"),
+        ("id", _INT),
+        ("trade_date", _DATE),
+        ("scope", _TEXT),
+        ("key", _TEXT),
+        ("content", _TEXT),
+        ("created_at", _TIME),
     ],
 )
 

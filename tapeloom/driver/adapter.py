@@ -22,13 +22,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def stock_code(k: Column) -> Column:
-    """Six digits; past a thousand stocks a class part keeps codes distinct."""
+    """Six digits. Stocks 1,000 to 29,999 take free numbers of the 4 and 8 blocks,
+    which keep codes distinct; past those a class part does."""
     prefix = F.lit("510")
     for place in range(len(CODE_PREFIXES) - 1, -1, -1):
         prefix = F.when(k % 8 == place, CODE_PREFIXES[place]).otherwise(prefix)
     prefix = F.when(k % 50 == 49, "510").otherwise(prefix)
     wrap = F.when(k >= 1000, F.concat(F.lit("-"), F.floor(k / 1000).cast("string"))).otherwise("")
-    return F.concat(prefix, F.lpad((k % 1000).cast("string"), 3, "0"), wrap)
+    block = F.when(k % 2 == 0, "4").otherwise("8")
+    free = k.between(1000, 29999) & (k % 50 != 49)
+    return F.when(free, F.concat(block, F.lpad(k.cast("string"), 5, "0"))).otherwise(
+        F.concat(prefix, F.lpad((k % 1000).cast("string"), 3, "0"), wrap)
+    )
 
 
 def bars(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:

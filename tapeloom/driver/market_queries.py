@@ -113,7 +113,7 @@ def stock_with_notes(spark, sf_dir):
     WHERE trade_date >= DATE '1998-01-01'"""
 )
 def stock_view(spark, sf_dir):
-    shown = review.stock_view(adapter.view(spark, sf_dir), lengths=(5,), start="1998-01-01")
+    shown = review.stock_view(adapter.view(spark, sf_dir), lengths=(5,), start="1998-01-01", places=4)
     return shown.select(
         "trade_date", "ticker", "open", "high", "low", "close", "candle_state", "ma5"
     )

@@ -203,12 +203,12 @@ def _ma_sql(lengths):
 @query(_ma_sql((5, 10, 20, 60)))
 def moving_averages(spark, sf_dir):
     columns = ["trade_date", "ticker", "close", "ma5", "ma10", "ma20", "ma60"]
-    return series.moving_averages(adapter.listed(spark, sf_dir)).select(*columns)
+    return series.moving_averages(adapter.listed(spark, sf_dir), places=4).select(*columns)
 
 
 @query(_ma_sql((3, 30)))
 def custom_ma(spark, sf_dir):
-    return series.moving_averages(adapter.listed(spark, sf_dir), (3, 30)).select(
+    return series.moving_averages(adapter.listed(spark, sf_dir), (3, 30), places=4).select(
         "trade_date", "ticker", "close", "ma3", "ma30"
     )
 

@@ -22,11 +22,13 @@ FROM {p}a)"""
 
 def code_of(k: str) -> str:
     return (
-        f"(CASE WHEN {k} % 50 = 49 THEN '510' WHEN {k} % 8 = 0 THEN '600'"
+        f"CASE WHEN {k} BETWEEN 1000 AND 29999 AND {k} % 50 <> 49 THEN"
+        f" (CASE WHEN {k} % 2 = 0 THEN '4' ELSE '8' END) || lpad(CAST({k} AS VARCHAR), 5, '0') ELSE"
+        f" (CASE WHEN {k} % 50 = 49 THEN '510' WHEN {k} % 8 = 0 THEN '600'"
         f" WHEN {k} % 8 = 1 THEN '688' WHEN {k} % 8 = 2 THEN '000' WHEN {k} % 8 = 3 THEN '300'"
         f" WHEN {k} % 8 = 4 THEN '430' WHEN {k} % 8 = 5 THEN '830' WHEN {k} % 8 = 6 THEN '920'"
         f" ELSE '601' END) || lpad(CAST({k} % 1000 AS VARCHAR), 3, '0')"
-        f" || CASE WHEN {k} >= 1000 THEN '-' || CAST({k} // 1000 AS VARCHAR) ELSE '' END"
+        f" || CASE WHEN {k} >= 1000 THEN '-' || CAST({k} // 1000 AS VARCHAR) ELSE '' END END"
     )
 
 

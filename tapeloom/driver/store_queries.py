@@ -16,7 +16,7 @@ from ..contracts import ALL_TABLES, DAILY_MARKET_SNAPSHOT
 from ..functions import tickers
 from ..operators import market
 from ..operators.keys import with_keys_not_in
-from ..plans import daily, loaders
+from ..plans import daily, loaders, review
 from ..session import shared_dir
 from ..sources import raw_files
 from ..sources.store import NOTES, PANEL, PHASE, Store
@@ -255,9 +255,8 @@ _ENRICHED = ["trade_date", "ticker", "close", "pct_change", "volume", "amount",
 
 
 @query(
-    sql.PANEL + """, bare AS (SELECT * REPLACE (substr(ticker, 1, 6) AS ticker) FROM panel),
-    days AS (SELECT DISTINCT trade_date FROM bare),
-    spans AS (SELECT *, lead(trade_date) OVER (PARTITION BY ticker ORDER BY trade_date) AS nd FROM bare),
+    sql.PANEL + """, days AS (SELECT DISTINCT trade_date FROM panel),
+    spans AS (SELECT *, lead(trade_date) OVER (PARTITION BY ticker ORDER BY trade_date) AS nd FROM panel),
     dense AS (
       SELECT d.trade_date, s.ticker, s.close, s.pct_change, s.is_st,
              CASE WHEN d.trade_date > s.trade_date THEN 0 ELSE s.volume END AS volume,
@@ -309,37 +308,109 @@ def raw_landing(spark, sf_dir):
     return out
 
 
-@query(
-    sql.PANEL + f""" SELECT trade_date, ticker, close, pct_change, is_st,
-      coalesce(pct_change >= CASE WHEN is_st THEN 4.9e0 WHEN substr(ticker, 1, 3) IN ('688', '300')
-        THEN 19.9e0 ELSE 9.9e0 END, false) AS is_limit_up FROM panel
-    WHERE trade_date <= DATE '1999-06-15'
-      AND trade_date = (SELECT max(trade_date) FROM panel WHERE trade_date <= DATE '1999-06-15')
-    UNION ALL
-    SELECT (SELECT max(trade_date) FROM panel WHERE trade_date <= DATE '1999-06-15'), ticker, close,
-      pct_change, is_st,
-      coalesce(pct_change >= CASE WHEN is_st THEN 4.9e0 WHEN substr(ticker, 1, 3) IN ('688', '300')
-        THEN 19.9e0 ELSE 9.9e0 END, false)
-    FROM panel p WHERE trade_date = (SELECT max(trade_date) FROM panel WHERE trade_date <
-        (SELECT max(trade_date) FROM panel WHERE trade_date <= DATE '1999-06-15'))
-      AND ticker NOT IN (SELECT ticker FROM panel WHERE trade_date =
-        (SELECT max(trade_date) FROM panel WHERE trade_date <= DATE '1999-06-15'))"""
-)
-def daily_update(spark, sf_dir):
-    """One day's update onto a store that holds the whole history before it."""
-    store = new_store(spark, "daily_update")
-    panel = adapter.panel(spark, sf_dir).where("trade_date <= date'1999-06-15'")
-    latest = panel.agg(F.max("trade_date")).first()[0]
-    store.append(PANEL, panel.where(F.col("trade_date") < latest))
-    today = panel.where(F.col("trade_date") == latest)
-    landed = today.select(
+_BY_PCT = """coalesce(pct_change >= CASE WHEN is_st THEN 4.9e0
+    WHEN substr(ticker, 1, 3) IN ('688', '300') THEN 19.9e0 ELSE 9.9e0 END, false) AS is_limit_up"""
+_LAST_TWO = sql.PANEL + """, newest AS (SELECT max(trade_date) AS d FROM panel),
+    before AS (SELECT max(trade_date) AS d FROM panel WHERE trade_date < (SELECT d FROM newest)),
+    today AS (SELECT * FROM panel WHERE trade_date = (SELECT d FROM newest)),
+    earlier AS (SELECT * REPLACE ((SELECT d FROM newest) AS trade_date) FROM panel
+      WHERE trade_date = (SELECT d FROM before))"""
+
+
+def _tushare(rows):
+    return rows.select(
         F.col("ticker").alias("ts_code"),
         F.date_format("trade_date", "yyyyMMdd").alias("trade_date"),
         F.col("pct_change").alias("pct_chg"),
         F.col("volume").alias("vol"),
         "name", "open", "high", "low", "close", "pre_close", "amount",
     )
+
+
+def _realtime(rows):
+    """Rows under realtime headers: bare codes and no date."""
+    text = rows.withColumn("ticker", tickers.bare_code(F.col("ticker"))).drop("trade_date")
+    return text.withColumnsRenamed({k: v for k, v in _HEADERS.items() if k in text.columns})
+
+
+def _newest_days(panel) -> list:
+    newest = panel.select("trade_date").distinct().orderBy(F.desc("trade_date")).limit(2)
+    return [row.trade_date for row in newest.collect()]
+
+
+@query(
+    _LAST_TWO + f""" SELECT trade_date, ticker, close, pct_change, is_st, {_BY_PCT} FROM today
+    UNION ALL SELECT trade_date, ticker, close, pct_change, is_st, {_BY_PCT} FROM earlier
+    WHERE ticker NOT IN (SELECT ticker FROM today)"""
+)
+def daily_update(spark, sf_dir):
+    """The newest day's update onto a store that holds the whole history before it."""
+    store = new_store(spark, "daily_update")
+    panel = adapter.panel(spark, sf_dir)
+    latest = _newest_days(panel)[0]
+    store.append(PANEL, panel.where(F.col("trade_date") < latest))
+    landed = _tushare(panel.where(F.col("trade_date") == latest))
     daily.daily_update({"tushare": landed}, store, latest, sequence=["ts_code"])
     return store.snapshot(trade_date=latest).select(
         "trade_date", "ticker", "close", "pct_change", "is_st", "is_limit_up"
     )
+
+
+@query(
+    _LAST_TWO + """, chosen AS (SELECT ticker FROM today
+      WHERE substr(ticker, 6, 1) IN ('0', '2', '4', '6', '8')
+        OR NOT EXISTS (SELECT 1 FROM today WHERE substr(ticker, 6, 1) IN ('0', '2', '4', '6', '8'))),
+    sent AS (SELECT * FROM today WHERE ticker IN (SELECT ticker FROM chosen))
+    SELECT trade_date, ticker, close, volume, false AS is_carried FROM sent
+    UNION ALL SELECT trade_date, ticker, close, 0 AS volume, true FROM earlier
+    WHERE ticker NOT IN (SELECT ticker FROM sent)"""
+)
+def daily_update_realtime(spark, sf_dir):
+    """Realtime deliveries without a date, landed raw and kept as canonical files.
+
+    The better source has only stocks with an even code; the other's rows of that
+    day are used only if it has none.
+    """
+    store = new_store(spark, "daily_realtime")
+    panel = adapter.panel(spark, sf_dir)
+    latest = _newest_days(panel)[0]
+    store.append(PANEL, panel.where(F.col("trade_date") < latest))
+    today = panel.where(F.col("trade_date") == latest)
+    even = F.substring("ticker", 6, 1).isin("0", "2", "4", "6", "8")
+    daily.daily_update(
+        {"sina": _realtime(today.where(even)), "em": _realtime(today)}, store, latest,
+        shared_dir(spark, "raw"), shared_dir(spark, "canonical"), sequence=["代码"],
+    )
+    return store.snapshot(trade_date=latest).select(
+        "trade_date", "ticker", "close", "volume", "is_carried"
+    )
+
+
+@query(
+    _LAST_TWO + """ SELECT trade_date, ticker, close FROM panel
+    WHERE trade_date = (SELECT d FROM before)
+    UNION ALL SELECT trade_date, ticker, close FROM today
+    UNION ALL SELECT trade_date, ticker, close FROM earlier
+    WHERE ticker NOT IN (SELECT ticker FROM today)"""
+)
+def source_switch(spark, sf_dir):
+    """One source's suffixed tickers on a day, another's bare codes on the next."""
+    store = new_store(spark, "source_switch")
+    panel = adapter.panel(spark, sf_dir)
+    latest, before = _newest_days(panel)
+    first, second = (panel.where(F.col("trade_date") == day) for day in (before, latest))
+    daily.daily_update({"tushare": _tushare(first)}, store, before, sequence=["ts_code"])
+    daily.daily_update({"em": _realtime(second)}, store, latest, sequence=["代码"])
+    return store.snapshot().select("trade_date", "ticker", "close")
+
+
+@query(sql.VIEW + " SELECT trade_date, ticker, close, is_limit_up, boards FROM market")
+def view_after_carry(spark, sf_dir):
+    """Review view over a store whose newest two days were filled by carrying."""
+    store = new_store(spark, "view_after_carry")
+    panel = adapter.panel(spark, sf_dir)
+    before = _newest_days(panel)[1]
+    store.append(PANEL, panel.where(F.col("trade_date") < before))
+    daily.update_days(panel.where(F.col("trade_date") >= before), store)
+    view = review.market_view(store.snapshot())
+    return view.select("trade_date", "ticker", "close", "is_limit_up", "boards")

@@ -35,13 +35,6 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str] = PANEL_KEY) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
 
 
-def null_keys(df: DataFrame, keys: Sequence[str] = PANEL_KEY) -> DataFrame:
-    broken = F.lit(False)
-    for key in keys:
-        broken = broken | F.col(key).isNull()
-    return df.where(broken)
-
-
 def with_keys_in(df: DataFrame, other: DataFrame, keys: Sequence[str] = PANEL_KEY) -> DataFrame:
     return df.join(other.select(*keys), list(keys), "left_semi")
 

@@ -16,7 +16,6 @@ from ..contracts import fixed_values as fixed
 from ..contracts import get_table
 from ..functions import dates, numbers, tickers
 from . import keys as key_ops
-from .shaping import conform
 
 
 class ValidationError(Exception):
@@ -337,8 +336,3 @@ def require_clean(report: DataFrame) -> None:
 def require_rows(df: DataFrame, what: str = "input") -> None:
     if df.isEmpty():
         raise DataCheckError(f"{what} is empty")
-
-
-def to_contract(df: DataFrame, table: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Conform and cast a coerced frame to its contract."""
-    return conform(df, get_table(table), typed=True, keep=keep)

@@ -51,16 +51,16 @@ def moving_averages(
     df: DataFrame,
     lengths: Sequence[int] = fixed.MOVING_AVERAGE_LENGTHS,
     value: str = "close",
-    places: int | None = fixed.DECIMAL_PLACES,
+    places: int | None = None,
     prefix: str = "ma",
 ) -> DataFrame:
     """Add ``ma{n}`` for each length: the mean of the last n rows, NULL before n
     values exist.
 
-    Prices are taken to the contract's decimal places and summed as whole
-    numbers: every length is then the difference of two running sums, constant
-    work per row and exact. ``places=None`` averages raw doubles instead, at n
-    steps per row, for values that carry more decimals.
+    Raw doubles are averaged, at n steps per row. With ``places``, for values
+    known to carry no more decimals, they are summed as whole numbers: every
+    length is then the difference of two running sums, constant work per row and
+    exact.
     """
     if places is None:
         out = {}

@@ -75,10 +75,6 @@ def in_order(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns)
 
 
-def drop_helpers(df: DataFrame, *columns: str) -> DataFrame:
-    return df.drop(*columns)
-
-
 def stamp(df: DataFrame, **constants) -> DataFrame:
     """Add constant columns such as ``ticker`` or ``trade_date``."""
     return df.withColumns(

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..contracts import DAILY_MARKET_SNAPSHOT, layout_of
 from ..contracts import fixed_values as fixed
-from ..functions import dates, limits
+from ..functions import dates, limits, tickers
 from ..operators import carry, market, quality
 from ..operators.keys import keep_last, prefer_source
 from ..operators.shaping import apply_mapping, conform, stamp
@@ -28,6 +28,7 @@ def _typed_rows(
     sequence: Sequence[str | Column],
     keep: Sequence[str],
     strict_dates: bool,
+    suffix: bool = False,
 ) -> tuple[DataFrame, list[str]]:
     """Contract columns and types, and the helper columns that order the rows."""
     order = [f"_order{i}" for i in range(len(sequence))]
@@ -39,6 +40,8 @@ def _typed_rows(
         )
     shaped = conform(named, DAILY_MARKET_SNAPSHOT, keep=[*order, *keep])
     typed = quality.canonicalize(shaped)
+    if suffix:
+        typed = typed.withColumn("ticker", tickers.suffix_history(F.col("ticker")))
     return conform(typed, DAILY_MARKET_SNAPSHOT, typed=True, keep=[*order, *keep]), order
 
 
@@ -48,13 +51,15 @@ def clean_snapshot(
     sequence: Sequence[str | Column] = (raw_files.SEQUENCE,),
     keep: Sequence[str] = (),
     strict_dates: bool = True,
+    suffix: bool = False,
 ) -> DataFrame:
     """Header names, contract columns, types, then the last row of each key.
 
     ``sequence`` orders the input rows. The compact date of the tushare layout
-    must parse unless ``strict_dates`` is off.
+    must parse unless ``strict_dates`` is off. ``suffix`` brings tickers to the
+    suffixed form, so that a change of source does not change them.
     """
-    typed, order = _typed_rows(raw, layout, sequence, keep, strict_dates)
+    typed, order = _typed_rows(raw, layout, sequence, keep, strict_dates, suffix)
     return keep_last(typed, order).drop(*order)
 
 
@@ -62,6 +67,7 @@ def clean_sources(
     landed: Mapping[str, DataFrame],
     sequence: Sequence[str | Column] = (raw_files.SEQUENCE,),
     strict_dates: bool = True,
+    suffix: bool = False,
 ) -> DataFrame:
     """Clean each landed source by its layout and keep the best source per day.
 
@@ -69,7 +75,7 @@ def clean_sources(
     """
     parts = []
     for code, raw in landed.items():
-        typed, order = _typed_rows(raw, layout_of(code), sequence, (), strict_dates)
+        typed, order = _typed_rows(raw, layout_of(code), sequence, (), strict_dates, suffix)
         parts.append(stamp(typed, source=code))
     chosen = prefer_source(reduce(DataFrame.unionByName, parts))
     return keep_last(chosen, order).drop(*order, "source")
@@ -117,15 +123,24 @@ def daily_update(
 ) -> int:
     """Land raw, clean, keep the canonical copy, enrich, replace the day.
 
-    ``landed`` maps source codes to raw rows of the day. Returns rows stored.
+    ``landed`` maps source codes to raw rows of the day. Only tushare rows carry
+    their date; all others are stamped with the day. Tickers take the suffixed
+    form. A delivery without a row of the day is an error and leaves the stored
+    day as it is. Returns rows stored.
     """
     day = F.lit(trade_date).cast("date")
+    landed = {
+        code: df if code == "tushare" else stamp(df, trade_date=day.cast("string"))
+        for code, df in landed.items()
+    }
     if raw_path:
         for code, df in landed.items():
             text = df.drop(*raw_files.FILE_COLUMNS, raw_files.SEQUENCE)
             raw_files.write_raw(stamp(text, source=code), raw_path)
-    cleaned = clean_sources(landed, sequence).where(F.col("trade_date") == day).persist()
+    cleaned = clean_sources(landed, sequence, suffix=True)
+    cleaned = cleaned.where(F.col("trade_date") == day).persist()
     try:
+        quality.require_rows(cleaned, f"delivery for {trade_date}")
         if canonical_path:
             raw_files.write_canonical(cleaned, canonical_path)
         return store.replace_day(enrich_one_day(cleaned, store, trade_date), trade_date)

@@ -20,7 +20,7 @@ def market_view(panel: DataFrame) -> DataFrame:
     Needs pre_close and pct_change; carried rows, when marked, are left out.
     """
     if "is_carried" in panel.columns:
-        panel = panel.where("not is_carried").drop("is_carried")
+        panel = panel.where("not coalesce(is_carried, false)").drop("is_carried")
     flagged = market.flag_limits_by_price(market.flag_st(panel), keep_prices=True)
     stated = market.add_candle_state(market.flag_broken(flagged))
     return series.board_streak(stated)
@@ -49,6 +49,7 @@ def stock_view(
     lengths: Sequence[int] = fixed.MOVING_AVERAGE_LENGTHS,
     start: Day | None = None,
     end: Day | None = None,
+    places: int | None = None,
 ) -> DataFrame:
     """Bars with averages and candle states, beside the stock's notes.
 
@@ -57,6 +58,6 @@ def stock_view(
     """
     if ticker is not None:
         view = view.where(view.ticker == ticker)
-    shown = series.moving_averages(between_days(view, end_date=end), lengths)
+    shown = series.moving_averages(between_days(view, end_date=end), lengths, places=places)
     shown = between_days(shown, start_date=start)
     return shown if notes is None else market.attach_notes(shown, notes)

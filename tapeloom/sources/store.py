@@ -30,6 +30,8 @@ PANEL = "daily_market_snapshot"
 PHASE = "market_phase"
 TRADES = "trade_execution"
 NOTES = "notes"
+#: Beside the panel's contract: whether a row was carried forward from an earlier day.
+MARK = "is_carried"
 
 Day = date | str
 
@@ -65,7 +67,8 @@ class Store:
         period = None if self.grain == "day" else PERIOD
         for contract in contracts:
             location = f"{self.root}/{contract.name}/v0"
-            self.spark.sql(contract.create_sql(self.name(contract.name), location, period))
+            mark = MARK if contract.name == PANEL else None
+            self.spark.sql(contract.create_sql(self.name(contract.name), location, period, mark))
 
     def list_tables(self) -> list[str]:
         return sorted(t.name for t in self.spark.catalog.listTables(self.database))
@@ -74,11 +77,15 @@ class Store:
         return self.spark.sql(f"DESCRIBE TABLE {self.name(table)}")
 
     def table(
-        self, table: str, start_date: Day | None = None, end_date: Day | None = None
+        self,
+        table: str,
+        start_date: Day | None = None,
+        end_date: Day | None = None,
+        marked: bool = False,
     ) -> DataFrame:
         """A stored table, contract columns first and in order.
 
-        Given dates prune partitions and rows.
+        Given dates prune partitions and rows. ``marked`` keeps the mark of carried rows.
         """
         df = self.spark.table(self.name(table))
         if PERIOD in df.columns:
@@ -88,7 +95,8 @@ class Store:
                 df = df.where(F.col(PERIOD) <= self._period_of(end_date))
         df = between_days(df, start_date=start_date, end_date=end_date)
         wanted = [c for c in get_table(table).columns if c in df.columns]
-        return df.select(*wanted, *[c for c in df.columns if c not in (*wanted, PERIOD)])
+        hidden = (*wanted, PERIOD) if marked else (*wanted, PERIOD, MARK)
+        return df.select(*wanted, *[c for c in df.columns if c not in hidden])
 
     def days(self, table: str = PANEL) -> DataFrame:
         """Stored days. With day partitions they come from the catalog's partition
@@ -111,7 +119,7 @@ class Store:
         start_date: Day | None = None,
         end_date: Day | None = None,
     ) -> DataFrame:
-        panel = self.table(PANEL, trade_date or start_date, trade_date or end_date)
+        panel = self.table(PANEL, trade_date or start_date, trade_date or end_date, marked=True)
         return query_panel(panel, trade_date, ticker, start_date, end_date)
 
     def phases(
@@ -127,7 +135,18 @@ class Store:
         return query_trades(self.table(TRADES), trade_id)
 
     def previous_trade_date(self, day: Day) -> date | None:
-        return cal.previous_trade_date(self.days(), day).first()[0]
+        """The last stored day before ``day``. With periods, the newest that may hold
+        it are looked at one by one, so that no other is read."""
+        if self.grain == "day":
+            return cal.previous_trade_date(self.days(), day).first()[0]
+        parts = self.spark.sql(f"SHOW PARTITIONS {self.name(PANEL)}").collect()
+        periods = {row.partition.partition(f"{PERIOD}=")[2] for row in parts}
+        before = F.col("trade_date") < F.lit(day).cast("date")
+        for period in sorted((p for p in periods if p <= self._period_of(day)), reverse=True):
+            found = self.spark.table(self.name(PANEL)).where((F.col(PERIOD) == period) & before)
+            if (latest := found.agg(F.max("trade_date")).first()[0]) is not None:
+                return latest
+        return None
 
     def day_before(self, day: Day) -> DataFrame:
         """The slice of the last stored day before ``day``; empty when none is stored."""
@@ -141,7 +160,11 @@ class Store:
     def _ready(self, df: DataFrame, table: str) -> DataFrame:
         """Conform a batch to its contract; a NULL created_at becomes load time."""
         contract = get_table(table)
-        df = conform(df, contract, typed=True)
+        if table == PANEL:
+            mark = F.coalesce(MARK, F.lit(False)) if MARK in df.columns else F.lit(False)
+            df = conform(df.withColumn(MARK, mark), contract, typed=True, keep=[MARK])
+        else:
+            df = conform(df, contract, typed=True)
         if "created_at" in contract.columns:
             df = df.withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
         return df
@@ -249,7 +272,8 @@ class Store:
         contract = get_table(PANEL)
         batch = self._ready(df, PANEL)
         days = self._profile(batch, contract)
-        self._put(merge_rows(self._slice(PANEL, days), batch, contract.key, columns), PANEL, "days")
+        merged = merge_rows(self._slice(PANEL, days), batch, contract.key, [*columns, MARK])
+        self._put(merged, PANEL, "days")
 
     def replace_day(self, df: DataFrame, trade_date: Day) -> int:
         """Make ``df`` the whole content of one day; returns the rows stored for it."""
@@ -291,12 +315,17 @@ class Store:
         self._put(whole, PANEL, "all")
 
     def add_note(self, df: DataFrame) -> None:
-        """Append review notes after a check of their scope."""
+        """Append review notes after a check of their scope and ids."""
         notes = conform(df, get_table(NOTES), typed=True)
         known = F.coalesce(F.col("scope").isin(*fixed.NOTE_SCOPES), F.lit(False))
         wrong = notes.where(~known).limit(5).collect()
         if wrong:
             raise quality.DataCheckError(f"note scope must be one of {fixed.NOTE_SCOPES}: {wrong}")
+        key = get_table(NOTES).key
+        quality.require_unique_key(notes, key)
+        known = with_keys_in(self.table(NOTES), notes, key).limit(5).collect()
+        if known:
+            raise quality.DuplicateKeyError(f"notes already hold ids {[row.id for row in known]}")
         notes = notes.withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
         self._put(notes, NOTES, "append")
 

@@ -131,8 +131,8 @@ def test_stream_takes_each_file_once_and_equals_batch(spark, tmp_path):
     want = [tuple(r) for r in batch.snapshot().select(*show).collect()]
     assert [tuple(r) for r in streamed.snapshot().select(*show).collect()] == want
     assert [(str(r[0]), r[1], r[2], r[4]) for r in want] == [
-        (DAYS[0], "1", "n0", 100), (DAYS[0], "2", "n1", 100), (DAYS[1], "1", "n1", 100),
-        (DAYS[1], "2", "n1", 0), (DAYS[2], "1", "n1", 0), (DAYS[2], "2", "n0", 100),
+        (DAYS[0], "000001.SZ", "n0", 100), (DAYS[0], "000002.SZ", "n1", 100), (DAYS[1], "000001.SZ", "n1", 100),
+        (DAYS[1], "000002.SZ", "n1", 0), (DAYS[2], "000001.SZ", "n1", 0), (DAYS[2], "000002.SZ", "n0", 100),
     ]
     write(tmp_path / "in" / "2024-01-09_Astock_em.csv", [line("2024-01-09", "2", "late", 13, 10)], headers)
     again = landing.read_landing(spark, str(tmp_path / "in"), headers)

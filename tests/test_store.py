@@ -135,3 +135,40 @@ def test_small_tables(spark, store):
     assert store.table(NOTES).count() == 1
     with pytest.raises(quality.MissingColumnsError):
         store.save(PHASE, phases.drop("notes"))
+
+
+def test_realtime_delivery_without_a_date(spark, store):
+    store.append(PANEL, bars(spark, (D1, "000001.SZ", "x", 10.0), (D2, "000001.SZ", "x", 10.5), (D1, "600000.SH", "y", 5.0)))
+    sent = spark.createDataFrame([("000001", "x", 11.0)], "`代码` string, `名称` string, `最新价` double")
+    assert daily.daily_update({"sina": sent}, store, D2, shared_dir(spark, "raw"), sequence=["代码"]) == 2
+    assert held(store, "close", "is_carried")[2:] == [(D2, "000001.SZ", 11.0, False), (D2, "600000.SH", 5.0, True)]
+    before = held(store, "close", "is_carried")
+    with pytest.raises(quality.DataCheckError):
+        daily.daily_update({"sina": sent.limit(0)}, store, D2, sequence=["代码"])
+    assert held(store, "close", "is_carried") == before
+    store.upsert(bars(spark, (D2, "600000.SH", "y", 5.5)))
+    assert held(store, "close", "is_carried")[3] == (D2, "600000.SH", 5.5, False)
+
+
+def test_note_ids_are_unique(spark, store):
+    note = spark.createDataFrame([(1, D1, "stock", "a", "c")], "id int, trade_date date, scope string, key string, content string")
+    store.add_note(note)
+    for again in (note, note.withColumn("id", F.lit(2)).union(note.withColumn("id", F.lit(2)))):
+        with pytest.raises(quality.DuplicateKeyError):
+            store.add_note(again)
+    assert store.table(NOTES).count() == 1
+
+
+def test_previous_date_reads_one_period(spark, store):
+    store.append(PANEL, bars(spark, (D1, "a"), (D2, "a"), (D4, "a")))
+    assert [store.previous_trade_date(d) for d in (D1, D2, D3, D4)] == [None, D1, D2, D2]
+
+
+def test_codes_of_more_than_a_thousand_stocks_stay_distinct(spark):
+    from tapeloom.driver import adapter, sql
+    from tapeloom.functions import tickers
+    codes = spark.range(12_000).select(adapter.stock_code(F.col("id")).alias("code"), (F.col("id") % 50 == 49).alias("odd"))
+    assert codes.where("not odd").select(tickers.bare_code(F.col("code"))).distinct().count() == 11_760
+    import duckdb
+    want = duckdb.sql(f"SELECT {sql.code_of('k')} FROM range(12000) t(k)").fetchall()
+    assert [tuple(r) for r in codes.select("code").collect()] == want
