@@ -281,6 +281,15 @@ def ticker_quarantine(spark, sf_dir):
     return quality.split_valid_tickers(_suffixed_rows(spark, sf_dir))[1]
 
 
+@query(
+    sql.RAW + """ SELECT seq, trade_date, code_text,
+    coalesce(regexp_full_match(code_text, '\\d{6}'), false) AS is_bare FROM raw"""
+)
+def bare_ticker(spark, sf_dir):
+    bare = tickers.is_bare_ticker(F.col("code_text"))
+    return adapter.raw(spark, sf_dir).select("seq", "trade_date", "code_text", bare.alias("is_bare"))
+
+
 @query(
     sql.RAW + f""" SELECT seq, trade_date, ticker FROM
     (SELECT seq, trade_date, {_SUFFIXED} AS ticker FROM raw)

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..contracts import ALL_TABLES, DAILY_MARKET_SNAPSHOT
+from ..contracts import fixed_values as fixed
 from ..functions import tickers
 from ..operators import market
 from ..operators.keys import with_keys_not_in
 from ..plans import daily, loaders, review
 from ..session import shared_dir
 from ..sources import raw_files
-from ..sources.store import NOTES, PANEL, PHASE, Store
+from ..sources.store import NOTES, PANEL, PHASE, TRADES, Store
 from ..streaming import landing
 from . import adapter, sql
 from .registry import query
@@ -236,7 +237,7 @@ def load_daily_files(spark, sf_dir):
     path, columns = _land_files(spark, sf_dir)
     store = new_store(spark, "load_daily")
     raw = raw_files.read_csv(spark, f"{path}/year=*", columns)
-    store.upsert(loaders.checked(loaders.shape_daily(raw, keep=["file_name", "file_date"])))
+    store.upsert(loaders.checked(loaders.shape_daily(raw, keep=loaders.FILE_KEYS)))
     return store.snapshot().select(*_LOADED)
 
 
@@ -414,3 +415,53 @@ def view_after_carry(spark, sf_dir):
     daily.update_days(panel.where(F.col("trade_date") >= before), store)
     view = review.market_view(store.snapshot())
     return view.select("trade_date", "ticker", "close", "is_limit_up", "boards")
+
+
+@query(
+    sql.FLAGGED + f""" SELECT {', '.join(_LOADED)} FROM flagged"""
+)
+def load_history_files(spark, sf_dir):
+    """History loader over one file or more for each stock; many share a name."""
+    path = shared_dir(spark, "history")
+    absent = {c: F.lit(None).cast("double") for c in ("turnover", "market_cap", "float_cap")}
+    panel = adapter.panel(spark, sf_dir).withColumns({**absent, "stock": F.col("ticker")})
+    (
+        panel.select(*fixed.HISTORY_COLUMNS, "name", "stock").hint("rebalance", "stock")
+        .write.partitionBy("stock").option("header", "true").csv(path)
+    )
+    store = new_store(spark, "load_history")
+    loaders.load_history_files(store, raw_files.history_files(spark, path))
+    return store.snapshot().select(*_LOADED)
+
+
+@query(sql.LISTED + " SELECT trade_date, ticker, close, volume FROM listed")
+def export_by_ticker(spark, sf_dir):
+    """The export of a folder for each stock, read back."""
+    path = shared_dir(spark, "export")
+    rows = adapter.listed(spark, sf_dir).select("trade_date", "ticker", "close", "volume")
+    raw_files.export_by_ticker(rows, path)
+    back = spark.read.option("header", "true").schema(rows.schema).csv(path)
+    return back.select(*rows.columns)
+
+
+@query(
+    sql.LISTED + ", " + sql.PHASES + ", " + sql.NOTES + ", " + sql.TRADES + """
+    SELECT 'daily_market_snapshot' AS table_name, count(*) AS n_rows FROM listed
+    UNION ALL SELECT 'market_phase', count(*) FROM phases
+    UNION ALL SELECT 'notes', count(*) FROM notes
+    UNION ALL SELECT 'trade_execution', count(*) FROM trades"""
+)
+def catalog(spark, sf_dir):
+    """The store's tables and their rows."""
+    store = new_store(spark, "catalog")
+    store.append(PANEL, adapter.listed(spark, sf_dir))
+    store.append(PHASE, adapter.phases(spark, sf_dir))
+    store.append(TRADES, adapter.trades(spark, sf_dir))
+    store.add_note(adapter.notes(spark, sf_dir))
+    out = None
+    for name in store.list_tables():
+        one = store.table(name).agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("table_name"), "n_rows"
+        )
+        out = one if out is None else out.unionByName(one)
+    return out

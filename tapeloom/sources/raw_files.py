@@ -19,7 +19,7 @@ SNAPSHOT_GLOB = "*_Astock*.csv"
 HISTORY_GLOB = "*.csv"
 
 # helper columns added on read
-FILE_COLUMNS = ("file_name", "file_date", "file_source")
+FILE_COLUMNS = ("file_name", "file_path", "file_date", "file_source")
 SEQUENCE = "_sequence"
 
 
@@ -47,6 +47,11 @@ def file_source(file_name: Column) -> Column:
     return F.when(source != "", source)
 
 
+def plain_path(path: Column) -> Column:
+    """A path in one form, however many slashes follow a local scheme."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def snapshot_files(
     spark: SparkSession,
     root: str,
@@ -110,6 +115,7 @@ def with_file_columns(df: DataFrame) -> DataFrame:
     tagged = df.withColumns(
         {
             "file_name": name,
+            "file_path": plain_path(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))),
             "file_date": file_date(name),
             "file_source": file_source(name),
             SEQUENCE: F.struct(

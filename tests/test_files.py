@@ -192,3 +192,14 @@ def test_export_by_ticker(spark, tmp_path):
     raw_files.export_by_ticker(rows, path)
     back = spark.read.option("header", True).csv(f"{path}/ticker=b")
     assert [(r.trade_date, r.close) for r in back.collect()] == [("2024-01-04", "2.0")]
+
+
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    headers = list(fixed.HISTORY_COLUMNS)
+    values = dict.fromkeys(headers, 1)
+    for folder, close in (("a", 11), ("b", 12)):
+        write(tmp_path / folder / "000001.csv", [{**values, "trade_date": DAYS[0], "ticker": "000001", "close": close}], headers)
+    store = new_store(spark)
+    report = loaders.load_history_files(store, raw_files.history_files(spark, str(tmp_path)))
+    assert [r.close for r in store.snapshot().collect()] == [12.0]
+    assert sorted((r.file_name or "", r.n_rows) for r in report.collect()) == [("", 2), ("000001.csv", 1), ("000001.csv", 1)]
