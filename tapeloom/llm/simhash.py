@@ -28,6 +28,7 @@ if there is none). Repeated rows each return. Extra columns are left alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -46,6 +47,8 @@ SEED = 42
 
 #: Positional bytes of samples, how many make a list, and how many a pair must share.
 POSITIONS, BAND, TALLY = 64, 4, 36
+#: Components that a list may hold before it is split by further positions.
+ROOTS = 32
 SIMILARITY = 0.8
 WORDS = 5
 
@@ -198,35 +201,97 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def unique_documents(docs: DataFrame) -> DataFrame:
-    """docs without near duplicates: of each group the row with the smallest doc_id stays.
-
-    Groups are connected by pairs of texts with a Jaccard similarity of at least
-    ``SIMILARITY`` over the sets of their shingles. Each list of the index links its
-    members to one of them, chosen by a hash of its own for each list, so a list of any
-    size gives one candidate for each member. A null doc_id comes last.
-    """
-    samples = staged(
-        keyed(docs).mapInArrow(_text_samples, "t1 long, t2 long, order_id long, sample binary")
-        .groupBy("t1", "t2").agg(F.min("sample").alias("sample")), "samples")
-    lists = samples.select("t1", F.posexplode(F.array(*[
-        F.xxhash64(F.substring("sample", i * BAND + 1, BAND)) for i in range(POSITIONS // BAND)
-    ])).alias("band", "bytes"))
-    heads = lists.groupBy("band", "bytes").agg(
-        F.min_by("t1", F.xxhash64("band", "t1")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = (
-        lists.join(heads, ["band", "bytes"]).filter("t1 != head")
-        .select(F.least("t1", "head").alias("a"), F.greatest("t1", "head").alias("b")).distinct())
+def _tallied(pairs: DataFrame, samples: DataFrame) -> DataFrame:
+    """The pairs (a, b) of texts that share at least TALLY positional bytes."""
     one = samples.select(F.col("t1").alias("a"), F.col("sample").alias("x"))
     two = samples.select(F.col("t1").alias("b"), F.col("sample").alias("y"))
     shared = F.expr(
         f"size(filter(sequence(1, {POSITIONS}), i -> substring(x, i, 1) = substring(y, i, 1)))")
-    pairs = pairs.join(one, "a").join(two, "b").filter(shared >= TALLY).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").filter(shared >= TALLY).select("a", "b")
+
 
-    texts = keyed(docs).groupBy("t1").agg(F.max("text").alias("text"))
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose whole shingle sets are similar. Only texts of the pairs are shuffled."""
+    ids = pairs.select(F.col("a").alias("t1")).union(pairs.select("b")).distinct()
+    texts = keyed(docs).join(ids, "t1", "left_semi").groupBy("t1").agg(F.max("text").alias("text"))
     with_text = pairs.join(texts.withColumnRenamed("t1", "a"), "a")
     both = with_text.join(texts.select(F.col("t1").alias("b"), F.col("text").alias("other")), "b")
-    linked = components(both.select("a", "b", "text", "other").mapInArrow(_verify, "a long, b long"))
+    return staged(both.select("a", "b", "text", "other").mapInArrow(_verify, "a long, b long"), "similar")
+
+
+def _pair(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _crossing(members: DataFrame, samples: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of different components that a list brings together.
+
+    members has list, start (its first band), step (bands read since), t1 and root. In each
+    list every member meets one head of each other component, so a text without a link meets
+    all members. A list of over ``ROOTS`` components is first split by each further band.
+    """
+    pairs = []
+    while True:
+        width = members.groupBy("list", "root").agg(F.lit(1)).groupBy("list").agg(
+            F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+        members = staged(members.join(width, "list"), "members")
+        narrow = (F.col("roots") <= ROOTS) | (F.col("step") == POSITIONS // BAND - 1)
+        heads = members.filter(narrow).groupBy("list", F.col("root").alias("other")).agg(
+            F.min_by("t1", F.xxhash64("list", "t1")).alias("head"))
+        met = members.filter(narrow).join(heads, "list").filter("root != other")
+        pairs.append(met.select(*_pair("t1", "head")))
+        wide = members.filter(~narrow)
+        if wide.isEmpty():
+            return reduce(DataFrame.union, pairs).distinct()
+        further = F.array(*[F.struct(F.lit(i).alias("step"), F.xxhash64(
+            "list", F.lit(i), F.expr(f"substring(sample, (start + {i}) % {POSITIONS // BAND} * {BAND} + 1, {BAND})")
+        ).alias("list")) for i in range(1, POSITIONS // BAND)])
+        members = wide.join(samples.select("t1", "sample"), "t1").select(
+            "t1", "root", "start", F.explode(F.filter(further, lambda x: x["step"] > F.col("step"))).alias("to"),
+        ).select("to.list", "start", "to.step", "t1", "root")
+
+
+def similar_texts(docs: DataFrame) -> DataFrame:
+    """(u, v) of ``components`` over the different texts' keys t1.
+
+    At first each list links its members to one of them, chosen by a hash of its own for
+    each list, so a list of any size gives one candidate for each member. That joins large
+    groups. Then texts that share a list but no component meet as in ``_crossing``, until
+    no link is new. A link can be missed only between two components, neither of them a
+    single text in the lists that both are in, of which no head is in such a link.
+    """
+    samples = staged(
+        keyed(docs).mapInArrow(_text_samples, "t1 long, t2 long, order_id long, sample binary")
+        .groupBy("t1", "t2").agg(F.min("sample").alias("sample")), "samples")
+    lists = samples.select("t1", F.posexplode(F.array(*[
+        F.xxhash64(F.lit(i), F.substring("sample", i * BAND + 1, BAND)) for i in range(POSITIONS // BAND)
+    ])).alias("start", "list"))
+    heads = lists.groupBy("list").agg(
+        F.min_by("t1", F.xxhash64("list", "t1")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    lists = staged(lists.join(heads, "list"), "lists")
+    tested = staged(_tallied(lists.filter("t1 != head").select(*_pair("t1", "head")).distinct(), samples), "pairs")
+    found = _verified(tested, docs)
+    while True:
+        linked = components(found)
+        members = lists.filter("n > 2").join(linked.withColumnRenamed("u", "t1"), "t1", "left").select(
+            "list", "start", F.lit(0).alias("step"), "t1", F.coalesce("v", "t1").alias("root"))
+        pairs = staged(_tallied(_crossing(members, samples).join(tested, ["a", "b"], "left_anti"), samples), "pairs")
+        if pairs.isEmpty():
+            return linked
+        new = _verified(pairs, docs)
+        if new.isEmpty():
+            return linked
+        tested, found = tested.union(pairs), found.union(new)
+
+
+def unique_documents(docs: DataFrame) -> DataFrame:
+    """docs without near duplicates: of each group the row with the smallest doc_id stays.
+
+    Groups are connected by pairs of texts with a Jaccard similarity of at least
+    ``SIMILARITY`` over the sets of their shingles, see ``similar_texts``. A null doc_id
+    comes last.
+    """
+    linked = similar_texts(docs)
 
     # a group's winner is its text with the smallest doc_id; the others' texts go
     first = keyed(docs).groupBy("t1", "t2").agg(
