@@ -28,7 +28,6 @@ if there is none). Repeated rows each return. Extra columns are left alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -47,8 +46,8 @@ SEED = 42
 
 #: Positional bytes of samples, how many make a list, and how many a pair must share.
 POSITIONS, BAND, TALLY = 64, 4, 36
-#: Components that a list may hold before it is split by further positions.
-ROOTS = 32
+#: Texts of a list that are all compared; how often a longer one draws a head.
+SMALL, ROUNDS = 64, 4
 SIMILARITY = 0.8
 WORDS = 5
 
@@ -223,42 +222,29 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _crossing(members: DataFrame, samples: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts of different components that a list brings together.
-
-    members has list, start (its first band), step (bands read since), t1 and root. In each
-    list every member meets one head of each other component, so a text without a link meets
-    all members. A list of over ``ROOTS`` components is first split by each further band.
-    """
-    pairs = []
-    while True:
-        width = members.groupBy("list", "root").agg(F.lit(1)).groupBy("list").agg(
-            F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-        members = staged(members.join(width, "list"), "members")
-        narrow = (F.col("roots") <= ROOTS) | (F.col("step") == POSITIONS // BAND - 1)
-        heads = members.filter(narrow).groupBy("list", F.col("root").alias("other")).agg(
-            F.min_by("t1", F.xxhash64("list", "t1")).alias("head"))
-        met = members.filter(narrow).join(heads, "list").filter("root != other")
-        pairs.append(met.select(*_pair("t1", "head")))
-        wide = members.filter(~narrow)
-        if wide.isEmpty():
-            return reduce(DataFrame.union, pairs).distinct()
-        further = F.array(*[F.struct(F.lit(i).alias("step"), F.xxhash64(
-            "list", F.lit(i), F.expr(f"substring(sample, (start + {i}) % {POSITIONS // BAND} * {BAND} + 1, {BAND})")
-        ).alias("list")) for i in range(1, POSITIONS // BAND)])
-        members = wide.join(samples.select("t1", "sample"), "t1").select(
-            "t1", "root", "start", F.explode(F.filter(further, lambda x: x["step"] > F.col("step"))).alias("to"),
-        ).select("to.list", "start", "to.step", "t1", "root")
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a list's texts in different components that share at least TALLY bytes."""
+    for batch in batches:
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for t1, root, sample in zip(*(batch.column(x) for x in ("t1", "root", "sample")), strict=True):
+            t1, root = np.asarray(t1.values), np.asarray(root.values)
+            own = np.frombuffer(b"".join(sample.as_py()), np.uint8).reshape(-1, POSITIONS)
+            shared = (own[:, None] == own[None]).sum(2)
+            i, j = np.nonzero((shared >= TALLY) & (root[:, None] != root[None]) & (t1[:, None] < t1[None]))
+            a.append(t1[i])
+            b.append(t1[j])
+        yield pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
 def similar_texts(docs: DataFrame) -> DataFrame:
     """(u, v) of ``components`` over the different texts' keys t1.
 
-    At first each list links its members to one of them, chosen by a hash of its own for
-    each list, so a list of any size gives one candidate for each member. That joins large
-    groups. Then texts that share a list but no component meet as in ``_crossing``, until
-    no link is new. A link can be missed only between two components, neither of them a
-    single text in the lists that both are in, of which no head is in such a link.
+    Each list links its members to one of them, chosen by a hash of its own for each list,
+    so a list of any size gives one candidate for each member; that joins large groups.
+    Then the members of a list of up to ``SMALL`` texts are all compared by their shared
+    bytes, and a longer list that still holds several components draws further heads, each
+    linked to the members of the other components. A link that only longer lists hold is
+    missed if neither end is drawn in any of them and no chain of links joins them.
     """
     samples = staged(
         keyed(docs).mapInArrow(_text_samples, "t1 long, t2 long, order_id long, sample binary")
@@ -271,17 +257,30 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     lists = staged(lists.join(heads, "list"), "lists")
     tested = staged(_tallied(lists.filter("t1 != head").select(*_pair("t1", "head")).distinct(), samples), "pairs")
     found = _verified(tested, docs)
-    while True:
-        linked = components(found)
-        members = lists.filter("n > 2").join(linked.withColumnRenamed("u", "t1"), "t1", "left").select(
-            "list", "start", F.lit(0).alias("step"), "t1", F.coalesce("v", "t1").alias("root"))
-        pairs = staged(_tallied(_crossing(members, samples).join(tested, ["a", "b"], "left_anti"), samples), "pairs")
+    linked = components(found)
+    for draw in range(ROUNDS):
+        members = lists.join(linked.withColumnRenamed("u", "t1"), "t1", "left").select(
+            "list", "n", "t1", F.coalesce("v", "t1").alias("root"))
+        mixed = [F.min("root").alias("least"), F.max("root").alias("most")]
+        if draw == 0:
+            of_list = F.collect_list(F.struct("t1", "root", "sample")).alias("m")
+            met = members.filter(F.col("n").between(3, SMALL)).join(samples.select("t1", "sample"), "t1").groupBy(
+                "list").agg(of_list, *mixed).filter("least < most").select("m.t1", "m.root", "m.sample").mapInArrow(
+                _across, "a long, b long").distinct()
+        else:
+            members = members.filter(F.col("n") > SMALL)
+            heads = members.groupBy("list").agg(
+                F.min_by(F.struct("t1", "root"), F.xxhash64("list", F.lit(draw), "t1")).alias("head"),
+                *mixed).filter("least < most")
+            met = members.join(heads, "list").filter("root != head.root").select(*_pair("t1", "head.t1")).distinct()
+        pairs = staged(_tallied(met.join(tested, ["a", "b"], "left_anti"), samples), "pairs")
         if pairs.isEmpty():
-            return linked
+            continue
+        tested = tested.union(pairs)
         new = _verified(pairs, docs)
-        if new.isEmpty():
-            return linked
-        tested, found = tested.union(pairs), found.union(new)
+        if not new.isEmpty():
+            linked = components(linked.select(F.col("u").alias("a"), F.col("v").alias("b")).union(new))
+    return linked
 
 
 def unique_documents(docs: DataFrame) -> DataFrame:
