@@ -338,3 +338,26 @@ def test_folds_are_those_of_the_id_as_text(spark):
     got = [r.f for r in frame.select(lang_id.fold("doc_id", 5).alias("f")).collect()]
     assert got == [zlib.crc32(b"5") % 5, zlib.crc32(b"123456") % 5, 0]
     assert frame.select(F.count("*")).first()[0] == 3
+
+
+def test_near_duplicates_are_found_among_similar_but_different_texts(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(230)]
+
+    def edited(n):
+        words = list(base)
+        for i in rng.choice(len(words), n, replace=False):
+            words[i] = f"x{rng.integers(1 << 30)}"
+        return words
+
+    texts = [edited(int(n)) for n in rng.integers(2, 8, 60)]
+    shingles = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
+                old, new = sorted((root[i], root[j]), reverse=True)
+                root = [new if r == old else r for r in root]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert len(set(root)) < len(texts)
+    assert {r.doc_id for r in simhash.unique_documents(docs).collect()} == set(root)
