@@ -153,7 +153,7 @@ HISTORY_MAPPING = {
 }
 
 EASTMONEY_HISTORY_MAPPING = {
-    "日期": "trade_date", "开盘": "open", "收盘": "close", "最高": "high", "最低": "low",
+    "日期": "trade_date", "开盘": "open", "最高": "high", "最低": "low", "收盘": "close",
     "成交量": "volume", "成交额": "amount", "换手率": "turnover",
     "总市值": "market_cap", "流通市值": "float_cap",
 }
