@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.graph import components
-from tapeloom.llm.text import U, blocks, keyed, mix, rolling, staged
+from tapeloom.llm.text import U, blocks, mix, rolling, staged
+from tapeloom.session import shared_dir
 
 SHINGLE = 3
 RADIUS = 2
@@ -182,7 +184,7 @@ def _text_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         words = block.words(block.lower())
         sample = [_samples(_shingle_set(words, i)) for i in range(block.rows.num_rows)]
         yield pa.RecordBatch.from_pydict({
-            **{x: block.rows.column(x) for x in ("t1", "t2", "order_id")},
+            **{x: block.rows.column(x) for x in ("t1", "t2")},
             "sample": pa.array(sample, pa.binary())})
 
 
@@ -209,10 +211,12 @@ def _tallied(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(shared >= TALLY).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose whole shingle sets are similar. Only texts of the pairs are shuffled."""
+def _verified(pairs: DataFrame, samples: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose whole shingle sets are similar. Only texts of the pairs are shuffled:
+    the table of all texts is bucketed by key, and the pairs' keys go to its buckets."""
     ids = pairs.select(F.col("a").alias("t1")).union(pairs.select("b")).distinct()
-    texts = keyed(docs).join(ids, "t1", "left_semi").groupBy("t1").agg(F.max("text").alias("text"))
+    ids = samples.select("t1", "t2").join(ids, "t1", "left_semi")
+    texts = staged(texts.join(ids.hint("shuffle_hash"), ["t1", "t2"], "left_semi").select("t1", "text"), "texts")
     with_text = pairs.join(texts.withColumnRenamed("t1", "a"), "a")
     both = with_text.join(texts.select(F.col("t1").alias("b"), F.col("text").alias("other")), "b")
     return staged(both.select("a", "b", "text", "other").mapInArrow(_verify, "a long, b long"), "similar")
@@ -236,8 +240,35 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
-def similar_texts(docs: DataFrame) -> DataFrame:
-    """(u, v) of ``components`` over the different texts' keys t1.
+def _bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Write to the shared folder in buckets of the keys: joins on them do not shuffle it again."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    table = f"{name}_{uuid4().hex}"
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)  # Spark's own limit
+    df.write.format("parquet").option("path", path).bucketBy(buckets, *keys).saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay, like those of any staged table
+    return found
+
+
+def _first_rows(docs: DataFrame) -> DataFrame:
+    """Each different text once, in buckets of its key: t1, t2, text, first (its smallest
+    doc_id, a null last) and row, the columns of a row that has this doc_id."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    text = F.coalesce(F.col(f"c{docs.columns.index('text')}"), F.lit(""))
+    doc_id = F.col(f"c{docs.columns.index('doc_id')}")
+    order = F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"))
+    firsts = plain.groupBy(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")).agg(
+        F.min_by(F.struct(*plain.columns), order).alias("row"))
+    inner = [F.col(f"row.c{docs.columns.index(x)}") for x in ("text", "doc_id")]
+    return _bucketed(firsts, "first_rows", ["t1", "t2"]).select(
+        "t1", "t2", F.coalesce(inner[0], F.lit("")).alias("text"),
+        F.struct(inner[1].isNull().alias("none"), inner[1].alias("doc_id")).alias("first"), "row")
+
+
+def similar_texts(texts: DataFrame) -> DataFrame:
+    """(u, v) of ``components`` over the keys t1 of ``_first_rows``.
 
     Each list links its members to one of them, chosen by a hash of its own for each list,
     so a list of any size gives one candidate for each member; that joins large groups.
@@ -246,9 +277,8 @@ def similar_texts(docs: DataFrame) -> DataFrame:
     linked to the members of the other components. A link that only longer lists hold is
     missed if neither end is drawn in any of them and no chain of links joins them.
     """
-    samples = staged(
-        keyed(docs).mapInArrow(_text_samples, "t1 long, t2 long, order_id long, sample binary")
-        .groupBy("t1", "t2").agg(F.min("sample").alias("sample")), "samples")
+    samples = staged(texts.select("t1", "t2", "text").mapInArrow(
+        _text_samples, "t1 long, t2 long, sample binary"), "samples")
     lists = samples.select("t1", F.posexplode(F.array(*[
         F.xxhash64(F.lit(i), F.substring("sample", i * BAND + 1, BAND)) for i in range(POSITIONS // BAND)
     ])).alias("start", "list"))
@@ -256,7 +286,7 @@ def similar_texts(docs: DataFrame) -> DataFrame:
         F.min_by("t1", F.xxhash64("list", "t1")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     lists = staged(lists.join(heads, "list"), "lists")
     tested = staged(_tallied(lists.filter("t1 != head").select(*_pair("t1", "head")).distinct(), samples), "pairs")
-    found = _verified(tested, docs)
+    found = _verified(tested, samples, texts)
     linked = components(found)
     for draw in range(ROUNDS):
         members = lists.join(linked.withColumnRenamed("u", "t1"), "t1", "left").select(
@@ -277,7 +307,7 @@ def similar_texts(docs: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             continue
         tested = tested.union(pairs)
-        new = _verified(pairs, docs)
+        new = _verified(pairs, samples, texts)
         if not new.isEmpty():
             linked = components(linked.select(F.col("u").alias("a"), F.col("v").alias("b")).union(new))
     return linked
@@ -290,20 +320,14 @@ def unique_documents(docs: DataFrame) -> DataFrame:
     ``SIMILARITY`` over the sets of their shingles, see ``similar_texts``. A null doc_id
     comes last.
     """
-    linked = similar_texts(docs)
+    texts = _first_rows(docs)
+    linked = similar_texts(texts)
 
     # a group's winner is its text with the smallest doc_id; the others' texts go
-    first = keyed(docs).groupBy("t1", "t2").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first"))
     nodes = linked.select(F.col("u").alias("t1"), F.col("v").alias("root")).union(
         linked.select(F.col("v").alias("t1"), F.col("v").alias("root")).distinct())
-    known = nodes.join(first, "t1")
+    known = staged(nodes.join(texts.select("t1", "t2", "first"), "t1"), "known")
     best = known.groupBy("root").agg(F.min(F.struct("first", "t1")).alias("best"))
     losers = known.join(best, "root").filter(F.col("t1") != F.col("best.t1")).select("t1", "t2")
-
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    text = F.coalesce(F.col(f"c{docs.columns.index('text')}"), F.lit(""))
-    doc_id = F.col(f"c{docs.columns.index('doc_id')}")
-    firsts = plain.groupBy(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")).agg(
-        F.min_by(F.struct(*plain.columns), F.struct(doc_id.isNull(), doc_id)).alias("row"))
-    return firsts.join(losers, ["t1", "t2"], "left_anti").select("row.*").toDF(*docs.columns)
+    kept = texts.join(losers.hint("shuffle_hash"), ["t1", "t2"], "left_anti")
+    return kept.select("row.*").toDF(*docs.columns)
