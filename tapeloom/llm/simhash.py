@@ -28,7 +28,7 @@ if there is none). Repeated rows each return. Extra columns are left alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 from uuid import uuid4
 
 import numpy as np
@@ -50,6 +50,8 @@ SEED = 42
 POSITIONS, BAND, TALLY = 64, 4, 36
 #: Texts of a list that are all compared; how often a longer one draws a head.
 SMALL, ROUNDS = 64, 4
+#: Texts of a block of a longer list; two blocks are compared in one task.
+CELL = 512
 SIMILARITY = 0.8
 WORDS = 5
 
@@ -240,6 +242,121 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each cell (list, i, j), which come together, as one batch."""
+    kept, cell = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([np.asarray(batch.column(x)) for x in ("list", "i", "j")])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+        for a, b in pairwise([0, *cuts.tolist(), batch.num_rows]):
+            if kept and (keys[:, a] != cell).any():
+                yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+                kept = []
+            cell = keys[:, a]
+            kept.append(batch.slice(a, b - a))
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+
+
+def _candidates(cell: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the cell's two blocks in different components that share at least TALLY bytes.
+
+    A pair that also shares an earlier band is left to that band's list.
+    """
+    t1, root, block = (np.asarray(cell.column(x)) for x in ("t1", "root", "block"))
+    i, j, start = (cell.column(x)[0].as_py() for x in ("i", "j", "start"))
+    own = np.frombuffer(b"".join(cell.column("sample").to_pylist()), np.uint8).reshape(-1, POSITIONS)
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    for at in range(0, len(left), 64):
+        some = left[at : at + 64]
+        same = own[some][:, None] == own[right][None]
+        near = np.bitwise_count(same.view(U)).sum(2) >= TALLY
+        near &= root[some][:, None] != root[right]
+        near &= ~same[:, :, : start * BAND].reshape(len(some), len(right), start, BAND).all(3).any(2)
+        if i == j:
+            near &= t1[some][:, None] < t1[right]
+        a, b = np.nonzero(near)
+        yield some[a], right[b]
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each cell that are in a pair of its candidates."""
+    for cell in _cells(batches):
+        rows = np.unique(np.concatenate([x for pair in _candidates(cell) for x in pair] or [np.empty(0, np.int64)]))
+        if len(rows):
+            yield cell.take(pa.array(rows))
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in blocks(batches):
+        words = block.words(block.lower())
+        yield pa.RecordBatch.from_pydict({
+            "t1": block.rows.column("t1"),
+            "shingles": pa.array([_shingle_set(words, i).tobytes() for i in range(block.rows.num_rows)], pa.binary())})
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Similar pairs of each cell's candidates, as many as connect all that they connect."""
+    for cell in _cells(batches):
+        t1, root = np.asarray(cell.column("t1")), cell.column("root").to_pylist()
+        sets = [np.frombuffer(x, U) for x in cell.column("shingles").to_pylist()]
+        of = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        ids = np.split(of, np.cumsum([len(x) for x in sets])[:-1])
+        held = np.zeros(len(of), bool)
+        up: dict[int, int] = {}
+
+        def top(x: int, up=up) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        a, b = [], []
+        for some, others in _candidates(cell):
+            marked = None
+            for x, y in zip(some.tolist(), others.tolist(), strict=True):
+                one, two = top(root[x]), top(root[y])
+                if one == two:
+                    continue
+                if x != marked:
+                    held[:] = False
+                    held[ids[x]] = True
+                    marked = x
+                both = np.count_nonzero(held[ids[y]])
+                if both >= SIMILARITY * (len(ids[x]) + len(ids[y]) - both):
+                    up[max(one, two)] = min(one, two)
+                    a.append(t1[x])
+                    b.append(t1[y])
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _settled(lists: DataFrame, linked: DataFrame, samples: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of each list of over SMALL texts, from all their pairs.
+
+    Each list is dealt to blocks of about CELL texts, and each two blocks are a cell. Cells
+    first meet with samples alone; only texts of candidate pairs then come with their shingles.
+    """
+    members = lists.filter(F.col("n") > SMALL).join(linked.withColumnRenamed("u", "t1"), "t1", "left").select(
+        "list", "start", "n", "t1", F.coalesce("v", "t1").alias("root"))
+    mixed = members.groupBy("list").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter(
+        "least < most").select("list")
+    parts = F.ceil(F.col("n") / CELL)
+    dealt = members.join(mixed, "list").join(samples.select("t1", "t2", "sample"), "t1").withColumns({
+        "block": F.pmod(F.xxhash64(F.lit("block"), "list", "t1"), parts),
+        "other": F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)),
+    }).select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+              "block", "start", "t1", "t2", "root", "sample")
+    cell = ["list", "i", "j"]
+    schema = "list long, i long, j long, block long, start int, t1 long, t2 long, root long, sample binary"
+    met = staged(dealt.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_open, schema), "open")
+    ids = met.select("t1", "t2").distinct()
+    sets = staged(texts.join(ids.hint("shuffle_hash"), ["t1", "t2"], "left_semi").select("t1", "text").mapInArrow(
+        _shingle_sets, "t1 long, shingles binary"), "shingles")
+    whole = met.join(sets, "t1").repartition(*cell).sortWithinPartitions(*cell)
+    return staged(whole.mapInArrow(_settle, "a long, b long"), "settled")
+
+
 def _bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """Write to the shared folder in buckets of the keys: joins on them do not shuffle it again."""
     spark = df.sparkSession
@@ -274,8 +391,8 @@ def similar_texts(texts: DataFrame) -> DataFrame:
     so a list of any size gives one candidate for each member; that joins large groups.
     Then the members of a list of up to ``SMALL`` texts are all compared by their shared
     bytes, and a longer list that still holds several components draws further heads, each
-    linked to the members of the other components. A link that only longer lists hold is
-    missed if neither end is drawn in any of them and no chain of links joins them.
+    linked to the members of the other components. Last, all pairs of a longer list that
+    are still in different components are compared in blocks, see ``_settled``.
     """
     samples = staged(texts.select("t1", "t2", "text").mapInArrow(
         _text_samples, "t1 long, t2 long, sample binary"), "samples")
@@ -310,6 +427,9 @@ def similar_texts(texts: DataFrame) -> DataFrame:
         new = _verified(pairs, samples, texts)
         if not new.isEmpty():
             linked = components(linked.select(F.col("u").alias("a"), F.col("v").alias("b")).union(new))
+    new = _settled(lists, linked, samples, texts)
+    if not new.isEmpty():
+        linked = components(linked.select(F.col("u").alias("a"), F.col("v").alias("b")).union(new))
     return linked
 
 

@@ -309,6 +309,25 @@ def test_near_documents_equal_plain_groups(spark):
     assert Counter(r.doc_id for r in got.collect()) == Counter(want)
 
 
+def test_near_documents_around_one_text_in_long_lists(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    base = [f"z{x}" for x in range(500)]
+    rows = [(5000, " ".join(base))]
+    for i in range(600):  # each about 0.85 like the base and 0.72 like one another
+        copy = list(base)
+        for at in rng.choice(62, 8, replace=False) * 8 + 3:
+            copy[at] = f"c{i}"
+        rows.append((i, " ".join(copy)))
+    rows += [(6000 + i, " ".join(base[:260] + [f"o{i}x{x}" for x in range(300)])) for i in range(40)]
+    sets = [brute.shingles(t) for _, t in rows]
+    near = [brute.jaccard(sets[0], s) >= 0.8 for s in sets]
+    assert all(near[:601]) and not any(near[601:]) and brute.jaccard(sets[1], sets[2]) < 0.8
+    want = [0, *range(6000, 6040)]
+    monkeypatch.setattr(simhash, "CELL", 100, raising=False)  # blocks of a list meet in several cells
+    got = simhash.unique_documents(docs_of(spark, rows))
+    assert sorted(r.doc_id for r in got.collect()) == want
+
+
 def test_substring_dedup_keeps_other_columns(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     frame = docs_of(spark, [(1, f"one  two {passage}"), (2, f"{passage} three"), (3, "as  it\nwas"), (4, None)])
