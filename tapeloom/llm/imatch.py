@@ -6,8 +6,9 @@ adds its distinct terms to the sum of frequencies, there are at most (mean disti
 terms) / LEAST of them, however many documents there are; the lexicon is broadcast if it
 has no more than ``BROADCAST`` terms and joined by a shuffle otherwise.
 
-``SUBSETS`` random subsets of the lexicon keep a quarter, an eighth, ... of its terms,
-several of each. A text's distinct lexicon terms, sorted, are hashed once for each subset. The
+Of ``SUBSETS`` subsets of the lexicon, random ones keep a quarter, an eighth, ... of its
+terms, several of each, and the last holds the whole lexicon, so that every lexicon term
+is in one. A text's distinct lexicon terms, sorted, are hashed once for each subset. The
 likeness of two fingerprints is the share of subsets with equal hashes among those in
 which either text has a term: large subsets tell near copies apart, small ones still
 agree when much has changed. A text without lexicon terms is hashed whole.
@@ -26,7 +27,7 @@ from tapeloom.llm.text import staged
 LEAST, MOST = 0.0005, 0.02
 BROADCAST = 1_000_000
 LEVELS, EACH = 8, 4
-SUBSETS = LEVELS * EACH
+SUBSETS = LEVELS * EACH + 1
 
 
 def _terms(text: Column) -> Column:
@@ -57,7 +58,9 @@ def lexicon(docs: DataFrame) -> DataFrame:
 
 
 def _member(term: Column, subset: int) -> Column:
-    """Whether a term is in a subset: all of its first bits of a hash of its own are set."""
+    """Whether a term is in a subset: all of its first bits of a hash of its own are set. The last holds all."""
+    if subset == SUBSETS - 1:
+        return F.lit(True)
     bits = (1 << (2 + subset // EACH)) - 1
     return F.xxhash64(F.lit(subset), term).bitwiseAND(F.lit(bits)) == bits
 

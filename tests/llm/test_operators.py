@@ -234,6 +234,18 @@ def test_imatch_edits_and_likeness(spark, tables):
     assert "Python" not in plan.toString() and "Arrow" not in plan.toString()
 
 
+def test_imatch_texts_with_one_lexicon_term_differ(spark, tables):
+    rows = [(i, f"own{i} term{i // 2}") for i in range(400)]  # each term in two texts, the other words in one
+    got = queries.QUERIES["op7_imatch_fingerprints"](spark, tables(rows)).collect()
+    prints = defaultdict(set)
+    for r in got:
+        prints[r.fingerprint].add(r.doc_id // 2)
+        assert set(r.fingerprint) != {"-"}
+        if r.doc_id and r.doc_id % 2 == 0:  # the next row holds another term
+            assert r.near_next < 1
+    assert len(prints) == 200 and all(len(x) == 1 for x in prints.values())
+
+
 def test_language_model_base_and_normalisation(spark, tables):
     rows = brute.random_rows(9) + [(300, LONG), (301, "The END the")]
     got = queries.QUERIES["op8_language_model"](spark, tables(rows)).collect()
