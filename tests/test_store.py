@@ -172,3 +172,23 @@ def test_codes_of_more_than_a_thousand_stocks_stay_distinct(spark):
     import duckdb
     want = duckdb.sql(f"SELECT {sql.code_of('k')} FROM range(12000) t(k)").fetchall()
     assert [tuple(r) for r in codes.select("code").collect()] == want
+
+
+def test_streamed_and_realtime_rows_of_stocks_past_thirty_thousand_stay(spark, tmp_path):
+    from tapeloom.driver import adapter, store_queries
+
+    keys, days = [8, 30008, 32008, 40008], ["1998-01-05", "1998-01-06", "1998-01-07"]
+    spark.createDataFrame(
+        [(k, d, 5.0, k + n, n, 1) for k in keys for n, d in enumerate(days)],
+        "l_suppkey long, l_shipdate string, l_quantity double, l_orderkey long, l_partkey long, l_linenumber int",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, f"S{k}") for k in keys], "s_suppkey long, s_name string").write.parquet(
+        str(tmp_path / "supplier.parquet"))
+    rows = adapter.listed(spark, str(tmp_path)).select("trade_date", "ticker", "close").collect()
+    closes = {(str(r.trade_date), r.ticker): r.close for r in rows}
+    assert len(closes) == 12
+    for name, some in (("stream_daily_ingest", days), ("source_switch", days[1:]), ("daily_update_realtime", days[2:])):
+        got = getattr(store_queries, name)(spark, str(tmp_path)).collect()
+        assert len(got) == 4 * len(some), name
+        assert {(str(r.trade_date), r.ticker): r.close for r in got} == {
+            k: v for k, v in closes.items() if k[0] in some}, name
