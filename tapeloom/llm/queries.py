@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.llm import (
-    decontaminate, imatch, lang_id, language_model, quality, simhash, substring_dedup, suffix_dedup, tokens,
+    collocations, decontaminate, exact_topk, imatch, lang_id, language_model, merkle, quality, simhash,
+    substring_dedup, suffix_dedup, tokens,
 )
+from tapeloom.llm.oracles import ORACLES
 from tapeloom.llm.text import documents, keyed, staged
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(f):
@@ -102,3 +105,22 @@ def op9_language_id(spark, sf_dir):
 def op10_power_of_two_packing(spark, sf_dir):
     """Pieces of binary lengths, each a sequence of its own."""
     return tokens.pack_powers(documents(spark, sf_dir))
+
+
+@query
+def op11_exact_topk(spark, sf_dir):
+    """The five vectors with the greatest integer inner product for each fiftieth id."""
+    return exact_topk.search(documents(spark, sf_dir, "embeddings"), every=50)
+
+
+@query
+def op12_collocations(spark, sf_dir):
+    """Each language's phrases of words that occur together more often than apart."""
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    """Leaf, roots and proof of each document; a fifth are folded from tampered texts."""
+    docs = documents(spark, sf_dir)
+    return merkle.manifest(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
