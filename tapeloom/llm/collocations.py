@@ -14,8 +14,9 @@ frequent at ``LEAST`` occurrences or more, and then so is every run of words wit
 
 So the sample decides how many passes there are and never the result. Tasks know the
 proposal as a bit set of at most ``MOST_BITS``; a bit set by chance only makes a pass count
-a phrase more. Phrases are counted by their text, each task sends one row for a phrase and language,
-and what is a phrase's part is looked up by joins. Nothing else is broadcast or collected.
+a phrase more. A hash only ever rules out phrases that are too rare: counts are by text, each task
+sends one row for a phrase and language, and a phrase's parts are looked up by joins. Nothing
+else is broadcast or collected.
 
 Null text: empty. Null lang: ``und``, together with rows that say so. Null doc_ids are one
 sample unit; repeated rows count each. Long texts are read in parts that overlap by four
@@ -36,11 +37,11 @@ from tapeloom.llm.text import Block, U, blocks, byte_sums, mix, signed, staged
 LEAST = 100
 LONGEST = 5
 #: One of so many documents is in the sample, and the share of the expected count that proposes.
-SAMPLE, LOWERED = 8, 0.6
+SAMPLE, LOWERED = 8, 0.4
 #: Bits for each proposed phrase, and of the whole set at most (32 MB).
 EACH, MOST_BITS = 24, 1 << 28
 #: Bytes of texts whose phrases are counted together, and of one part of a long text.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 _KIND = np.zeros(256, np.uint8)
 _KIND[[32, 9]] = 1
 _KIND[[10, 11, 12, 13, *b".,;:!?"]] = 2
@@ -130,81 +131,82 @@ def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def count_phrases(docs: DataFrame, levels: range, proposed=None, counted=None) -> DataFrame:
-    """lang, k, phrase, n, h: occurrences of phrases of so many words.
+def occurrences(docs: DataFrame, levels: range, proposed=None, counted=None, chosen=None) -> DataFrame:
+    """Phrases of so many words and how often each block of texts holds them.
 
-    proposed, counted: bit sets (broadcasts). Of phrases of several words those count whose first
-    and last part are proposed, but not those for which that holds in counted as well. With
-    proposed holding words only (sample), a phrase of proposed words counts. Rows with k = 0
-    have how many words a language has.
+    proposed, counted, chosen: bit sets (broadcasts). A phrase of several words counts if its first
+    and its last part are proposed, but not if that holds in counted as well. Without
+    chosen: h (a phrase's hash, with its language) and n. With chosen, only phrases whose hash is in it:
+    lang, k, phrase, n, h; and rows with k = 0 that have a language's number of words.
     """
-    sample = proposed is not None and counted is None and levels.start > 1
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new = proposed.value if proposed is not None else None
-        old = counted.value if counted is not None else None
+        new, old, only = (x.value if x is not None else None for x in (proposed, counted, chosen))
         for block in blocks(batches, limit=TOGETHER):
             langs = block.rows.column("lang").dictionary_encode()
             names, lang = langs.dictionary, langs.indices.to_numpy()
-            seed = np.array([int(x) for x in _name_hashes(names)], U)
             for data, offsets, own in parts(block):
-                yield from levels_of(Words(data, offsets, own), names, lang, seed, new, old)
+                words = Words(data, offsets, own)
+                if len(words.row):
+                    yield from _levels(words, names, lang, levels, new, old, only)
 
-    def levels_of(words, names, lang, seed, new, old):
-        n, base = len(words.row), max(len(words.hash), 1)
-        if not n:
-            return
-        unit, at, group, times = np.unique(
-            lang[words.row].astype(np.int64) * base + words.code, return_index=True, return_inverse=True,
-            return_counts=True)
-        spoken = unit // base
-        hashes = mix(words.hash[unit % base] + seed[spoken])
-        one = hashes
-        if own_less := words.own < n:
-            times = np.bincount(group[: words.own], minlength=len(unit))
-        if 1 in levels:
+    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    if chosen is None:
+        return rows.mapInArrow(run, "h long, n long")
+    return rows.mapInArrow(run, "lang string, k int, phrase string, n long, h long")
+
+
+def _levels(words: Words, names: pa.Array, lang: np.ndarray, levels: range, new, old, only):
+    """What one part holds, level by level."""
+    n, base = len(words.row), len(words.hash)
+
+    def batch(k, at, times, hashes):
+        keep = (times > 0) if only is None else (times > 0) & holds(only, hashes)
+        at, times, hashes = at[keep], times[keep], signed(hashes[keep])
+        if only is None:
+            return pa.RecordBatch.from_pydict({"h": hashes, "n": times})
+        return pa.RecordBatch.from_pydict({
+            "lang": names.take(pa.array(lang[words.row[at]])), "k": np.full(len(at), k, np.int32),
+            "phrase": words.phrases(at, k), "n": times, "h": hashes})
+
+    def counts(inverse, place, size):
+        mine = inverse if words.own >= n else inverse[place < words.own]
+        return np.bincount(mine, minlength=size)
+
+    units, at, first = np.unique(
+        lang[words.row].astype(np.int64) * base + words.code, return_index=True, return_inverse=True)
+    single = hashes = mix(words.hash[units % base] + _name_hashes(names)[units // base])
+    unit = first
+    if 1 in levels:
+        yield batch(1, at, counts(unit, np.arange(n), len(units)), hashes)
+        if only is not None:
             total = np.bincount(lang[words.row[: words.own]], minlength=len(names))
-            yield batch(names, np.arange(len(names)), 0, pa.array([""] * len(names)), total, np.zeros(len(names), U))
-            keep = times > 0
-            yield batch(names, spoken[keep], 1, words.phrases(at[keep], 1), times[keep], hashes[keep])
-        if levels.stop <= 2 or new is None:
+            yield pa.RecordBatch.from_pydict({
+                "lang": names, "k": np.zeros(len(names), np.int32), "phrase": [""] * len(names), "n": total,
+                "h": np.zeros(len(names), np.int64)})
+    if new is None:
+        return
+    inside = holds(new, hashes)[unit]
+    before = holds(old, hashes)[unit] if old is not None else None
+    for k in range(2, levels.stop):
+        # phrases of k - 1 words at one word and at the next, both proposed
+        place = np.flatnonzero(inside[:-1] & inside[1:] & (words.linked[:-1] if k == 2 else True))
+        if not len(place):
             return
-        inside = holds(new, hashes)[group]
-        before = holds(old, hashes)[group] if old is not None else None
-        first = group
-        for k in range(2, levels.stop):
-            # phrases of k - 1 words at one word and at the next, both proposed
-            pair = inside[:-1] & inside[1:] & (words.linked[:-1] if k == 2 else True)
-            place = np.flatnonzero(pair)
-            if not len(place):
-                return
-            code = first[place] * len(unit) + group[place + k - 1]
-            _, at, inverse, times = np.unique(
-                code, return_index=True, return_inverse=True, return_counts=True)
-            if own_less:
-                mine = place < words.own
-                times = np.bincount(inverse[mine], minlength=len(at))
-            at = place[at]
-            hashes = mix(hashes[first[at]] * U(0x9E3779B97F4A7C15) + one[group[at + k - 1]])
-            keep = times > 0
-            if before is not None:
-                keep &= ~(before[at] & before[at + 1])
-                before = _spread(holds(old, hashes), inverse, place, n)
-            yield batch(names, spoken[group[at[keep]]], k, words.phrases(at[keep], k), times[keep], hashes[keep])
-            first = np.zeros(n, np.int64)
-            first[place] = inverse
-            inside = _spread(np.ones(len(at), bool) if sample else holds(new, hashes), inverse, place, n)
-
-    def batch(names, lang, k, phrase, times, hashes):
-        return pa.RecordBatch.from_pydict({
-            "lang": names.take(pa.array(lang, pa.int64())), "k": np.full(len(lang), k, np.int32), "phrase": phrase,
-            "n": times.astype(np.int64), "h": signed(hashes)})
-
-    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(
-        run, "lang string, k int, phrase string, n long, h long")
-    if levels.start > 1 or sample:
-        rows = rows.filter(F.col("k") >= levels.start)
-    return rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"), F.max("h").alias("h"))
+        _, at, inverse = np.unique(
+            first[place] * len(units) + unit[place + k - 1], return_index=True, return_inverse=True)
+        at = place[at]
+        hashes = mix(hashes[first[at]] * U(0x9E3779B97F4A7C15) + single[unit[at + k - 1]])
+        seen = before[at] & before[at + 1] if before is not None else None
+        if k in levels:
+            times = counts(inverse, place, len(at))
+            if seen is not None:
+                times[seen] = 0
+            yield batch(k, at, times, hashes)
+        if seen is not None:
+            before = _spread(seen & holds(old, hashes), inverse, place, n)
+        inside = _spread(holds(new, hashes), inverse, place, n)
+        first = np.zeros(n, np.int64)
+        first[place] = inverse
 
 
 def _spread(flags: np.ndarray, inverse: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
@@ -214,11 +216,8 @@ def _spread(flags: np.ndarray, inverse: np.ndarray, place: np.ndarray, n: int) -
 
 
 def _name_hashes(names: pa.Array) -> np.ndarray:
-    out = []
-    for name in names.to_pylist():
-        total, _ = byte_sums(np.frombuffer(name.encode(), np.uint8))
-        out.append(total[-1])
-    return mix(np.array(out, U))
+    sums = [byte_sums(np.frombuffer(name.encode(), np.uint8))[0][-1] for name in names.to_pylist()]
+    return mix(np.array(sums, U))
 
 
 def bit_set(proposal: DataFrame, size: int) -> np.ndarray:
@@ -237,33 +236,47 @@ def _size(proposed: int) -> int:
     return min(MOST_BITS, 1 << max(16, (EACH * proposed).bit_length()))
 
 
+def often(found: DataFrame, least: int) -> DataFrame:
+    """Hashes whose phrases together occur that often."""
+    return found.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h")
+
+
 def propose(docs: DataFrame, least: int) -> DataFrame:
-    """Phrases that are frequent in the sample at the lowered limit."""
-    spark = docs.sparkSession
+    """Hashes of phrases that are frequent in the sample at the lowered limit, level by level."""
+    context = docs.sparkSession.sparkContext
     sample = staged(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("lang", "text"), "sample")
     limit = max(1, int(least * LOWERED / SAMPLE))
-    words = staged(count_phrases(sample, range(1, 2)).filter((F.col("k") == 1) & (F.col("n") >= limit)), "words")
-    bits = spark.sparkContext.broadcast(bit_set(words, _size(words.count())))
-    longer = count_phrases(sample, range(2, LONGEST + 1), bits).filter(F.col("n") >= limit)
-    proposal = staged(words.union(longer).select("lang", "k", "phrase", "h"), "proposal")
-    bits.unpersist()
+    proposal, bits = None, None
+    for k in range(1, LONGEST + 1):
+        level = staged(often(occurrences(sample, range(k, k + 1), bits), limit), "proposal")
+        proposal = level if proposal is None else proposal.union(level)
+        if level.isEmpty():
+            break
+        bits = context.broadcast(bit_set(proposal, _size(proposal.count())))
     return proposal
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """lang, k, phrase, n of every phrase that occurs at least that often (k = 0: all words)."""
-    spark = docs.sparkSession
+    """lang, k, phrase, n of every phrase that occurs at least that often (k = 0: all words).
+
+    A pass reads the texts twice: sums by hash first, which are at least a phrase's own,
+    then exact counts by text of phrases whose hash came that far. So the many rare
+    phrases of the border travel as hashes only.
+    """
+    context = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", "lang", "text")
     proposal = propose(docs, least)
     size = _size(2 * proposal.count())
     found, old, levels = None, None, range(1, LONGEST + 1)
     while True:
-        bits = spark.sparkContext.broadcast(bit_set(proposal, size))
-        passed = staged(
-            count_phrases(docs, levels, bits, old).filter((F.col("n") >= least) | (F.col("k") == 0)), "frequent")
+        bits = context.broadcast(bit_set(proposal, size))
+        hashes = staged(often(occurrences(docs, levels, bits, old), least), "hashes")
+        chosen = context.broadcast(bit_set(hashes, _size(hashes.count())))
+        counts = occurrences(docs, levels, bits, old, chosen).groupBy("lang", "k", "phrase").agg(
+            F.sum("n").alias("n"), F.max("h").alias("h"))
+        passed = staged(counts.filter((F.col("n") >= least) | (F.col("k") == 0)), "frequent")
         found = passed if found is None else found.union(passed)
-        failures = passed.filter("k > 0").join(proposal, ["lang", "k", "phrase"], "left_anti")
-        failures = staged(failures.select("lang", "k", "phrase", "h"), "failures")
+        failures = staged(passed.filter("k > 0").select("h").join(proposal, "h", "left_anti"), "failures")
         if failures.isEmpty():
             return found.select("lang", "k", "phrase", "n")
         proposal, old, levels = proposal.union(failures), bits, range(2, LONGEST + 1)
