@@ -10,9 +10,10 @@ frequent at ``LEAST`` occurrences or more, and then so is every run of words wit
    negative border: a phrase whose first part and last part (one word shorter) are both
    proposed.
 3. Frequent phrases of the border that were not proposed are failures. They join the proposal,
-   and a further pass counts what has newly come within the border, until there are no failures.
+   and a further pass counts what they bring within the border, with all longer phrases of it.
+   That closes the set: what is still uncounted has a part known to be too rare.
 
-So the sample decides how many passes there are and never the result. Tasks know the
+So the sample decides whether there is a further pass and never the result. Tasks know the
 proposal as a bit set of at most ``MOST_BITS``; a bit set by chance only makes a pass count
 a phrase more. A hash only ever rules out phrases that are too rare: counts are by text, each task
 sends one row for a phrase and language, and a phrase's parts are looked up by joins. Nothing
@@ -25,7 +26,7 @@ words. Extra columns are left alone. No documents, or no frequent phrases: no ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ SAMPLE, LOWERED = 8, 0.4
 EACH, MOST_BITS = 24, 1 << 28
 #: Bytes of texts whose phrases are counted together, and of one part of a long text.
 TOGETHER = 1 << 21
+#: Shares of a language whose best phrases meet in its last ranking.
+FEW = 16
 _KIND = np.zeros(256, np.uint8)
 _KIND[[32, 9]] = 1
 _KIND[[10, 11, 12, 13, *b".,;:!?"]] = 2
@@ -78,7 +81,7 @@ def _before_word(data: np.ndarray, at: int) -> int:
 
 
 class Words:
-    """Words of a part: number, row, whether the next is in the same piece, and their bytes."""
+    """Words of a part: row, hash, whether the next is in the same piece, and their bytes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, own: int):
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
@@ -88,35 +91,37 @@ class Words:
         edge[offsets] = True
         start = np.flatnonzero(inside & ~(np.concatenate(([False], inside[:-1])) & ~edge[:-1]))
         end = np.flatnonzero(inside & ~(np.concatenate((inside[1:], [False])) & ~edge[1:])) + 1
-        self.row = np.searchsorted(offsets[1:], start, side="right")
+        self.row = np.repeat(
+            np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
         self.own = int(np.searchsorted(start, own))
-        piece = np.cumsum(kind == 2)[start] if len(start) else start
-        self.linked = np.zeros(len(start), bool)
-        self.linked[:-1] = (piece[1:] == piece[:-1]) & (self.row[1:] == self.row[:-1])
-        size = end - start
-        plain, self.end = data[inside], np.cumsum(size)
-        self.start = self.end - size
-        words = pa.BinaryArray.from_buffers(
-            pa.binary(), len(start),
-            [None, pa.py_buffer(np.concatenate(([0], self.end)).astype(np.int32)), pa.py_buffer(plain)])
-        coded = words.dictionary_encode()
-        self.code = coded.indices.to_numpy()
-        where, what = coded.dictionary.buffers()[1:]
-        at = np.frombuffer(where, np.int32)[: len(coded.dictionary) + 1].astype(np.int64)
-        letters = np.frombuffer(what, np.uint8)[: at[-1]] if what is not None else np.empty(0, np.uint8)
-        total, inverse = byte_sums(letters)
-        self.hash = mix((total[at[1:]] - total[at[:-1]]) * inverse[at[:-1]] + (at[1:] - at[:-1]).astype(U))
-        self.text = np.full(len(plain) + len(start), 32, np.uint8)  # words joined by one space
-        self.text[np.arange(len(plain)) + np.repeat(np.arange(len(start)), size)] = plain
-
-    def phrases(self, first: np.ndarray, k: int) -> pa.StringArray:
-        """The k words from each of the first ones, joined by one space."""
-        a = self.start[first] + first
-        size = self.end[first + k - 1] + first + k - 1 - a
-        ends = np.cumsum(size)
-        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(a - (ends - size), size)
-        return pa.StringArray.from_buffers(
-            len(first), pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(self.text[take]))
+        breaks = np.flatnonzero((kind == 2) | edge[:-1])  # a piece ends before, or a row starts here
+        piece = np.searchsorted(breaks, start, side="right")
+        self.linked = piece[1:] == piece[:-1]
+        total, inverse = byte_sums(data)
+        self.hash = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U))
+        self._bytes, self._size = data[inside], end - start
+
+    def __len__(self) -> int:
+        return len(self.row)
+
+    def coded(self) -> tuple[np.ndarray, Callable[[np.ndarray, int], pa.StringArray]]:
+        """A number for each different word, and the text of k words from each of some places."""
+        size, count = self._size, len(self)
+        end = np.cumsum(size)
+        words = pa.BinaryArray.from_buffers(pa.binary(), count, [
+            None, pa.py_buffer(np.concatenate(([0], end)).astype(np.int32)), pa.py_buffer(self._bytes)])
+        spaced = np.full(len(self._bytes) + count, 32, np.uint8)  # words joined by one space
+        spaced[np.arange(len(self._bytes)) + np.repeat(np.arange(count), size)] = self._bytes
+
+        def text(first: np.ndarray, k: int) -> pa.StringArray:
+            a = end[first] - size[first] + first
+            long = end[first + k - 1] + first + k - 1 - a
+            ends = np.cumsum(long)
+            take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(a - (ends - long), long)
+            return pa.StringArray.from_buffers(
+                len(first), pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(spaced[take]))
+
+        return words.dictionary_encode().indices.to_numpy(), text
 
 
 def _bits(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,84 +140,92 @@ def occurrences(docs: DataFrame, levels: range, proposed=None, counted=None, cho
     """Phrases of so many words and how often each block of texts holds them.
 
     proposed, counted, chosen: bit sets (broadcasts). A phrase of several words counts if its first
-    and its last part are proposed, but not if that holds in counted as well. Without
-    chosen: h (a phrase's hash, with its language) and n. With chosen, only phrases whose hash is in it:
-    lang, k, phrase, n, h; and rows with k = 0 that have a language's number of words.
+    and its last part are proposed. With counted, only what has newly come within the border
+    counts, and it takes all longer phrases of it along, since no pass before has looked at them.
+    Without chosen: h (a phrase's hash, with its language) and n. With chosen (a bit set, or True
+    for all): lang, k, phrase, n, h of phrases whose hash is in it; and rows with k = 0 that have
+    a language's number of words.
     """
+    by_text = chosen is not None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new, old, only = (x.value if x is not None else None for x in (proposed, counted, chosen))
+        new, old = (x.value if x is not None else None for x in (proposed, counted))
+        only = chosen.value if by_text and chosen is not True else None
         for block in blocks(batches, limit=TOGETHER):
             langs = block.rows.column("lang").dictionary_encode()
             names, lang = langs.dictionary, langs.indices.to_numpy()
             for data, offsets, own in parts(block):
                 words = Words(data, offsets, own)
-                if len(words.row):
-                    yield from _levels(words, names, lang, levels, new, old, only)
+                if not len(words):
+                    continue
+                spoken = lang[words.row]
+                if by_text and 1 in levels:
+                    total = np.bincount(spoken[: words.own], minlength=len(names))
+                    yield pa.RecordBatch.from_pydict({
+                        "lang": names, "k": np.zeros(len(names), np.int32), "phrase": [""] * len(names),
+                        "n": total, "h": np.zeros(len(names), np.int64)})
+                codes = text = None
+                for k, place, hashes in levels_of(words, _name_hashes(names)[spoken], levels, new, old):
+                    mine = place < words.own
+                    if only is not None:
+                        mine &= holds(only, hashes)
+                    place, hashes = place[mine], hashes[mine]
+                    if not by_text:
+                        found, times = np.unique(hashes, return_counts=True)
+                        yield pa.RecordBatch.from_pydict({"h": signed(found), "n": times})
+                        continue
+                    if not len(place):
+                        continue
+                    if codes is None:
+                        codes, text = words.coded()
+                    at, times = _alike(place, hashes, [spoken, *[codes[j:] for j in range(k)]])
+                    yield pa.RecordBatch.from_pydict({
+                        "lang": names.take(pa.array(spoken[place[at]])), "k": np.full(len(at), k, np.int32),
+                        "phrase": text(place[at], k), "n": times, "h": signed(hashes[at])})
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    if chosen is None:
-        return rows.mapInArrow(run, "h long, n long")
-    return rows.mapInArrow(run, "lang string, k int, phrase string, n long, h long")
-
-
-def _levels(words: Words, names: pa.Array, lang: np.ndarray, levels: range, new, old, only):
-    """What one part holds, level by level."""
-    n, base = len(words.row), len(words.hash)
-
-    def batch(k, at, times, hashes):
-        keep = (times > 0) if only is None else (times > 0) & holds(only, hashes)
-        at, times, hashes = at[keep], times[keep], signed(hashes[keep])
-        if only is None:
-            return pa.RecordBatch.from_pydict({"h": hashes, "n": times})
-        return pa.RecordBatch.from_pydict({
-            "lang": names.take(pa.array(lang[words.row[at]])), "k": np.full(len(at), k, np.int32),
-            "phrase": words.phrases(at, k), "n": times, "h": hashes})
-
-    def counts(inverse, place, size):
-        mine = inverse if words.own >= n else inverse[place < words.own]
-        return np.bincount(mine, minlength=size)
-
-    units, at, first = np.unique(
-        lang[words.row].astype(np.int64) * base + words.code, return_index=True, return_inverse=True)
-    single = hashes = mix(words.hash[units % base] + _name_hashes(names)[units // base])
-    unit = first
+    return rows.mapInArrow(
+        run, "lang string, k int, phrase string, n long, h long" if by_text else "h long, n long")
+
+
+def levels_of(words: Words, seed: np.ndarray, levels: range, new, old):
+    """(k, places of first words, hashes) of the phrases of k words that count, level by level."""
+    single = mix(words.hash + seed)
+    place, hashes = np.arange(len(words)), single
     if 1 in levels:
-        yield batch(1, at, counts(unit, np.arange(n), len(units)), hashes)
-        if only is not None:
-            total = np.bincount(lang[words.row[: words.own]], minlength=len(names))
-            yield pa.RecordBatch.from_pydict({
-                "lang": names, "k": np.zeros(len(names), np.int32), "phrase": [""] * len(names), "n": total,
-                "h": np.zeros(len(names), np.int64)})
+        yield 1, place, hashes
     if new is None:
         return
-    inside = holds(new, hashes)[unit]
-    before = holds(old, hashes)[unit] if old is not None else None
-    for k in range(2, levels.stop):
-        # phrases of k - 1 words at one word and at the next, both proposed
-        place = np.flatnonzero(inside[:-1] & inside[1:] & (words.linked[:-1] if k == 2 else True))
-        if not len(place):
-            return
-        _, at, inverse = np.unique(
-            first[place] * len(units) + unit[place + k - 1], return_index=True, return_inverse=True)
-        at = place[at]
-        hashes = mix(hashes[first[at]] * U(0x9E3779B97F4A7C15) + single[unit[at + k - 1]])
-        seen = before[at] & before[at + 1] if before is not None else None
-        if k in levels:
-            times = counts(inverse, place, len(at))
-            if seen is not None:
-                times[seen] = 0
-            yield batch(k, at, times, hashes)
-        if seen is not None:
-            before = _spread(seen & holds(old, hashes), inverse, place, n)
-        inside = _spread(holds(new, hashes), inverse, place, n)
-        first = np.zeros(n, np.int64)
-        first[place] = inverse
-
-
-def _spread(flags: np.ndarray, inverse: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(n, bool)
-    out[place] = flags[inverse]
-    return out
+    linked, before = words.linked, None
+    for k in range(1, levels.stop):
+        if k > 1:
+            # phrases of k - 1 words at one word and at the next, both proposed
+            place = np.flatnonzero(inside[:-1] & inside[1:] & linked)
+            hashes = mix(hashes_at[place] * U(0x9E3779B97F4A7C15) + single[place + k - 1])
+            linked = True
+        fresh = None
+        if old is not None:
+            known = holds(old, hashes)
+            if k > 1:
+                fresh = ~(before[place] & before[place + 1])
+                known &= ~fresh
+        if k > 1 and k in levels:
+            yield (k, place, hashes) if fresh is None else (k, place[fresh], hashes[fresh])
+        inside, hashes_at = np.zeros(len(words), bool), np.zeros(len(words), U)
+        inside[place] = holds(new, hashes) if fresh is None else holds(new, hashes) | fresh
+        hashes_at[place] = hashes
+        if old is not None:
+            before = np.zeros(len(words), bool)
+            before[place] = known
+
+
+def _alike(place: np.ndarray, hashes: np.ndarray, parts_of: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A first index and the number of equal phrases; parts_of say whether equal hashes are equal phrases."""
+    _, at, group, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    if any((x[place] != x[place[at]][group]).any() for x in parts_of):
+        _, at, times = np.unique(
+            np.stack([x[place] for x in parts_of], 1), axis=0, return_index=True, return_counts=True)
+    return at, times
 
 
 def _name_hashes(names: pa.Array) -> np.ndarray:
@@ -259,32 +272,43 @@ def propose(docs: DataFrame, least: int) -> DataFrame:
 def frequent_phrases(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, k, phrase, n of every phrase that occurs at least that often (k = 0: all words).
 
-    A pass reads the texts twice: sums by hash first, which are at least a phrase's own,
+    The first pass reads the texts twice: sums by hash, which are at least a phrase's own,
     then exact counts by text of phrases whose hash came that far. So the many rare
-    phrases of the border travel as hashes only.
+    phrases of the border travel as hashes only. If there are failures, a further pass
+    counts by text what they bring within the border, and its extensions to the greatest
+    length: a phrase that is still not counted then has a part that is counted and too rare.
     """
     context = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", "lang", "text")
     proposal = propose(docs, least)
     size = _size(2 * proposal.count())
-    found, old, levels = None, None, range(1, LONGEST + 1)
-    while True:
-        bits = context.broadcast(bit_set(proposal, size))
-        hashes = staged(often(occurrences(docs, levels, bits, old), least), "hashes")
-        chosen = context.broadcast(bit_set(hashes, _size(hashes.count())))
-        counts = occurrences(docs, levels, bits, old, chosen).groupBy("lang", "k", "phrase").agg(
-            F.sum("n").alias("n"), F.max("h").alias("h"))
-        passed = staged(counts.filter((F.col("n") >= least) | (F.col("k") == 0)), "frequent")
-        found = passed if found is None else found.union(passed)
-        failures = staged(passed.filter("k > 0").select("h").join(proposal, "h", "left_anti"), "failures")
-        if failures.isEmpty():
-            return found.select("lang", "k", "phrase", "n")
-        proposal, old, levels = proposal.union(failures), bits, range(2, LONGEST + 1)
+    bits = context.broadcast(bit_set(proposal, size))
+    levels = range(1, LONGEST + 1)
+    hashes = staged(often(occurrences(docs, levels, bits), least), "hashes")
+    chosen = context.broadcast(bit_set(hashes, _size(hashes.count())))
+    found = staged(_counted(occurrences(docs, levels, bits, None, chosen), least), "frequent")
+    failures = staged(found.filter("k > 0").select("h").join(proposal, "h", "left_anti"), "failures")
+    if not failures.isEmpty():
+        wider = context.broadcast(bit_set(proposal.union(failures), size))
+        more = occurrences(docs, range(2, LONGEST + 1), wider, bits, True)
+        found = found.union(staged(_counted(more, least), "frequent"))
+    return found.drop("h")
+
+
+def _counted(found: DataFrame, least: int) -> DataFrame:
+    sums = found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"), F.max("h").alias("h"))
+    return sums.filter((F.col("n") >= least) | (F.col("k") == 0))
 
 
 def scored(frequent: DataFrame) -> DataFrame:
-    """lang, phrase, a, l, r, n, score of phrases of several words that no longer one stands for."""
-    total = frequent.filter("k = 0").select("lang", F.col("n"))
+    """lang, share, phrase, a, l, r, n, score of phrases of several words that no longer one stands for.
+
+    share: one of as many numbers as shuffles have partitions; a language may hold most phrases.
+    """
+    shares = int(frequent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = F.pmod(F.xxhash64("phrase"), F.lit(shares))
+    total = frequent.filter("k = 0").select(
+        "lang", "n", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).cast("long").alias("share"))
     known = frequent.filter("k > 0").select("lang", "k", "phrase", F.col("n").alias("f"))
     phrases = known.filter("k > 1").withColumn("words", F.split("phrase", " "))
 
@@ -304,11 +328,11 @@ def scored(frequent: DataFrame) -> DataFrame:
     for part, name in (("head", "l"), ("tail", "r")):
         cuts = cuts.join(known.select("lang", F.col("phrase").alias(part), F.col("f").alias(name)), ["lang", part])
     whole = {c: F.col(c).cast("decimal(19,0)") for c in "alrn"}
-    cuts = cuts.join(total, "lang").withColumn(
+    cuts = cuts.withColumn("share", share).join(total, ["lang", "share"]).withColumn(
         "score", _floor_ratio(F.lit(1000).cast("decimal(4,0)") * whole["a"] * whole["n"], whole["l"] * whole["r"]))
-    best = cuts.groupBy("lang", "phrase").agg(
+    best = cuts.groupBy("lang", "share", "phrase").agg(
         F.min(F.struct("score", "cut", "a", "l", "r", "n")).alias("best"))
-    return best.select("lang", "phrase", *[F.col(f"best.{c}").alias(c) for c in ("a", "l", "r", "n", "score")])
+    return best.select("lang", "share", "phrase", *[F.col(f"best.{c}").alias(c) for c in ("a", "l", "r", "n", "score")])
 
 
 def _floor_ratio(product, divisor):
@@ -320,10 +344,8 @@ def collocations(docs: DataFrame, least: int = LEAST, first: int = 2000) -> Data
     """Each language's best phrases: lang, rank, phrase, a, l, r, n, score."""
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     rows = scored(frequent_phrases(docs, least))
-    # a language may hold most phrases: first ranks within shares of it, which bounds the last group
-    shares = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(shares)))
-    for group in (["lang", "share"], ["lang"]):
+    # ranks within a language's shares, then within a few of them, bound the last group
+    for group in (["lang", "share"], ["lang", F.col("share") % FEW], ["lang"]):
         rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
         rows = rows.filter(F.col("rank") <= first)
     return rows.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
