@@ -308,7 +308,7 @@ def scored(frequent: DataFrame) -> DataFrame:
     shares = int(frequent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = F.pmod(F.xxhash64("phrase"), F.lit(shares))
     total = frequent.filter("k = 0").select(
-        "lang", "n", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).cast("long").alias("share"))
+        "lang", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"))
     known = frequent.filter("k > 0").select("lang", "k", "phrase", F.col("n").alias("f"))
     phrases = known.filter("k > 1").withColumn("words", F.split("phrase", " "))
 
