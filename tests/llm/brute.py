@@ -4,7 +4,7 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
@@ -143,3 +143,95 @@ def random_rows(seed, n=40, vocabulary=400):
              (n + 4, None), (n + 5, " \n\t"), (n + 6, "aa " * 300), (n + 7, "x" * 500),
              (n + 8, rows[7][1].upper()), (n + 9, " ".join(shared) * 3)]
     return rows
+
+
+def top_k(rows, every=50, k=5, scale=256):
+    """rows: vec_id, vector; whole numbers of any size."""
+    own = [(i, [math.floor(scale * float(x)) for x in v]) for i, v in rows
+           if v is not None and all(x is not None and math.isfinite(scale * float(x)) for x in v)]
+    out = []
+    for q, v in own:
+        if q is None or q % every:
+            continue
+        found = [(max(-2**63, min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=False)))), c)
+                 for c, w in own if c is None or c != q]
+        found.sort(key=lambda x: (-x[0], x[1] is None, x[1] or 0))
+        out += [(q, r, c, x) for r, (x, c) in enumerate(found[:k], 1)]
+    return out
+
+
+def digest(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def merkle(rows, fan=16):
+    """rows: doc_id, source, lang, n_chars, text."""
+    def leaf(row):
+        return digest(*("-" if x is None else f"{len(str(x).encode())}:{x}" for x in row))
+
+    def lowered(text):
+        return None if text is None else re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+    def tree(nodes):
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            below = levels[-1]
+            levels.append([digest(*below[i : i + fan]) for i in range(0, len(below), fan)])
+        return levels
+
+    sources, trees, out = defaultdict(list), {}, []
+    for row in rows:
+        sources[row[1]].append(row)
+    names = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    for s in names:
+        sources[s].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        trees[s] = tree([leaf(r) for r in sources[s]])
+    top = tree([trees[s][-1][0] for s in names])
+    for number, s in enumerate(names):
+        for i, row in enumerate(sources[s]):
+            node = own = leaf(row)
+            if row[0] is not None and zlib.crc32(str(row[0]).encode()) % 5 == 0:
+                node = leaf((*row[:4], lowered(row[4])))
+            proof = ""
+            for levels, at in ((trees[s], i), (top, number)):
+                for level in levels[:-1]:
+                    run, j = level[at // fan * fan : at // fan * fan + fan], at % fan
+                    proof += "".join(run[:j] + run[j + 1 :])
+                    node = digest(*run[:j], node, *run[j + 1 :])
+                    at //= fan
+            root = top[-1][0]
+            out.append((row[0], own, trees[s][-1][0], root, digest(proof), node, node == root))
+    return out
+
+
+def phrase_counts(rows):
+    """Occurrences of phrases of one to five words, and of all words, by language."""
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        data = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())
+        for piece in re.split(rb"[.,;:!?\x0A-\x0D]", data):
+            own = re.findall(rb"[^\x20\x09]+", piece)
+            n[lang] += len(own)
+            for k in range(1, 6):
+                for i in range(len(own) - k + 1):
+                    f[lang, tuple(own[i : i + k])] += 1
+    return f, n
+
+
+def collocations(rows, least=100, first=2000):
+    f, n = phrase_counts(rows)
+    candidates = {x for x, c in f.items() if c >= least and len(x[1]) > 1}
+    inside = set()
+    for lang, p in candidates:
+        for k in range(2, len(p)):
+            for i in range(len(p) - k + 1):
+                if 100 * f[lang, p] >= 100 * f[lang, p[i : i + k]]:
+                    inside.add((lang, p[i : i + k]))
+    found = defaultdict(list)
+    for lang, p in candidates - inside:
+        a = f[lang, p]
+        score, k = min((1000 * a * n[lang] // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p)))
+        found[lang].append((-score, -a, b" ".join(p), f[lang, p[:k]], f[lang, p[k:]]))
+    return [(lang, i, p.decode(), -a, left, right, n[lang], -score) for lang, own in found.items()
+            for i, (score, a, p, left, right) in enumerate(sorted(own)[:first], 1)]
