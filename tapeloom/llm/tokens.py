@@ -7,13 +7,16 @@ sequences of equal lengths without padding and no sequence holds two documents.
 Both work in one pass over the documents without a shuffle. The vocabulary is a file
 of ranks that gives the same ids as the ``tokenizers`` file of that name.
 
-Null text: empty, so a document is its end id alone. Long texts are encoded whole. Null
-ids and repeated rows are packed like any others. Extra columns are left alone.
+Null text: empty, so a document is its end id alone. Long texts are encoded whole; a run of
+white space of ``RUN`` characters or more is encoded apart, at places where the ids stay the same. Null
+ids and repeated rows are packed like any others. Pieces of equal size keep the documents' order.
+Extra columns are left alone.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,20 +35,40 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 LENGTH = 2048
 #: Text bytes whose documents are packed together by best fit.
 TOGETHER = 1 << 22
+#: White space of so many characters is not given to the vocabulary's pattern, which would backtrack over it.
+RUN = 10_000
+_SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % RUN)
 
 
-@lru_cache(maxsize=1)
-def encoder(path: str) -> tiktoken.Encoding:
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str = public_tokenizers.PATTERN) -> tiktoken.Encoding:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                             special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode(block, path: str, end: int) -> list[np.ndarray]:
-    """Ids of each text with the end id; strings of special tokens are ordinary text."""
+def token_ids(text: str, path: str) -> list[int]:
+    """Ids of a text; strings of special tokens are ordinary text.
+
+    In a run of white space the pattern takes all but the last character, which may
+    go with what follows, or all at the end of the text. So a long run is one piece, and
+    the texts before and after it can be encoded on their own.
+    """
     own = encoder(path)
-    return [np.array([*own.encode_ordinary(block.text(i).decode("utf-8", "replace")), end], "<u4")
+    if len(text) < RUN:
+        return own.encode_ordinary(text)
+    out, at = [], 0
+    for run in _SPACES.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        out += own.encode_ordinary(text[at : run.start()])
+        out += encoder(path, "(?s).+").encode_ordinary(text[run.start() : stop])
+        at = stop
+    return out + own.encode_ordinary(text[at:])
+
+
+def encode(block, path: str, end: int) -> list[np.ndarray]:
+    """Ids of each text with the end id."""
+    return [np.array([*token_ids(block.text(i).decode("utf-8", "replace"), path), end], "<u4")
             for i in range(block.rows.num_rows)]
 
 
