@@ -7,9 +7,10 @@ with each language's by a logistic loss, each bit weighted by how well its class
 separates that language (loss-weighted decoding). Texts whose two nearest languages
 are close are flagged as ambiguous.
 
-Training sums cover all training rows. They are map-side sums of (language, n-gram),
-and what reaches the driver is at most ``GRAMS`` rows for each language; there may be
-``LANGUAGES`` of them.
+Training sums cover all training rows. They are map-side sums of (language, n-gram), packed to
+one row for each language. The driver reads these rows one after another, twice, and adds
+them to the bits they belong to: it holds the bits' n-grams and each language's codeword, never all
+languages' n-grams, so there may be any number of languages.
 
 Null texts and texts without a letter are ``und`` with score 0. If there is nothing to
 learn from, every text is ``und``. Rows with a null lang are not learnt from. Repeated
@@ -23,13 +24,13 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.text import U, blocks, mix
+from tapeloom.llm.text import U, blocks, mix, staged
 
 GRAMS = 1 << 14
-LANGUAGES = 400
 #: Languages up to which all different splits into two sets are used as bits.
 EXHAUSTIVE = 6
 #: How much farther the second language must be, as a share of all bits' weight.
@@ -103,27 +104,33 @@ def codebook(k: int) -> np.ndarray:
 
 
 class Model:
-    """Codewords, n-gram weights of each bit, and weights of each language's bits."""
-
-    def __init__(self, counts: dict[str, np.ndarray]):
-        self.langs = sorted(counts)
-        self.code = codebook(len(self.langs))
-        share = np.stack([(counts[x] + 0.5) / (counts[x].sum() + 0.5 * GRAMS) for x in self.langs]
-                         ) if counts else np.ones((0, GRAMS))
-        weights = []
-        for bit in self.code.T:
-            on, off = share[bit > 0], share[bit < 0]
-            weights.append(np.log(on.mean(0) / off.mean(0)) if len(on) and len(off) else np.zeros(GRAMS))
-        self.weight = np.append(np.array(weights), np.zeros((len(weights), 1)), 1).astype(np.float32)
+    """Codewords, n-gram weights of each bit, and weights of each language's bits.
+
+    langs in order; shares() gives (number, share of each n-gram) of one language after another.
+    """
+
+    def __init__(self, langs: list[str], shares):
+        self.langs = langs
+        self.code = codebook(len(langs))
+        on, off = np.zeros((2, self.code.shape[1], GRAMS))
+        for i, share in shares():
+            on[self.code[i] > 0] += share
+            off[self.code[i] < 0] += share
+        ons, offs = ((self.code * sign > 0).sum(0)[:, None] for sign in (1, -1))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            weights = np.where((ons > 0) & (offs > 0), np.log((on / ons) / (off / offs)), 0)
+        self.weight = np.append(weights, np.zeros((len(weights), 1)), 1).astype(np.float32)
         # mean margin of each bit over a language's own n-grams, in the right direction
-        margin = np.maximum(share @ self.weight[:, :GRAMS].T * self.code, 1e-6)
+        margin = np.zeros(self.code.shape)
+        for i, share in shares():
+            margin[i] = np.maximum(self.weight[:, :GRAMS] @ share * self.code[i], 1e-6)
         self.scale = 4 / margin.mean() if margin.size else 1.0
         self.trust = margin / margin.sum(1, keepdims=True) if margin.size else margin
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nearest language, score and whether another is close, for rows of margins."""
-        loss = np.logaddexp(0, -margins[:, None, :] * self.scale * self.code[None])
-        loss = (loss * self.trust[None]).sum(2)
+        set_, unset = (np.logaddexp(0, -sign * margins * self.scale) for sign in (1, -1))
+        loss = set_ @ np.where(self.code > 0, self.trust, 0).T + unset @ np.where(self.code < 0, self.trust, 0).T
         order = np.argsort(loss, axis=1, kind="stable")
         best = order[:, 0]
         if len(self.langs) < 2:
@@ -134,15 +141,42 @@ class Model:
         return best, soft[rows, best] / soft.sum(1), gap < MARGIN
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each language of rows in the order of lang: its n-grams and their numbers."""
+    def row(lang, kept):
+        gram, n = (np.concatenate(x) for x in zip(*kept, strict=True))
+        return pa.RecordBatch.from_pydict({
+            "lang": [lang], "gram": [gram.astype("<i4").tobytes()], "n": [n.astype("<i8").tobytes()]})
+
+    lang, kept = None, []
+    for batch in batches:
+        runs = pc.run_end_encode(batch.column("lang"))
+        at = 0
+        for name, stop in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+            if kept and name != lang:
+                yield row(lang, kept)
+                kept = []
+            lang, part = name, batch.slice(at, stop - at)
+            kept.append((part.column("gram").to_numpy(), part.column("n").to_numpy()))
+            at = stop
+    if kept:
+        yield row(lang, kept)
+
+
 def fit(docs: DataFrame) -> Model:
     """Learn from all rows of (text, lang) that have both."""
-    counts: dict[str, np.ndarray] = {}
     rows = count_grams(docs.select("text", "lang").filter("lang is not null and text is not null"))
-    for lang, gram, n in rows.toLocalIterator():
-        counts.setdefault(lang, np.zeros(GRAMS))[gram] = n
-        if len(counts) > LANGUAGES:
-            raise ValueError(f"over {LANGUAGES} languages")
-    return Model(counts)
+    packed = staged(rows.repartition("lang").sortWithinPartitions("lang", "gram").mapInArrow(
+        _packed, "lang string, gram binary, n binary"), "grams").sort("lang")
+    langs = [r.lang for r in packed.select("lang").toLocalIterator()]
+
+    def shares():
+        for i, (_, gram, n) in enumerate(packed.toLocalIterator()):
+            count = np.zeros(GRAMS)
+            count[np.frombuffer(gram, "<i4")] = np.frombuffer(n, "<i8")
+            yield i, (count + 0.5) / (count.sum() + 0.5 * GRAMS)
+
+    return Model(langs, shares)
 
 
 def predict(block, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
