@@ -38,8 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.graph import components
-from tapeloom.llm.text import U, blocks, mix, rolling, staged
-from tapeloom.session import shared_dir
+from tapeloom.llm.text import U, blocks, mix, rolling, scratch, staged, staging_dir
 
 SHINGLE = 3
 RADIUS = 2
@@ -360,7 +359,7 @@ def _settled(lists: DataFrame, linked: DataFrame, samples: DataFrame, texts: Dat
 def _bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """Write to the shared folder in buckets of the keys: joins on them do not shuffle it again."""
     spark = df.sparkSession
-    path = shared_dir(spark, name)
+    path = staging_dir(spark, name)
     table = f"{name}_{uuid4().hex}"
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)  # Spark's own limit
     df.write.format("parquet").option("path", path).bucketBy(buckets, *keys).saveAsTable(table)
@@ -369,23 +368,29 @@ def _bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return found
 
 
-def _first_rows(docs: DataFrame) -> DataFrame:
-    """Each different text once, in buckets of its key: t1, t2, text, first (its smallest
-    doc_id, a null last) and row, the columns of a row that has this doc_id."""
+def _firsts(docs: DataFrame) -> DataFrame:
+    """Each different text once: its key (t1, t2) and row, the columns of a row that has its
+    smallest doc_id, a null last."""
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     text = F.coalesce(F.col(f"c{docs.columns.index('text')}"), F.lit(""))
     doc_id = F.col(f"c{docs.columns.index('doc_id')}")
     order = F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"))
-    firsts = plain.groupBy(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")).agg(
+    return plain.groupBy(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")).agg(
         F.min_by(F.struct(*plain.columns), order).alias("row"))
+
+
+def _first_texts(docs: DataFrame) -> DataFrame:
+    """Each different text once, in buckets of its key: t1, t2, text and first, its smallest
+    doc_id (a null last)."""
     inner = [F.col(f"row.c{docs.columns.index(x)}") for x in ("text", "doc_id")]
-    return _bucketed(firsts, "first_rows", ["t1", "t2"]).select(
+    return _bucketed(_firsts(docs).select(
         "t1", "t2", F.coalesce(inner[0], F.lit("")).alias("text"),
-        F.struct(inner[1].isNull().alias("none"), inner[1].alias("doc_id")).alias("first"), "row")
+        F.struct(inner[1].isNull().alias("none"), inner[1].alias("doc_id")).alias("first")),
+        "first_texts", ["t1", "t2"])
 
 
 def similar_texts(texts: DataFrame) -> DataFrame:
-    """(u, v) of ``components`` over the keys t1 of ``_first_rows``.
+    """(u, v) of ``components`` over the keys t1 of ``_first_texts``.
 
     Each list links its members to one of them, chosen by a hash of its own for each list,
     so a list of any size gives one candidate for each member; that joins large groups.
@@ -440,14 +445,16 @@ def unique_documents(docs: DataFrame) -> DataFrame:
     ``SIMILARITY`` over the sets of their shingles, see ``similar_texts``. A null doc_id
     comes last.
     """
-    texts = _first_rows(docs)
-    linked = similar_texts(texts)
-
-    # a group's winner is its text with the smallest doc_id; the others' texts go
-    nodes = linked.select(F.col("u").alias("t1"), F.col("v").alias("root")).union(
-        linked.select(F.col("v").alias("t1"), F.col("v").alias("root")).distinct())
-    known = staged(nodes.join(texts.select("t1", "t2", "first"), "t1"), "known")
-    best = known.groupBy("root").agg(F.min(F.struct("first", "t1")).alias("best"))
-    losers = known.join(best, "root").filter(F.col("t1") != F.col("best.t1")).select("t1", "t2")
-    kept = texts.join(losers.hint("shuffle_hash"), ["t1", "t2"], "left_anti")
+    with scratch(docs.sparkSession):
+        texts = _first_texts(docs)
+        linked = similar_texts(texts)
+
+        # a group's winner is its text with the smallest doc_id; the others' texts go
+        nodes = linked.select(F.col("u").alias("t1"), F.col("v").alias("root")).union(
+            linked.select(F.col("v").alias("t1"), F.col("v").alias("root")).distinct())
+        known = staged(nodes.join(texts.select("t1", "t2", "first"), "t1"), "known")
+        best = known.groupBy("root").agg(F.min(F.struct("first", "t1")).alias("best"))
+        losers = known.join(best, "root").filter(F.col("t1") != F.col("best.t1")).select("t1", "t2")
+        losers = staged(losers, "losers", lasting=True)
+    kept = _firsts(docs).join(losers.hint("shuffle_hash"), ["t1", "t2"], "left_anti")
     return kept.select("row.*").toDF(*docs.columns)

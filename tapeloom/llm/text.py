@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 from pathlib import Path
 
@@ -30,9 +32,34 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes the folders that were staged meanwhile, but for lasting ones."""
+    folders: list[str] = []
+    token = _scratch.set(folders)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def staging_dir(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A new folder below the shared one; ``scratch`` removes it unless it is lasting."""
+    path = shared_dir(spark, name)
+    if not lasting and (folders := _scratch.get()) is not None:
+        folders.append(path)
+    return path
+
+
+def staged(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write to the shared folder and read again: short lineage that survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
+    path = staging_dir(df.sparkSession, name, lasting)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
