@@ -235,3 +235,34 @@ def collocations(rows, least=100, first=2000):
         found[lang].append((-score, -a, b" ".join(p), f[lang, p[:k]], f[lang, p[k:]]))
     return [(lang, i, p.decode(), -a, left, right, n[lang], -score) for lang, own in found.items()
             for i, (score, a, p, left, right) in enumerate(sorted(own)[:first], 1)]
+
+
+def language_scores(training, texts, codebook, hashed, size, scale_to=4):
+    """(language, score) of texts by the codewords' bits, one gram and one bit at a time.
+
+    training: (text, lang); hashed: number of a text's grams, in order; size: how many numbers there are.
+    """
+    counts = defaultdict(Counter)
+    for text, lang in training:
+        counts[lang].update(hashed(text))
+    langs = sorted(counts)
+    code = codebook(len(langs))
+    share = [[(counts[x][g] + 0.5) / (sum(counts[x].values()) + 0.5 * size) for g in range(size)] for x in langs]
+    weight = []
+    for bit in range(code.shape[1]):
+        on, off = ([own for own, c in zip(share, code[:, bit], strict=True) if c == sign] for sign in (1, -1))
+        weight.append([math.log((sum(a) / len(a)) / (sum(b) / len(b)))
+                       for a, b in zip(zip(*on, strict=True), zip(*off, strict=True), strict=True)])
+    margin = [[max(sum(s * w for s, w in zip(own, bit, strict=True)) * code[i][b], 1e-6) for b, bit in enumerate(weight)]
+              for i, own in enumerate(share)]
+    scale = scale_to / (sum(map(sum, margin)) / code.size)
+    out = []
+    for text in texts:
+        own = hashed(text)
+        sums = [sum(bit[g] for g in own) / max(len(own), 1) for bit in weight]
+        loss = [sum(m / sum(margin[i]) * (max(-x * scale * c, 0) + math.log1p(math.exp(-abs(x * scale))))
+                    for m, x, c in zip(margin[i], sums, code[i], strict=True)) for i in range(len(langs))]
+        soft = [math.exp(-8 * (x - min(loss))) for x in loss]
+        best = loss.index(min(loss))
+        out.append((langs[best], soft[best] / sum(soft)))
+    return out

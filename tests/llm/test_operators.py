@@ -351,7 +351,8 @@ def test_substring_dedup_keeps_other_columns(spark):
 
 def test_empty_tables(spark, tables):
     folder = tables([], labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"),
-                    benchmark=spark.createDataFrame([], "item_id long, text string"))
+                    benchmark=spark.createDataFrame([], "item_id long, text string"),
+                    embeddings=spark.createDataFrame([], "vec_id long, embedding array<float>"))
     for name, f in queries.QUERIES.items():
         assert f(spark, folder).collect() == [], name
 
