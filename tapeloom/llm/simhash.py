@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.graph import components
 from tapeloom.llm.text import U, blocks, mix, rolling, scratch, staged, staging_dir
+from tapeloom.session import settings
 
 SHINGLE = 3
 RADIUS = 2
@@ -53,6 +54,8 @@ SMALL, ROUNDS = 64, 4
 CELL = 512
 SIMILARITY = 0.8
 WORDS = 5
+#: Text that a Python worker is given at a time.
+BATCH = "8m"
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -445,7 +448,8 @@ def unique_documents(docs: DataFrame) -> DataFrame:
     ``SIMILARITY`` over the sets of their shingles, see ``similar_texts``. A null doc_id
     comes last.
     """
-    with scratch(docs.sparkSession):
+    spark = docs.sparkSession
+    with scratch(spark), settings(spark, spark__sql__execution__arrow__maxBytesPerBatch=BATCH):
         texts = _first_texts(docs)
         linked = similar_texts(texts)
 
