@@ -294,6 +294,23 @@ class Store:
             batch = neighbours.unionByName(batch, allowMissingColumns=True)
         self._put(batch, PANEL, "days")
 
+    def patch(
+        self, rows: DataFrame, keys: DataFrame, days: Sequence[date], may_empty: bool = False
+    ) -> None:
+        """Drop the panel's rows whose key is in ``keys``, add ``rows``, marks included.
+
+        Only the partitions of ``days`` are rewritten. With ``may_empty`` a day that is
+        left without a row goes.
+        """
+        kept = with_keys_not_in(self._slice(PANEL, days), keys, get_table(PANEL).key)
+        content = kept.unionByName(self._ready(rows, PANEL), allowMissingColumns=True)
+        empty = set(days) if may_empty else set()
+        if empty:
+            empty -= {row.trade_date for row in cal.trading_days(content).collect()}
+        self._put(content, PANEL, "days")
+        for day in empty:
+            self._delete_day(day)
+
     def _delete_day(self, day: date) -> None:
         if self.grain != "day":
             rest = self._slice(PANEL, [day]).where(F.col("trade_date") != day)
