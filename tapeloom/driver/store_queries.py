@@ -17,11 +17,11 @@ from ..contracts import ALL_TABLES, DAILY_MARKET_SNAPSHOT
 from ..contracts import fixed_values as fixed
 from ..operators import market
 from ..operators.keys import with_keys_not_in
-from ..plans import daily, loaders, review
+from ..plans import daily, late, loaders, review
 from ..session import shared_dir
 from ..sources import raw_files
 from ..sources.store import NOTES, PANEL, PHASE, TRADES, Store
-from ..streaming import landing
+from ..streaming import landing, ordered
 from . import adapter, sql
 from .registry import query
 
@@ -260,7 +260,7 @@ _ENRICHED = ["trade_date", "ticker", "close", "pct_change", "volume", "amount",
              "is_limit_up", "is_limit_down"]
 
 
-@query(
+_FILLED = (
     sql.PANEL + """, days AS (SELECT DISTINCT trade_date FROM panel),
     spans AS (SELECT *, lead(trade_date) OVER (PARTITION BY ticker ORDER BY trade_date) AS nd FROM panel),
     dense AS (
@@ -276,6 +276,9 @@ _ENRICHED = ["trade_date", "ticker", "close", "pct_change", "volume", "amount",
         THEN 19.9e0 ELSE 9.9e0 END), false) AS is_limit_down
     FROM dense"""
 )
+
+
+@query(_FILLED)
 def stream_daily_ingest(spark, sf_dir):
     """Landed realtime snapshots: clean, carry forward, enrich, replace days."""
     path, columns = _land_files(spark, sf_dir)
@@ -287,6 +290,34 @@ def stream_daily_ingest(spark, sf_dir):
     return store.snapshot().select(*_ENRICHED)
 
 
+@query(_FILLED)
+def stream_shuffled_days(spark, sf_dir):
+    """The same files landed in an order that splits every day and puts years behind later
+    ones, taken in a few at a time."""
+    path, store = shared_dir(spark, "shuffled"), new_store(spark, "stream_shuffled")
+    landed, columns = _land_files(spark, sf_dir)
+    text = spark.read.schema(raw_files.text_schema(columns)).option("header", "true").csv(f"{landed}/year=*")
+    part = F.pmod(F.substring("trade_date", 4, 1).cast("int") + 2 * F.pmod(F.xxhash64("代码"), F.lit(2)), F.lit(4))
+    for n in (2, 0, 3, 1):
+        text.where(part == n).write.option("header", "true").csv(f"{path}/{n}")
+    stream = landing.read_landing(spark, path, columns, max_files=2)
+    ordered.ingest_in_order(stream, store, "em", shared_dir(spark, "checkpoint"), hold=3).awaitTermination()
+    ordered.OrderedLanding(store).finish()
+    return store.snapshot().select(*_ENRICHED)
+
+
+@query(_FILLED)
+def late_day(spark, sf_dir):
+    """A filled store gets days it never had, and corrected rows of days it has."""
+    store = new_store(spark, "late_day")
+    panel = adapter.panel(spark, sf_dir)
+    missed, wrong = F.dayofmonth("trade_date") % 7 == 3, F.substring("ticker", 6, 1) == "4"
+    early = panel.where(~missed).withColumn("close", F.when(wrong, F.col("close") + 1).otherwise(F.col("close")))
+    daily.update_days(early, store)
+    late.refill_days(panel.where(missed | wrong), store)
+    return store.snapshot().select(*_ENRICHED)
+
+
 @query(
     sql.RAW + """, own AS (SELECT trade_date, code_text, name_text, close_text, volume_text, seq,
       source FROM raw) SELECT * FROM own"""

@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import ALL_TABLES, TableContract, get_table
@@ -110,6 +110,15 @@ class Store:
             .alias("trade_date")
         ).where("trade_date is not null")
 
+    def period_column(self, day: Column) -> Column:
+        """The partition of the panel that a day belongs to, as text."""
+        return F.date_format(day, spark_pattern(_PERIOD_FORMATS[self.grain]))
+
+    def periods(self) -> list[str]:
+        """The panel's stored partitions in date order, from the catalog."""
+        parts = self.spark.sql(f"SHOW PARTITIONS {self.name(PANEL)}").collect()
+        return sorted(row.partition.partition("=")[2] for row in parts)
+
     # --- queries -------------------------------------------------------------
 
     def snapshot(
@@ -139,10 +148,8 @@ class Store:
         it are looked at one by one, so that no other is read."""
         if self.grain == "day":
             return cal.previous_trade_date(self.days(), day).first()[0]
-        parts = self.spark.sql(f"SHOW PARTITIONS {self.name(PANEL)}").collect()
-        periods = {row.partition.partition(f"{PERIOD}=")[2] for row in parts}
         before = F.col("trade_date") < F.lit(day).cast("date")
-        for period in sorted((p for p in periods if p <= self._period_of(day)), reverse=True):
+        for period in reversed([p for p in self.periods() if p <= self._period_of(day)]):
             found = self.spark.table(self.name(PANEL)).where((F.col(PERIOD) == period) & before)
             if (latest := found.agg(F.max("trade_date")).first()[0]) is not None:
                 return latest
@@ -208,8 +215,7 @@ class Store:
         columns = []
         for field in target.schema.fields:
             if field.name == PERIOD:
-                pattern = spark_pattern(_PERIOD_FORMATS[self.grain])
-                value = F.date_format("trade_date", pattern)
+                value = self.period_column(F.col("trade_date"))
             elif field.name in df.columns:
                 value = to_type(F.col(field.name), df.schema[field.name].dataType, field.dataType)
             else:
