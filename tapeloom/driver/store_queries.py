@@ -17,7 +17,7 @@ from ..contracts import ALL_TABLES, DAILY_MARKET_SNAPSHOT
 from ..contracts import fixed_values as fixed
 from ..operators import market
 from ..operators.keys import with_keys_not_in
-from ..plans import daily, late, loaders, review
+from ..plans import daily, daily_view, late, loaders, review
 from ..session import shared_dir
 from ..sources import raw_files
 from ..sources.store import NOTES, PANEL, PHASE, TRADES, Store
@@ -318,6 +318,35 @@ def late_day(spark, sf_dir):
     return store.snapshot().select(*_ENRICHED)
 
 
+def _ma(n: int) -> str:
+    frame = f"(PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return (f"CASE WHEN count(close) OVER {frame} = {n} THEN CAST(sum(CAST(round(close * 10000) AS BIGINT))"
+            f" OVER {frame} AS DOUBLE) / {n * 10000}e0 END AS ma{n}")
+
+
+@query(
+    sql.VIEW + f""", averaged AS (SELECT trade_date, ticker, close, pre_close AS last_close, is_limit_up, boards,
+      candle_state, {", ".join(map(_ma, (5, 10, 20, 60)))} FROM market)
+    SELECT * FROM averaged
+    WHERE trade_date IN (SELECT DISTINCT trade_date FROM listed ORDER BY trade_date DESC LIMIT 3)"""
+)
+def daily_view_from_state(spark, sf_dir):
+    """The newest three days' views, each from the state of the day before. The first state is
+    made from the history but for its last 40 days, which are then folded in at once."""
+    store = new_store(spark, "view_from_state")
+    store.append(PANEL, adapter.panel(spark, sf_dir))
+    days = sorted(row.trade_date for row in store.days().collect())
+    own = daily_view.DailyView(store)
+    own.start(days[-min(40, len(days))])
+    out = None
+    for day in days[-3:]:
+        one = own.view(day, places=4).select(
+            "trade_date", "ticker", "close", "last_close", "is_limit_up", "boards", "candle_state",
+            "ma5", "ma10", "ma20", "ma60")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     sql.RAW + """, own AS (SELECT trade_date, code_text, name_text, close_text, volume_text, seq,
       source FROM raw) SELECT * FROM own"""

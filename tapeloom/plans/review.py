@@ -14,16 +14,20 @@ from ..sources.store import between_days
 Day = date | str
 
 
-def market_view(panel: DataFrame) -> DataFrame:
-    """Panel with price-limit flags, broken limits, candle states and board streaks.
+def flagged_view(panel: DataFrame) -> DataFrame:
+    """Panel with price-limit flags, broken limits and candle states, row by row.
 
     Needs pre_close and pct_change; carried rows, when marked, are left out.
     """
     if "is_carried" in panel.columns:
         panel = panel.where("not coalesce(is_carried, false)").drop("is_carried")
     flagged = market.flag_limits_by_price(market.flag_st(panel), keep_prices=True)
-    stated = market.add_candle_state(market.flag_broken(flagged))
-    return series.board_streak(stated)
+    return market.add_candle_state(market.flag_broken(flagged))
+
+
+def market_view(panel: DataFrame) -> DataFrame:
+    """``flagged_view`` with board streaks."""
+    return series.board_streak(flagged_view(panel))
 
 
 def dashboard(
