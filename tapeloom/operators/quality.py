@@ -6,11 +6,15 @@ Checks come in two forms: raising guards, and reports. A report is a DataFrame
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
+from contextlib import contextmanager
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..contracts import fixed_values as fixed
 from ..contracts import get_table
@@ -62,6 +66,58 @@ class DataCheckError(ValidationError):
     """A data rule failed; the message shows a few offenders."""
 
 
+# --- key checks within a job: rows that break them stop it ---------------------
+
+_BROKEN_KEY = "broken key"
+
+
+def _stop(message: str, key: Sequence[str]) -> Column:
+    shown = F.concat_ws(", ", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in key])
+    return F.raise_error(F.concat(F.lit(f"{_BROKEN_KEY}: {message} {tuple(key)}: "), shown))
+
+
+def _or_stop(df: DataFrame, wrong: Column, message: str, key: Sequence[str]) -> DataFrame:
+    """The check is part of a key column, so no plan can leave it out."""
+    first = key[0]
+    checked = F.when(wrong, _stop(message, key).cast(df.schema[first].dataType)).otherwise(F.col(first))
+    return df.withColumn(first, checked)
+
+
+def with_unique_key(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``df``, which stops its job at a NULL or repeated key.
+
+    NULL keys are met before the shuffle. Within a key rows are numbered, not gathered.
+    """
+    absent = F.lit(False)
+    for c in key:
+        absent = absent | F.col(c).isNull()
+    whole = _or_stop(df, absent, "NULL in", key)
+    line = Window.partitionBy(*key).orderBy(F.lit(0))
+    numbered = whole.withColumn("_copy", F.row_number().over(line))
+    return _or_stop(numbered, F.col("_copy") > 1, "repeated", key).drop("_copy")
+
+
+def with_new_key(df: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``df``, which stops its job at a key that ``stored`` holds."""
+    known = stored.select(*[F.col(c).alias(f"_{c}") for c in key], F.lit(True).alias("_known"))
+    same = F.lit(True)
+    for c in key:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return _or_stop(df.join(known, same, "left"), F.col("_known"), "already stored", key).select(*df.columns)
+
+
+@contextmanager
+def key_errors():
+    """Gives the error of a job that a key check stopped its own class."""
+    try:
+        yield
+    except PySparkException as error:
+        found = re.search(rf"{_BROKEN_KEY}: ([^\n]*)", str(error))
+        if not found:
+            raise
+        raise DuplicateKeyError(found.group(1)) from None
+
+
 # --- column checks: no job ---------------------------------------------------
 
 

@@ -11,10 +11,11 @@ the catalog entry is pointed at it.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
-from datetime import date
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import ALL_TABLES, TableContract, get_table
@@ -176,29 +177,33 @@ class Store:
             df = df.withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
         return df
 
-    def _profile(self, batch: DataFrame, contract: TableContract) -> list[date]:
-        """Check the batch's key and return the days it touches, in one job.
+    @contextmanager
+    def _staged(self, batch: DataFrame, contract: TableContract) -> Iterator[tuple[DataFrame, list[date]]]:
+        """A batch checked and written once, and the days it touches.
 
-        One small row per trading day reaches the driver.
+        Reading the source, checking the key and finding the days are one job: a NULL or
+        repeated key stops it, and the days come back as an observed metric. What follows
+        reads the staged rows, which are gone afterwards.
         """
-        if not contract.partition_by:
-            quality.require_unique_key(batch, contract.key)
-            return []
-        per_key = batch.groupBy(*contract.key).agg(F.count(F.lit(1)).alias("n"))
-        null_key = F.lit(False)
-        for key in contract.key:
-            null_key = null_key | F.col(key).isNull()
-        days = (
-            per_key.groupBy("trade_date")
-            .agg(F.count_if((F.col("n") > 1) | null_key).alias("bad"))
-            .collect()
-        )
-        bad = [row.trade_date for row in days if row.bad]
-        if bad:
-            raise quality.DuplicateKeyError(
-                f"key {contract.key} repeated or NULL on {len(bad)} days, e.g. {bad[:5]}"
-            )
-        return [row.trade_date for row in days]
+        spark = batch.sparkSession
+        folder = f"{self.root}/_staging/{uuid.uuid4().hex[:12]}"
+        metric = Observation()
+        rows = quality.with_unique_key(batch, contract.key)
+        if contract.partition_by:
+            rows = rows.observe(metric, *_day_metrics(F.col("trade_date")))
+        try:
+            with quality.key_errors():
+                rows.write.parquet(folder)
+            found = spark.read.schema(rows.schema).parquet(folder)
+            days = []
+            if contract.partition_by:
+                days = _days_of(metric.get)
+                if days is None:
+                    days = [row.trade_date for row in cal.trading_days(found).collect()]
+            yield found, days
+        finally:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def _slice(self, table: str, days: Sequence[date]) -> DataFrame:
         """The stored rows of the partitions that a batch on ``days`` touches."""
@@ -244,25 +249,23 @@ class Store:
         self.spark.catalog.refreshTable(self.name(table))
 
     def append(self, table: str, df: DataFrame) -> None:
-        """Add rows; a key already stored, repeated or NULL is an error."""
+        """Add rows; a key already stored, repeated or NULL is an error.
+
+        Stored keys are looked up while the rows are written; a job that meets one
+        writes nothing.
+        """
         contract = get_table(table)
-        batch = self._ready(df, table)
-        days = self._profile(batch, contract)
-        known = with_keys_in(self._slice(table, days), batch, contract.key).limit(5).collect()
-        if known:
-            raise quality.DuplicateKeyError(
-                f"{table} already holds {[tuple(r[k] for k in contract.key) for r in known]}"
-            )
-        self._put(batch, table, "append")
+        with self._staged(self._ready(df, table), contract) as (batch, days), quality.key_errors():
+            stored = self._slice(table, days)
+            self._put(quality.with_new_key(batch, stored, contract.key), table, "append")
 
     def replace_by_key(self, table: str, df: DataFrame) -> None:
         """Delete the rows whose key is in the batch, then insert the batch."""
         contract = get_table(table)
-        batch = self._ready(df, table)
-        days = self._profile(batch, contract)
-        stored = self._slice(table, days)
-        kept = with_keys_not_in(stored, batch, contract.key)
-        self._put(kept.unionByName(batch, allowMissingColumns=True), table, "days")
+        with self._staged(self._ready(df, table), contract) as (batch, days):
+            stored = self._slice(table, days)
+            kept = with_keys_not_in(stored, batch, contract.key)
+            self._put(kept.unionByName(batch, allowMissingColumns=True), table, "days")
 
     def save(self, table: str, df: DataFrame, replace: bool = False) -> None:
         """Validate and coerce, then append or replace by key."""
@@ -276,10 +279,9 @@ class Store:
         ``columns`` keep their stored values.
         """
         contract = get_table(PANEL)
-        batch = self._ready(df, PANEL)
-        days = self._profile(batch, contract)
-        merged = merge_rows(self._slice(PANEL, days), batch, contract.key, [*columns, MARK])
-        self._put(merged, PANEL, "days")
+        with self._staged(self._ready(df, PANEL), contract) as (batch, days):
+            merged = merge_rows(self._slice(PANEL, days), batch, contract.key, [*columns, MARK])
+            self._put(merged, PANEL, "days")
 
     def replace_day(self, df: DataFrame, trade_date: Day) -> int:
         """Make ``df`` the whole content of one day; returns the rows stored for it."""
@@ -292,13 +294,18 @@ class Store:
         return self.table(PANEL, day, day).count()
 
     def replace_days(self, df: DataFrame) -> None:
-        """``replace_day`` for every day of the batch in one job."""
-        batch = self._ready(df, PANEL)
-        days = self._profile(batch, get_table(PANEL))
-        if self.grain != "day":
+        """``replace_day`` for every day of the batch in one job.
+
+        By days nothing stored is needed, so the rows go straight to their partitions.
+        """
+        contract, batch = get_table(PANEL), self._ready(df, PANEL)
+        if self.grain == "day":
+            with quality.key_errors():
+                self._put(quality.with_unique_key(batch, contract.key), PANEL, "days")
+            return
+        with self._staged(batch, contract) as (rows, days):
             neighbours = self._slice(PANEL, days).where(~F.col("trade_date").isin(days))
-            batch = neighbours.unionByName(batch, allowMissingColumns=True)
-        self._put(batch, PANEL, "days")
+            self._put(neighbours.unionByName(rows, allowMissingColumns=True), PANEL, "days")
 
     def patch(
         self, rows: DataFrame, keys: DataFrame, days: Sequence[date], may_empty: bool = False
@@ -374,6 +381,31 @@ class Store:
         return repair_report(before, self.table(repaired))
 
 
+# --- the days of a batch as a metric ---------------------------------------------
+
+_EPOCH = date(1970, 1, 1)
+_BITMAP_DAYS = 1 << 15  # what one bitmap holds: to 2059
+
+
+def _day_metrics(day: Column) -> list[Column]:
+    """A bitmap of days, four kilobytes however many rows, and how many days it can not hold."""
+    number = F.date_diff(day, F.lit(_EPOCH))
+    return [
+        F.bitmap_construct_agg(F.bitmap_bit_position((number + 1).cast("long"))).alias("days"),
+        F.count_if((number < 0) | (number >= _BITMAP_DAYS)).alias("outside"),
+    ]
+
+
+def _days_of(metrics: Mapping) -> list[date] | None:
+    """The days in a bitmap; None where it does not hold all of them."""
+    if metrics["outside"]:
+        return None
+    return [
+        _EPOCH + timedelta(days=8 * place + bit)
+        for place, byte in enumerate(metrics["days"] or b"") for bit in range(8) if byte >> bit & 1
+    ]
+
+
 # --- the same steps on plain DataFrames ----------------------------------------
 
 
