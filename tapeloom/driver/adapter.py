@@ -21,23 +21,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def stock_code(k: Column) -> Column:
-    """Six digits. Stocks 1,000 to 29,999 take free numbers of the 4 and 8 blocks,
-    which keep codes distinct; past those a class part does."""
-    prefix = F.lit("510")
-    for place in range(len(CODE_PREFIXES) - 1, -1, -1):
-        prefix = F.when(k % 8 == place, CODE_PREFIXES[place]).otherwise(prefix)
-    prefix = F.when(k % 50 == 49, "510").otherwise(prefix)
-    wrap = F.when(k >= 1000, F.concat(F.lit("-"), F.floor(k / 1000).cast("string"))).otherwise("")
-    block = F.when(k % 2 == 0, "4").otherwise("8")
-    free = k.between(1000, 29999) & (k % 50 != 49)
-    return F.when(free, F.concat(block, F.lpad(k.cast("string"), 5, "0"))).otherwise(
-        F.concat(prefix, F.lpad((k % 1000).cast("string"), 3, "0"), wrap)
+def stock_code(k: Column, unknown: bool = False) -> Column:
+    """Six digits, distinct below 100,000 stocks; past those a class part keeps them so.
+
+    Stocks from 1,000 on take free numbers of the 4 and 8 blocks, and of 603 and 605 where
+    others have those. With ``unknown`` every fiftieth has a code that no exchange rule knows.
+    """
+    small = F.lit(CODE_PREFIXES[-1])
+    for place in range(len(CODE_PREFIXES) - 2, -1, -1):
+        small = F.when(k % 8 == place, CODE_PREFIXES[place]).otherwise(small)
+    rest, even = F.lpad((k % 1000).cast("string"), 3, "0"), k % 2 == 0
+    code = (
+        F.when(k < 1000, F.concat(small, rest))
+        .when(k >= 100000, F.concat(small, rest, F.lit("-"), F.floor(k / 1000).cast("string")))
+        .when(k.between(30000, 30999), F.concat(F.when(even, "605").otherwise("603"), rest))
+        .otherwise(F.concat(F.when(even, "4").otherwise("8"), F.lpad(k.cast("string"), 5, "0")))
     )
+    return F.when(k % 50 == 49, F.concat(F.lit("510"), rest)).otherwise(code) if unknown else code
 
 
-def bars(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
-    """One row per stock and day. ``lines`` limits the line items used.
+def bars(
+    spark: SparkSession, sf_dir: str, lines: DataFrame | None = None, unknown: bool = False
+) -> DataFrame:
+    """One row per stock and day. ``lines`` limits the line items used; ``unknown`` as in
+    ``stock_code``.
 
     Lines are aggregated before the names are joined on, so the join sees one
     row per bar.
@@ -68,7 +75,7 @@ def bars(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> Da
     return daily.join(names, "k", "left").select(
         "trade_date",
         "k",
-        stock_code(F.col("k")).alias("code"),
+        stock_code(F.col("k"), unknown).alias("code"),
         F.concat(label, "s_name").alias("name"),
         (F.col("o") / 100).alias("open"),
         (F.col("h") / 100).alias("high"),
@@ -88,9 +95,8 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listed(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
-    """Bars of stocks the loaders know, under suffixed tickers."""
-    known = bars(spark, sf_dir, lines).where("code not like '510%'")
-    return known.select(
+    """Bars under suffixed tickers."""
+    return bars(spark, sf_dir, lines).select(
         "trade_date",
         tickers.suffix_daily(F.col("code")).alias("ticker"),
         "name",
@@ -108,8 +114,8 @@ def view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars as text, with junk, three date forms and repeated rows."""
-    known = bars(spark, sf_dir)
+    """Bars as text, with junk, unknown codes, three date forms and repeated rows."""
+    known = bars(spark, sf_dir, unknown=True)
     copies = F.when(F.col("k") % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     day = F.col("trade_date").cast("string")
     k, volume, code = F.col("k"), F.col("volume"), F.col("code")
@@ -139,15 +145,17 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review notes. Stock notes are keyed by ticker, theme notes name a code."""
+    """Review notes over all stocks and days. Stock notes are keyed by ticker, theme notes
+    name a code."""
     events = read(spark, sf_dir, "events")
     scope = F.col("event_id") % 3
-    stock = stock_code(F.col("user_id") % 100)
+    stock = stock_code(F.col("user_id") % read(spark, sf_dir, "supplier").agg(F.count(F.lit(1))).scalar())
+    shipped = read(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("day"))
+    first = shipped.agg(F.min("day")).scalar()
+    span = shipped.agg(F.date_diff(F.max("day"), F.min("day")) + 1).scalar()
     return events.select(
         F.col("event_id").cast("int").alias("id"),
-        F.date_add(F.lit("1999-05-01").cast("date"), (F.col("event_id") % 90).cast("int")).alias(
-            "trade_date"
-        ),
+        F.date_add(first, (F.floor(F.col("event_id") / 3) % span).cast("int")).alias("trade_date"),
         F.when(scope == 0, "market").when(scope == 1, "theme").otherwise("stock").alias("scope"),
         F.when(scope == 0, "all")
         .when(scope == 1, F.col("event_type"))

@@ -44,7 +44,7 @@ def limit_up_rows(spark, sf_dir):
       FROM notes WHERE scope = 'theme' GROUP BY trade_date, stock)
     SELECT m.trade_date, m.ticker AS ts_code, m.name, m.boards, m.amount, t.theme
     FROM market m LEFT JOIN themes t
-      ON t.trade_date = m.trade_date AND t.code = substr(m.ticker, 1, 6)
+      ON t.trade_date = m.trade_date AND t.code = regexp_replace(m.ticker, '\\.(SH|SZ|BJ)$', '')
     WHERE m.is_limit_up"""
 )
 def limit_up_pool(spark, sf_dir):

@@ -20,15 +20,18 @@ SELECT trade_date, k, {code} AS code,
 FROM {p}a)"""
 
 
-def code_of(k: str) -> str:
+def code_of(k: str, unknown: bool = False) -> str:
+    rest = f"lpad(CAST({k} % 1000 AS VARCHAR), 3, '0')"
+    small = (
+        f"CASE {k} % 8 WHEN 0 THEN '600' WHEN 1 THEN '688' WHEN 2 THEN '000' WHEN 3 THEN '300'"
+        f" WHEN 4 THEN '430' WHEN 5 THEN '830' WHEN 6 THEN '920' ELSE '601' END"
+    )
+    odd = f"WHEN {k} % 50 = 49 THEN '510' || {rest} " if unknown else ""
     return (
-        f"CASE WHEN {k} BETWEEN 1000 AND 29999 AND {k} % 50 <> 49 THEN"
-        f" (CASE WHEN {k} % 2 = 0 THEN '4' ELSE '8' END) || lpad(CAST({k} AS VARCHAR), 5, '0') ELSE"
-        f" (CASE WHEN {k} % 50 = 49 THEN '510' WHEN {k} % 8 = 0 THEN '600'"
-        f" WHEN {k} % 8 = 1 THEN '688' WHEN {k} % 8 = 2 THEN '000' WHEN {k} % 8 = 3 THEN '300'"
-        f" WHEN {k} % 8 = 4 THEN '430' WHEN {k} % 8 = 5 THEN '830' WHEN {k} % 8 = 6 THEN '920'"
-        f" ELSE '601' END) || lpad(CAST({k} % 1000 AS VARCHAR), 3, '0')"
-        f" || CASE WHEN {k} >= 1000 THEN '-' || CAST({k} // 1000 AS VARCHAR) ELSE '' END END"
+        f"CASE {odd}WHEN {k} < 1000 THEN {small} || {rest}"
+        f" WHEN {k} >= 100000 THEN {small} || {rest} || '-' || CAST({k} // 1000 AS VARCHAR)"
+        f" WHEN {k} BETWEEN 30000 AND 30999 THEN CASE WHEN {k} % 2 = 0 THEN '605' ELSE '603' END || {rest}"
+        f" ELSE CASE WHEN {k} % 2 = 0 THEN '4' ELSE '8' END || lpad(CAST({k} AS VARCHAR), 5, '0') END"
     )
 
 
@@ -43,15 +46,15 @@ def suffixed(code: str) -> str:
     )
 
 
-def bars(p: str = "", where: str = "") -> str:
-    return _BARS.format(p=p, where=where, code=code_of("k"))
+def bars(p: str = "", where: str = "", unknown: bool = False) -> str:
+    return _BARS.format(p=p, where=where, code=code_of("k", unknown))
 
 
 def listed(p: str = "", where: str = "") -> str:
     return bars(p, where) + f""", {p}listed AS (
   SELECT trade_date, {suffixed("code")} AS ticker, name, open, high, low, close, volume, amount,
          amount_cents
-  FROM {p}bars WHERE code NOT LIKE '510%')"""
+  FROM {p}bars)"""
 
 
 BARS = "WITH " + bars()
@@ -102,7 +105,7 @@ VIEW = FLAGGED + """, broken AS (
   FROM broken
 )"""
 
-RAW = BARS + """, raw AS (
+RAW = "WITH " + bars(unknown=True) + """, raw AS (
 SELECT k * 10 + n AS seq,
        CASE WHEN k % 3 = 0 THEN CAST(trade_date AS VARCHAR)
             WHEN k % 3 = 1 THEN replace(CAST(trade_date AS VARCHAR), '-', '')
@@ -117,11 +120,13 @@ SELECT k * 10 + n AS seq,
 FROM bars CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 AS n) d
 WHERE n = 1 OR k % 7 = 0)"""
 
-_STOCK = code_of("(user_id % 100)")
+_STOCK = code_of("(user_id % (SELECT count(*) FROM supplier))")
 
 NOTES = f"""notes AS (
   SELECT CAST(event_id AS INTEGER) AS id,
-         CAST(DATE '1999-05-01' + CAST(event_id % 90 AS INTEGER) AS DATE) AS trade_date,
+         CAST((SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem) + CAST(event_id // 3 % (
+           SELECT max(CAST(l_shipdate AS DATE)) - min(CAST(l_shipdate AS DATE)) + 1 FROM lineitem) AS INTEGER)
+           AS DATE) AS trade_date,
          CASE WHEN event_id % 3 = 0 THEN 'market' WHEN event_id % 3 = 1 THEN 'theme' ELSE 'stock' END AS scope,
          CASE WHEN event_id % 3 = 0 THEN 'all' WHEN event_id % 3 = 1 THEN event_type
               ELSE {suffixed("(" + _STOCK + ")")} END AS key,

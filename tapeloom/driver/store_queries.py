@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from ..contracts import ALL_TABLES, DAILY_MARKET_SNAPSHOT
 from ..contracts import fixed_values as fixed
+from ..functions import tickers
 from ..operators import market
 from ..operators.keys import with_keys_not_in
 from ..plans import daily, daily_view, late, loaders, review
@@ -207,17 +208,12 @@ _HEADERS = {
 }
 
 
-def _bare(ticker: Column) -> Column:
-    """The code without its exchange, whole: one past six digits is not cut to another stock's."""
-    return F.regexp_replace(ticker, r"\.(SH|SZ|BJ)$", "")
-
-
 def _land_files(spark, sf_dir) -> tuple[str, list[str]]:
     """The whole panel as daily-loader CSV text, a folder per year."""
     path = shared_dir(spark, "landing")
     panel = adapter.panel(spark, sf_dir).withColumns(
         {
-            "ticker": _bare(F.col("ticker")),
+            "ticker": tickers.without_suffix(F.col("ticker")),
             **{c: F.lit(None).cast("double") for c in ("turnover", "market_cap", "float_cap")},
         }
     )
@@ -395,7 +391,7 @@ def _tushare(rows):
 
 def _realtime(rows):
     """Rows under realtime headers: codes without exchange and no date."""
-    text = rows.withColumn("ticker", _bare(F.col("ticker"))).drop("trade_date")
+    text = rows.withColumn("ticker", tickers.without_suffix(F.col("ticker"))).drop("trade_date")
     return text.withColumnsRenamed({k: v for k, v in _HEADERS.items() if k in text.columns})
 
 

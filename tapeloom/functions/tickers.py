@@ -93,6 +93,11 @@ def is_bare_ticker(ticker: Column) -> Column:
     return F.coalesce(ticker.rlike(fixed.TICKER_PATTERN), F.lit(False))
 
 
+def without_suffix(ticker: Column) -> Column:
+    """The whole code without its exchange; one of another length is not cut to another stock's."""
+    return F.regexp_replace(ticker, r"\.(SH|SZ|BJ)$", "")
+
+
 def bare_code(ticker: Column) -> Column:
     return F.substring(ticker, 1, fixed.TICKER_LENGTH)
 

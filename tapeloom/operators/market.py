@@ -101,11 +101,14 @@ def limit_up_rows(panel: DataFrame, day: date | str | None = None) -> DataFrame:
 
 
 def themes_from_notes(notes: DataFrame) -> DataFrame:
-    """Theme of a stock on a day: key of the newest theme note naming its code."""
+    """Theme of a stock on a day: key of the newest theme note naming its code.
+
+    A code is six digits that stand alone, not the start of a longer code.
+    """
     named = notes.where("scope = 'theme'").select(
         "trade_date",
         F.explode(
-            F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b(\d{6})\b"), F.lit(1)))
+            F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?<![\w.-])(\d{6})(?![\w-])"), F.lit(1)))
         ).alias("code"),
         "key",
         F.struct("created_at", "id").alias("_age"),
@@ -122,7 +125,7 @@ def limit_up_pool(panel: DataFrame, themes: DataFrame | None = None) -> DataFram
     if themes is None:
         pool = pool.withColumn("theme", F.lit(None).cast("string"))
     else:
-        pool = pool.withColumn("code", tickers.bare_code(F.col("ticker"))).join(
+        pool = pool.withColumn("code", tickers.without_suffix(F.col("ticker"))).join(
             themes, ["trade_date", "code"], "left"
         )
     return pool.select(
