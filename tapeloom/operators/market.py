@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -70,13 +70,9 @@ def add_candle_state(df: DataFrame) -> DataFrame:
     )
 
 
-def market_kpis(panel: DataFrame) -> DataFrame:
-    """Breadth per day; needs the flags and ``boards``.
-
-    One aggregation with map-side combine: what crosses the shuffle is one row
-    per day and task.
-    """
-    return panel.groupBy("trade_date").agg(
+def kpi_columns() -> list[Column]:
+    """Aggregates of breadth; they need the flags and ``boards``."""
+    return [
         numbers.exact_sum(F.col("amount")).alias("total_amount"),
         F.count_if(F.col("pct_change") > 0).alias("risers"),
         F.count_if(F.col("pct_change") < 0).alias("fallers"),
@@ -84,7 +80,16 @@ def market_kpis(panel: DataFrame) -> DataFrame:
         F.count_if(F.col("is_limit_down")).alias("limit_downs"),
         F.count_if(F.col("is_broken_limit")).alias("broken_limits"),
         F.max("boards").alias("highest_board"),
-    )
+    ]
+
+
+def market_kpis(panel: DataFrame) -> DataFrame:
+    """Breadth per day; needs the flags and ``boards``.
+
+    One aggregation with map-side combine: what crosses the shuffle is one row
+    per day and task.
+    """
+    return panel.groupBy("trade_date").agg(*kpi_columns())
 
 
 def limit_up_count(panel: DataFrame) -> DataFrame:

@@ -147,6 +147,28 @@ def validate_schema(
     return True, set(), check_extra_columns(df, wanted, table, strict=not allow_extra)
 
 
+def column_report(df: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """Each column of the frame or of the contract: rule, expected_place, place, n_values.
+
+    rule is ok, missing, extra or misplaced; places count from 1. n_values tells whether an
+    extra column holds anything: one aggregation counts all columns.
+    """
+    places = {c: i for i, c in enumerate(df.columns, 1)}
+    wanted = {c: i for i, c in enumerate(expected, 1)}
+    rows = []
+    for c in [*wanted, *[c for c in df.columns if c not in wanted]]:
+        rule = (
+            "missing" if c not in places else "extra" if c not in wanted
+            else "ok" if places[c] == wanted[c] else "misplaced"
+        )
+        rows.append(F.struct(
+            F.lit(c).alias("column"), F.lit(rule).alias("rule"),
+            F.lit(wanted.get(c)).cast("int").alias("expected_place"), F.lit(places.get(c)).cast("int").alias("place"),
+            (F.count(F.col(f"`{c}`")) if c in places else F.lit(0).cast("bigint")).alias("n_values"),
+        ))
+    return df.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+
+
 def check_column_order(df: DataFrame, expected: Sequence[str]) -> None:
     if list(df.columns) != list(expected):
         raise ValidationError(f"expected columns {list(expected)}, got {df.columns}")

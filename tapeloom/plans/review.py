@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..contracts import fixed_values as fixed
+from ..functions import tickers
 from ..operators import market, series
 from ..sources.store import between_days
 
@@ -46,6 +48,49 @@ def dashboard(
     }
 
 
+def dashboard_days(
+    view: DataFrame,
+    phases: DataFrame | None = None,
+    themes: DataFrame | None = None,
+    k: int = 10,
+) -> DataFrame:
+    """The whole dashboard in one pass: a row for each day.
+
+    Breadth and phase; ``limit_up_pool``, ``limit_down_pool`` and ``losers`` as ordered arrays of what the
+    functions of these names give as rows. One aggregation reads the view once. A day has
+    at most one row per stock, which bounds the arrays; themes and phases join by day.
+    """
+    code, pct = F.col("ticker").alias("ts_code"), F.col("pct_change")
+
+    def ordered(when: Column, order: list[Column], *columns) -> Column:
+        # NULLs last: whether a value is missing comes before the value
+        keys = [x for c in order for x in (c.isNull(), c)]
+        row = F.struct(F.struct(*keys).alias("_order"), F.struct(*columns).alias("row"))
+        return F.transform(F.sort_array(F.collect_list(F.when(when, row))), lambda x: x["row"])
+
+    days = view.groupBy("trade_date").agg(
+        *market.kpi_columns(),
+        ordered(F.col("is_limit_up"), [-F.col("boards"), -F.col("amount"), F.col("ticker")],
+                code, "name", "boards", "amount").alias("limit_up_pool"),
+        ordered(F.col("is_limit_down"), [pct, F.col("ticker")], code, "name", "pct_change", "amount")
+        .alias("limit_down_pool"),
+        F.slice(ordered(pct.isNotNull(), [pct, F.col("ticker")], code, "name", "pct_change"), 1, k).alias("losers"),
+    )
+    theme = F.lit(None).cast("string")
+    if themes is not None:
+        by_day = themes.groupBy("trade_date").agg(
+            F.map_from_entries(F.collect_list(F.struct("code", "theme"))).alias("_themes"))
+        days = days.join(by_day, "trade_date", "left")
+
+    def with_theme(x: Column) -> Column:
+        found = theme if themes is None else F.try_element_at(
+            F.col("_themes"), tickers.without_suffix(x["ts_code"]))
+        return F.struct(*[x[c].alias(c) for c in ("ts_code", "name", "boards", "amount")], found.alias("theme"))
+
+    days = days.withColumn("limit_up_pool", F.transform("limit_up_pool", with_theme)).drop("_themes")
+    return days if phases is None else market.with_phase(days, phases)
+
+
 def stock_view(
     view: DataFrame,
     ticker: str | None = None,
