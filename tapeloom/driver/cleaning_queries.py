@@ -10,6 +10,7 @@ from ..operators import keys, quality
 from ..operators.shaping import apply_mapping as map_headers
 from ..operators.shaping import conform, rename_headers, stamp
 from ..plans import daily
+from ..session import shared_dir
 from ..sources import raw_files
 from . import adapter, sql
 from .registry import query
@@ -254,6 +255,26 @@ def source_priority(spark, sf_dir):
     return daily.clean_sources(landed_sources(spark, sf_dir), ["seq"]).select(*_CLEAN_COLUMNS)
 
 
+@query(
+    _CLEANED + """, days AS (SELECT DISTINCT trade_date, source, CASE source WHEN 'tushare' THEN 0 WHEN 'sina' THEN 1
+        ELSE 2 END AS rank FROM cleaned WHERE source <> 'tushare' OR day(trade_date) % 3 <> 0),
+    best AS (SELECT trade_date, min(rank) AS rank FROM days GROUP BY trade_date)
+    SELECT c.trade_date, ticker, name, close, volume FROM cleaned c
+    JOIN days d ON d.trade_date = c.trade_date AND d.source = c.source
+    JOIN best b ON b.trade_date = c.trade_date AND b.rank = d.rank"""
+)
+def source_choice(spark, sf_dir):
+    """Three sources landed by day, the best one without some days; only the best of each
+    day is read."""
+    path = shared_dir(spark, "choice")
+    for code, rows in landed_sources(spark, sf_dir).items():
+        if code == "tushare":
+            rows = rows.where(F.substring("trade_date", 7, 2).cast("int") % 3 != 0)
+        raw_files.write_raw(stamp(rows, source=code), path)
+    seq = F.col("seq").cast("bigint")
+    return daily.clean_landing(spark, path, [seq]).select(*_CLEAN_COLUMNS)
+
+
 # --- data quality --------------------------------------------------------------------------------
 
 

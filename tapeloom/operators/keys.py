@@ -71,3 +71,16 @@ def prefer_source(
     ranked = df.withColumn("_rank", source_rank(F.col(source), priority))
     best = ranked.groupBy("trade_date").agg(F.min("_rank").alias("_rank"))
     return ranked.join(F.broadcast(best), ["trade_date", "_rank"], "left_semi").drop("_rank")
+
+
+def best_sources(
+    delivered: DataFrame, priority: Sequence[str] = fixed.SOURCE_PRIORITY
+) -> DataFrame:
+    """(trade_date, source) pairs whose source is the best that delivered that date.
+
+    Sources outside the priority rank last, alike, and all stay.
+    """
+    ranked = delivered.select("trade_date", "source").distinct().withColumn(
+        "_rank", source_rank(F.col("source"), priority))
+    best = ranked.groupBy("trade_date").agg(F.min("_rank").alias("_rank"))
+    return ranked.join(best, ["trade_date", "_rank"]).select("trade_date", "source")

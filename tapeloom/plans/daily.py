@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,7 @@ from ..contracts import DAILY_MARKET_SNAPSHOT, layout_of
 from ..contracts import fixed_values as fixed
 from ..functions import dates, limits, tickers
 from ..operators import carry, market, quality
-from ..operators.keys import keep_last, prefer_source
+from ..operators.keys import best_sources, keep_last, prefer_source
 from ..operators.shaping import apply_mapping, conform, stamp
 from ..sources import raw_files
 from ..sources.store import PANEL, Store
@@ -81,6 +81,31 @@ def clean_sources(
     return keep_last(chosen, order).drop(*order, "source")
 
 
+def clean_landing(
+    spark: SparkSession,
+    path: str,
+    sequence: Sequence[str | Column] = (raw_files.SEQUENCE,),
+    strict_dates: bool = True,
+    suffix: bool = False,
+) -> DataFrame:
+    """``clean_sources`` of a landing by day and source, chosen before anything is read.
+
+    The folders' names say which source delivered a day, so each source is read for its
+    own days alone. One small row per day reaches the driver.
+    """
+    chosen: dict[str, list[date]] = {}
+    for row in best_sources(raw_files.landed_days(spark, path)).collect():
+        chosen.setdefault(row.source, []).append(row.trade_date)
+    if not chosen:
+        raise FileNotFoundError(f"no landed day below {path}")
+    parts = []
+    for code, own in sorted(chosen.items()):
+        raw = raw_files.read_raw(spark, path, code, days=own)
+        typed, order = _typed_rows(raw, layout_of(code), sequence, (), strict_dates, suffix)
+        parts.append(typed)
+    return keep_last(reduce(DataFrame.unionByName, parts), order).drop(*order)
+
+
 def derive(panel: DataFrame) -> DataFrame:
     """Missing percent change, then ST flag, then limit flags by percent."""
     filled = panel.withColumn(

@@ -6,6 +6,7 @@ Everything is read as text; types are the business of ``operators.quality``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -192,17 +193,45 @@ def write_raw(
         )
 
 
+def landed_days(spark: SparkSession, path: str) -> DataFrame:
+    """(trade_date, source) of a landing by day and source, from its folders' names alone."""
+    folders = list_files(spark, path, HISTORY_GLOB)
+    day = F.regexp_extract("path", r"/day=(\d{4}-\d{2}-\d{2})/", 1).try_cast("date")
+    source = F.regexp_extract("path", r"/source=([^/]+)/", 1)
+    found = folders.select(day.alias("trade_date"), source.alias("source"))
+    return found.where("trade_date is not null and source <> ''").distinct()
+
+
 def read_raw(
-    spark: SparkSession, path: str, source: str, folders: Sequence[str] = RAW_FOLDERS
+    spark: SparkSession,
+    path: str,
+    source: str,
+    folders: Sequence[str] = RAW_FOLDERS,
+    days: Sequence[date] | None = None,
 ) -> DataFrame:
-    """One source's part of a ``write_raw`` landing; layouts differ between sources."""
+    """One source's part of a ``write_raw`` landing; layouts differ between sources.
+
+    Given ``days`` prune folders: files of other days are not opened, but for the one that
+    tells the header.
+    """
     reader = (
         spark.read.option("header", "true")
         .option("enforceSchema", "false")
         .option("basePath", path)
     )
     below = "/".join(f"source={source}" if name == "source" else f"{name}=*" for name in folders)
-    landed = with_file_columns(reader.csv(f"{path}/{below}"))
+    if days is not None:
+        first = min(days)
+        parts = {"year": str(first.year), "day": first.isoformat(), "source": source}
+        sample = "/".join(f"{name}={parts[name]}" for name in folders)
+        header = spark.read.option("header", "true").csv(f"{path}/{sample}").columns
+        reader = reader.schema(T.StructType([
+            *text_schema(header).fields, T.StructField("year", T.IntegerType()),
+            T.StructField("day", T.DateType()), T.StructField("source", T.StringType())]))
+    read = reader.csv(f"{path}/{below}")
+    if days is not None:
+        read = read.where(F.col("day").isin(list(days)))
+    landed = with_file_columns(read)
     landed = landed.withColumn("file_source", F.col("source"))
     if "day" in folders:
         landed = landed.withColumn("file_date", F.col("day").cast("date"))
