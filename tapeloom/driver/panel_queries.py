@@ -213,6 +213,24 @@ def custom_ma(spark, sf_dir):
     )
 
 
+def _exact_ma(n: int) -> str:
+    frame = f"(PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    total = f"sum(CAST(price * 4611686018427387904e0 AS HUGEINT)) OVER {frame}"
+    return (f"CASE WHEN count(price) OVER {frame} = {n} THEN"
+            f" (CAST({total} // 4611686018427387904 AS DOUBLE)"
+            f" + CAST({total} % 4611686018427387904 AS DOUBLE) / 4611686018427387904e0) / {n}e0 END AS ma{n}")
+
+
+@query(
+    sql.LISTED + f""", thirds AS (SELECT trade_date, ticker, close / 3e0 AS price FROM listed)
+    SELECT trade_date, ticker, {_exact_ma(20)}, {_exact_ma(250)} FROM thirds"""
+)
+def long_ma(spark, sf_dir):
+    """Averages of values without end in decimals, summed exactly over up to 250 rows."""
+    thirds = adapter.listed(spark, sf_dir).withColumn("price", F.col("close") / 3)
+    return series.moving_averages(thirds, (20, 250), "price").select("trade_date", "ticker", "ma20", "ma250")
+
+
 @query(
     sql.LISTED + """ SELECT trade_date, ticker, round(CASE WHEN count(*) OVER w = 4
     THEN avg(volume) OVER w END, 6) AS volume_ma4 FROM listed

@@ -68,3 +68,34 @@ def exact_sum(value: Column, places: int = fixed.DECIMAL_PLACES) -> Column:
     """Sum to ``places`` decimals, independent of row order and of task retries."""
     total = F.sum(scaled(value, places).cast("decimal(19,0)"))
     return total.cast("double") / F.lit(float(10**places))
+
+
+_LIMB = 31
+
+
+def limbs(value: Column) -> tuple[Column, Column, Column]:
+    """A double as three whole numbers of its sign: its whole part, and 62 binary places in
+    two parts.
+
+    Powers of two scale without rounding, so this is exact for every double that is a
+    multiple of 2**-62, which are all of at least 2**-9 in size. Sums of each part are exact, too.
+    """
+    def cut(x: Column) -> Column:
+        return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))
+
+    scale = F.lit(float(1 << _LIMB))
+    upper = (value - cut(value).cast("double")) * scale
+    return cut(value), cut(upper), cut((upper - cut(upper).cast("double")) * scale)
+
+
+def from_limbs(whole: Column, upper: Column, lower: Column) -> Column:
+    """The double that summed limbs stand for, by size and sign so that no place is lost."""
+    mask = (1 << _LIMB) - 1
+
+    def carried(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
+        b = b + F.shiftright(c, _LIMB)
+        return a + F.shiftright(b, _LIMB), F.shiftleft(b.bitwiseAND(mask), _LIMB).bitwiseOR(c.bitwiseAND(mask))
+
+    sign = F.when(carried(whole, upper, lower)[0] < 0, -1).otherwise(1)
+    size, places = carried(whole * sign, upper * sign, lower * sign)
+    return sign * (size.cast("double") + places.cast("double") / F.lit(float(1 << 2 * _LIMB)))

@@ -58,6 +58,17 @@ def fold(
         "ticker", F.coalesce(newest, "last_date").alias("last_date"), closes.alias("closes"), boards.alias("boards"))
 
 
+_PARTS = ("whole", "upper", "lower")
+
+
+def _named(*parts: Column) -> Column:
+    return F.struct(*[part.alias(c) for part, c in zip(parts, _PARTS)])
+
+
+def _limbs(value: Column) -> Column:
+    return _named(*numbers.limbs(value))
+
+
 def day_from_state(
     state: DataFrame,
     day: DataFrame,
@@ -75,10 +86,14 @@ def day_from_state(
     line = F.concat(F.array("close"), past)
 
     def average(n: int) -> Column:
-        tail = F.reverse(F.slice(line, 1, n))  # oldest first, as a window adds them
+        tail = F.slice(line, 1, n)
         whole = (F.size(tail) == n) & F.forall(tail, lambda x: x.isNotNull())
         if places is None:
-            return F.when(whole, F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.lit(float(n)))
+            none = F.lit(0).cast("bigint")
+            total = F.aggregate(
+                F.transform(tail, _limbs), _named(none, none, none),
+                lambda a, x: _named(*[a[c] + x[c] for c in _PARTS]))
+            return F.when(whole, numbers.from_limbs(*[total[c] for c in _PARTS]) / F.lit(float(n)))
         units = F.aggregate(tail, F.lit(0).cast("bigint"), lambda a, x: a + numbers.scaled(x, places))
         return F.when(whole, units / F.lit(float(n * 10**places)))
 

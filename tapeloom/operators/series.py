@@ -57,36 +57,30 @@ def moving_averages(
     """Add ``ma{n}`` for each length: the mean of the last n rows, NULL before n
     values exist.
 
-    Raw doubles are averaged, at n steps per row. With ``places``, for values
-    known to carry no more decimals, they are summed as whole numbers: every
-    length is then the difference of two running sums, constant work per row and
-    exact.
+    Every length is the difference of two running sums: constant work per row, whatever
+    n is. Doubles are summed exactly in three whole parts (``numbers.limbs``) and rounded
+    once at the end. With ``places``, for values known to carry no more decimals, one sum
+    of whole numbers does.
     """
     if places is None:
-        out = {}
-        for n in lengths:
-            frame = by_ticker().rowsBetween(-(n - 1), Window.currentRow)
-            out[f"{prefix}{n}"] = F.when(
-                F.count(value).over(frame) == n, F.avg(value).over(frame)
-            )
-        return df.withColumns(out)
+        parts = dict(zip(("_whole", "_upper", "_lower"), numbers.limbs(F.col(value).cast("double"))))
+    else:
+        parts = {"_sum": numbers.scaled(F.col(value), places)}
     running = df.withColumns(
         {
-            "_sum": F.coalesce(
-                F.sum(numbers.scaled(F.col(value), places)).over(so_far()), F.lit(0)
-            ),
+            **{c: F.coalesce(F.sum(part).over(so_far()), F.lit(0)) for c, part in parts.items()},
             "_seen": F.count(value).over(so_far()),
         }
     )
 
     def average(n: int) -> Column:
-        total = F.col("_sum") - F.lag("_sum", n, 0).over(by_ticker())
+        sums = [F.col(c) - F.lag(c, n, 0).over(by_ticker()) for c in parts]
         seen = F.col("_seen") - F.lag("_seen", n, 0).over(by_ticker())
-        return F.when(seen == n, total / F.lit(float(n * 10**places)))
+        if places is None:
+            return F.when(seen == n, numbers.from_limbs(*sums) / F.lit(float(n)))
+        return F.when(seen == n, sums[0] / F.lit(float(n * 10**places)))
 
-    return running.withColumns({f"{prefix}{n}": average(n) for n in lengths}).drop(
-        "_sum", "_seen"
-    )
+    return running.withColumns({f"{prefix}{n}": average(n) for n in lengths}).drop(*parts, "_seen")
 
 
 def board_streak(df: DataFrame, flag: str = "is_limit_up", name: str = "boards") -> DataFrame:
