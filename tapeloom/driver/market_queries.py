@@ -119,9 +119,9 @@ def stock_view(spark, sf_dir):
     )
 
 
-@query("WITH " + sql.NOTES + " SELECT id, trade_date, scope, key, content FROM notes WHERE trade_date = DATE '1999-05-20'")
+@query("WITH " + sql.NOTES + " SELECT id, trade_date, scope, key, content FROM notes WHERE trade_date = DATE '1995-05-20'")
 def journal_by_date(spark, sf_dir):
-    return market.journal(adapter.notes(spark, sf_dir), trade_date="1999-05-20").drop("created_at")
+    return market.journal(adapter.notes(spark, sf_dir), trade_date="1995-05-20").drop("created_at")
 
 
 @query("WITH " + sql.NOTES + " SELECT id, trade_date, scope, key, content FROM notes WHERE scope = 'stock' AND key = '600008.SH'")
