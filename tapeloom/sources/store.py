@@ -330,19 +330,52 @@ class Store:
             if not rest.isEmpty():
                 self._put(rest, PANEL, "days")
                 return
+        self._drop_period(self._period_of(day))
+
+    def _drop_period(self, period: str) -> None:
         column = "trade_date" if self.grain == "day" else PERIOD
         self.spark.sql(
-            f"ALTER TABLE {self.name(PANEL)} DROP IF EXISTS"
-            f" PARTITION ({column} = '{self._period_of(day)}')"
+            f"ALTER TABLE {self.name(PANEL)} DROP IF EXISTS PARTITION ({column} = '{period}')"
         )
 
-    def rebuild(self, canonical_path: str) -> None:
-        """Make the canonical files the panel's whole content."""
+    def rebuild(self, canonical_path: str) -> list[str]:
+        """Make the canonical files the panel's whole content; returns the partitions changed.
+
+        Both sides give a digest of each partition that no order of rows changes, without
+        the time of loading. Only partitions whose digests differ are written, and those
+        that the files lack are dropped. One row per partition reaches the driver.
+        """
         raw = self.spark.read.parquet(canonical_path)
         contract = get_table(PANEL)
         whole = self._ready(quality.canonicalize(conform(raw, contract)), PANEL)
-        quality.require_unique_key(whole, contract.key)
-        self._put(whole, PANEL, "all")
+        with quality.key_errors():
+            wanted = self._digests(quality.with_unique_key(whole, contract.key))
+            held = self._digests(self.spark.table(self.name(PANEL)))
+            differ = (
+                wanted.alias("w").join(held.alias("h"), PERIOD, "full_outer")
+                .where(~F.col("w.digest").eqNullSafe(F.col("h.digest")))
+                .select(PERIOD, F.col("w.digest").isNull().alias("gone"))
+                .collect()
+            )
+        changed = sorted(row[PERIOD] for row in differ if not row.gone)
+        if changed:
+            of_changed = self.period_column(F.col("trade_date")).isin(changed)
+            self._put(whole.where(of_changed), PANEL, "days")
+        gone = sorted(row[PERIOD] for row in differ if row.gone)
+        for period in gone:
+            self._drop_period(period)
+        return sorted([*changed, *gone])
+
+    def _digests(self, rows: DataFrame) -> DataFrame:
+        """(period, digest): rows, and sums of two hashes of all columns but created_at."""
+        columns = [c for c in rows.columns if c not in ("created_at", PERIOD)]
+        ordered = sorted(columns)
+        rows = rows.withColumn(MARK, F.coalesce(MARK, F.lit(False))) if MARK in columns else rows
+        first, second = F.xxhash64(*ordered), F.xxhash64(F.lit(1), *ordered)
+        return rows.groupBy(self.period_column(F.col("trade_date")).alias(PERIOD)).agg(
+            F.struct(
+                F.count(F.lit(1)), F.sum(first.cast("decimal(20,0)")), F.bit_xor(second)
+            ).alias("digest"))
 
     def add_note(self, df: DataFrame) -> None:
         """Append review notes after a check of their scope and ids."""
