@@ -88,7 +88,7 @@ def pack_powers(docs: DataFrame, length: int = LENGTH, end: int = 1, path: str |
 
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id (the task's number and a
     count), offset; with ids also the ids (little-endian unsigned 32 bits). Sequences
-    of one length are a bucket: write them with ``partitionBy("length")``.
+    of one length are a bucket, see ``write_buckets``.
     """
     if length & (length - 1):
         raise ValueError("length must be a power of two")
@@ -127,6 +127,18 @@ def pack_powers(docs: DataFrame, length: int = LENGTH, end: int = 1, path: str |
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Write pieces (with ids) as Parquet, a folder for each length.
+
+    All sequences of a folder are equally long, so a batch of them is a matrix without
+    padding. The rebalance lets a common length fill many files.
+    """
+    (
+        pieces.hint("rebalance", "length").write.partitionBy("length")
+        .option("compression", "zstd").parquet(path)
+    )
+
+
 class Capacities:
     """Open sequences by free places, in a segment tree that finds the tightest fit."""
 

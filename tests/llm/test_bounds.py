@@ -86,3 +86,35 @@ def test_near_dedup_leaves_only_its_small_table(spark):
     assert simhash.unique_documents(docs).count() == 20
     left = set(os.listdir(shared)) - before
     assert len(left) == 1 and left.pop().startswith("losers")
+
+
+def test_buckets_hold_sequences_of_one_length(spark, tokenizer, tmp_path):
+    rows = [(i, " ".join(f"word{j % (i + 2)}" for j in range(i * 37 % 900))) for i in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tokens.write_buckets(tokens.pack_powers(docs, length=256, ids=True), str(tmp_path / "b"))
+    folders = {int(f.split("=")[1]) for f in os.listdir(tmp_path / "b") if f.startswith("length=")}
+    assert folders <= {1 << b for b in range(9)} and 256 in folders and 1 in folders
+    back = spark.read.parquet(str(tmp_path / "b")).toPandas()
+    assert (back.ids.map(len) == back.length * 4).all()
+    assert back.groupby("sequence_id").doc_id.nunique().max() == 1  # no sequence crosses documents
+    for doc_id, own in back.sort_values("start").groupby("doc_id"):
+        ids = np.frombuffer(b"".join(own.ids), "<u4").tolist()
+        assert ids == [*ids_of(tokenizer, dict(rows)[doc_id] or ""), 1]
+
+
+def test_packed_sequences_are_written_whole(spark, tokenizer, tmp_path):
+    rows = [(i, "a b c " * (i * 13 % 70)) for i in range(40)]
+    packed = tokens.pack_best_fit(spark.createDataFrame(rows, "doc_id long, text string"), length=64)
+    tokens.write_packed(packed, str(tmp_path / "p"))
+    back = spark.read.parquet(str(tmp_path / "p"))
+    assert back.schema == packed.schema and back.count() == packed.count()
+    pieces = {}
+    for r in back.collect():
+        ids, resets = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.position_ids, "<u4")
+        assert len(ids) == len(resets) == 64 and r.cu_seqlens[-1] == r.n_tokens
+        for d, start, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True):
+            pieces[d, start] = ids[a:b].tolist()
+            assert resets[a:b].tolist() == list(range(b - a))
+    for d, x in rows:
+        own = [i for (doc, _), part in sorted(pieces.items()) if doc == d for i in part]
+        assert own[:-1] == ids_of(tokenizer, x)
