@@ -149,7 +149,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     # each row becomes 28: as many tasks as a shuffle has, not the few that small input is merged to
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        fps.select("fp").distinct().repartition(tasks, "fp").select("fp", lists)
+        fps.select("fp").distinct().repartition(tasks).select("fp", lists)
         .groupBy("key.positions", "key.bytes").agg(F.collect_list("fp").alias("fps"))
         .filter("size(fps) > 1").select("fps").mapInArrow(run, "a long, b long")
     )
