@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from tapeloom.llm import lang_id, queries, simhash, text, tokens
+from tapeloom.llm import imatch, lang_id, queries, simhash, text, tokens
 from tests.llm import brute
 
 
@@ -118,3 +118,23 @@ def test_packed_sequences_are_written_whole(spark, tokenizer, tmp_path):
     for d, x in rows:
         own = [i for (doc, _), part in sorted(pieces.items()) if doc == d for i in part]
         assert own[:-1] == ids_of(tokenizer, x)
+
+
+def test_lexicon_joins_give_the_same_fingerprints(spark, tmp_path, monkeypatch):
+    rows = brute.random_rows(11)
+    spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string").repartition(3).write.parquet(
+        str(tmp_path / "documents.parquet"))
+    ask = queries.QUERIES["op7_imatch_fingerprints"]
+    broadcast = sorted(map(tuple, ask(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(imatch, "BROADCAST", -1)  # a lexicon of any size is then shuffled
+    assert sorted(map(tuple, ask(spark, str(tmp_path)).collect())) == broadcast
+
+
+def test_imatch_and_language_of_megabytes(spark, tmp_path):
+    long = "ab " * 400_000 + "é" * 1_000_000
+    spark.createDataFrame([(1, long, "en"), (2, "short one", "en"), (5, long, None)],
+                          "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.QUERIES["op7_imatch_fingerprints"](spark, str(tmp_path)).collect()}
+    assert got[1].fingerprint == got[5].fingerprint and got[1].n_chars == len(long)
+    langs = {r.doc_id: r.lang_pred for r in queries.QUERIES["op9_language_id"](spark, str(tmp_path)).collect()}
+    assert set(langs) == {1, 2, 5} and set(langs.values()) <= {"en", "und"}
