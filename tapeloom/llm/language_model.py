@@ -1,23 +1,28 @@
 """LM scoring: a log-bilinear model trained by noise-contrastive estimation.
 
-Tokens are words with A-Z lower-cased, then one end. The model's symbols are the
-``COMMON`` commonest tokens and ``CLASSES`` classes of all other words (by their last
-two bytes). A context symbol's vector, taken through a matrix, predicts the vector of
-the next symbol; with a bias for each symbol this gives scores whose softmax is
-normalised over all symbols. Within a class a word has its add-one share of the class's
-count, one more place standing for a word that was not seen.
-
-Counts of words and of neighbouring symbols come from all training texts and are
-summed map-side. The model is trained in numpy on the counts of all neighbours (at most
-the square of the symbols): each step takes the contrastive objective's expectation over
-data and noise in batched matrix products, so no noise is drawn.
+Tokens are words with A-Z lower-cased, then one end. The symbols are all tokens that training
+texts hold ``LEAST`` times or more (the ``WORDS`` commonest of them at most) and ``CLASSES``
+classes of all other words, by their last two bytes; so the vocabulary grows with the texts.
+Symbols fall into ``GROUPS`` groups of similar neighbours. The chance of a token is that of its
+symbol's group after the symbol before it, times that of the symbol within its group after the
+group of the symbol before. Both parts are log-bilinear: a context vector, taken through a
+matrix in the first part, meets a target vector, with a bias for each target, and a
+softmax normalises over the groups or over the group's symbols. Within a class a word has its
+add-one share of the class's count, one more place standing for a word that was not seen.
+
+Everything counted comes from all training texts and is summed in Spark: words, sketches of
+each symbol's neighbours (random signs of ``SYMBOLS`` landmark symbols) that form the groups, and
+how often each group follows each symbol and each symbol each group: at most ``GROUPS`` numbers of
+each kind for a symbol. The model is trained in numpy on these: each step takes the
+contrastive objective's expectation over data and noise in batched matrix products, so no
+noise is drawn. A symbol seen n times has n / (n + ``PRIOR``) of its own counts, and its group's for the rest.
 
 Scoring looks counts up in the task for the ``KNOWN`` commonest words at most (the size
 bound of what is broadcast); other words are joined with the table of counts.
 
 Null text: no words, so the end alone. A null doc_id counts as empty text in the fold.
 Repeated rows each count and return. Words are told apart by 64-bit hashes. Without
-training texts the symbols are equally likely. Extra columns are left alone.
+training texts the groups are equally likely. Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -35,11 +40,19 @@ from tapeloom.llm.text import U, blocks, mix, signed, staged
 
 COMMON = 768
 CLASSES = 256
+#: Landmarks: the commonest words and all classes.
 SYMBOLS = COMMON + CLASSES
+#: Words with vectors of their own: how often they are seen at least, and how many at most.
+LEAST, WORDS = 10, 1 << 17
+GROUPS = 128
+SKETCH = 16
 KNOWN = 1 << 19
 WIDTH = 32
 NOISE = 10
-STEPS = 300
+STEPS, ROUNDS, BATCH = 300, 6, 1024
+PRIOR = 20
+#: Different pairs that a task holds before it passes them on.
+PAIRS = 1 << 22
 #: The hash that stands for the end of a text, and its class (it is common unless nothing is).
 END, END_CLASS = U(0x5EED), 0
 
@@ -84,14 +97,20 @@ class Counts:
     n: np.ndarray
     symbol: np.ndarray
     size: np.ndarray  # log10 of what divides an add-one count in each class
+    words: int  # words with a symbol of their own, commonest first; the classes' symbols follow
+
+    @property
+    def symbols(self) -> int:
+        return self.words + CLASSES
 
     def look_up(self, value: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(found, count, symbol) of tokens."""
+        rest = self.words + classes.astype(np.int64)
         if not len(self.h):
-            return np.zeros(len(value), bool), np.zeros(len(value), np.int64), COMMON + classes.astype(np.int64)
+            return np.zeros(len(value), bool), np.zeros(len(value), np.int64), rest
         at = np.minimum(np.searchsorted(self.h, value), len(self.h) - 1)
         found = self.h[at] == value
-        symbol = np.where(found & (self.symbol[at] >= 0), self.symbol[at], COMMON + classes.astype(np.int64))
+        symbol = np.where(found & (self.symbol[at] >= 0), self.symbol[at], rest)
         return found, np.where(found, self.n[at], 0), symbol
 
 
@@ -110,15 +129,16 @@ def gather(counts: DataFrame) -> Counts:
     h, n, kind = (table.column(i).to_numpy() for i in range(3))
     h = np.ascontiguousarray(h).view(U)
     order = np.lexsort((h, -n))
+    words = min(WORDS, int((n >= LEAST).sum()))
     symbol = np.full(len(h), -1, np.int64)
-    symbol[order[:COMMON]] = np.arange(min(COMMON, len(h)))
+    symbol[order[:words]] = np.arange(words)
     sums = np.zeros((CLASSES, 2))
     for c, a, b in counts.groupBy("class").agg(F.sum("n"), F.count(F.lit(1))).collect():
         sums[c] = a, b
-    common = order[:COMMON]
-    np.subtract.at(sums, kind[common].astype(np.int64), np.stack([n[common], np.ones(len(common))], 1))
+    own = order[:words]
+    np.subtract.at(sums, kind[own].astype(np.int64), np.stack([n[own], np.ones(words)], 1))
     by = np.argsort(h)
-    return Counts(total[0] or 0, total[1], h[by], n[by], symbol[by], np.log10(sums.sum(1) + 1))
+    return Counts(total[0] or 0, total[1], h[by], n[by], symbol[by], np.log10(sums.sum(1) + 1), words)
 
 
 def _contexts(row: np.ndarray, symbol: np.ndarray, end: int) -> np.ndarray:
@@ -132,74 +152,283 @@ def _end_symbol(counts: Counts) -> int:
     return int(counts.look_up(np.array([END]), np.array([END_CLASS]))[2][0])
 
 
-def count_neighbours(docs: DataFrame, counts: Counts) -> np.ndarray:
-    """How often each symbol follows each, over all the texts."""
+def _symbols(docs: DataFrame, counts: Counts, schema: str, each) -> DataFrame:
+    """Rows that ``each`` makes of the (context, symbol) pairs of a task's blocks."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        total, end = np.zeros(SYMBOLS * SYMBOLS, np.int64), _end_symbol(own)
-        for block in blocks(batches):
-            row, value, classes = _tokens(block)
-            symbol = own.look_up(value, classes)[2]
-            pairs, n = np.unique(_contexts(row, symbol, end) * SYMBOLS + symbol, return_counts=True)
-            total[pairs] += n
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_pydict({"pair": part.astype(np.int32), "n": total[part]})
+        end = _end_symbol(own)
+
+        def pairs():
+            for block in blocks(batches):
+                row, value, classes = _tokens(block)
+                symbol = own.look_up(value, classes)[2]
+                yield _contexts(row, symbol, end), symbol
+
+        yield from each(pairs())
+
+    return docs.select("text").mapInArrow(run, schema)
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order with the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(values[order], first, axis=0) if len(first) else values[:0]
+
+
+def sketches(docs: DataFrame, counts: Counts) -> np.ndarray:
+    """For each symbol the sum, over all the texts, of its neighbours' random signs."""
+    symbols, words = counts.symbols, counts.words
+    signs = np.zeros((2, symbols, SKETCH), np.int64)
+    landmark = np.r_[: min(COMMON, words), words:symbols]
+    signs[:, landmark] = np.random.default_rng(3).choice([-1, 1], (2, len(landmark), SKETCH))
+
+    def each(pairs) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((symbols, SKETCH), np.int64)
+        for context, symbol in pairs:
+            for of, by in ((symbol, signs[0][context]), (context, signs[1][symbol])):
+                at, sums = _summed(of, by)
+                total[at] += sums
+        at = np.flatnonzero(total.any(1))
+        for i in range(0, len(at), 1 << 14):
+            part = at[i : i + (1 << 14)]
+            yield pa.RecordBatch.from_pydict({
+                "symbol": part.astype(np.int32), **{f"s{j}": total[part, j] for j in range(SKETCH)}})
+
+    names = [f"s{j}" for j in range(SKETCH)]
+    rows = _symbols(docs, counts, "symbol int, " + ", ".join(f"{c} long" for c in names), each)
+    table = rows.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    out = np.zeros((symbols, SKETCH))
+    out[table.column("symbol").to_numpy()] = np.stack([table.column(c).to_numpy() for c in names], 1)
+    return out
+
+
+def groups(sketch: np.ndarray) -> np.ndarray:
+    """The group of each symbol: those of like direction together, by k-means on the sphere."""
+    rng = np.random.default_rng(4)
+    size = np.linalg.norm(sketch, axis=1, keepdims=True)
+    x = sketch / np.maximum(size, 1e-9)
+    x = x - (x * np.sqrt(size)).sum(0) / max(np.sqrt(size).sum(), 1e-9)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    weight = np.sqrt(size[:, 0]) + 1e-9
+    centre = x[rng.choice(len(x), GROUPS, replace=len(x) < GROUPS, p=weight / weight.sum())]
+    for _ in range(12):
+        near = np.concatenate([(x[i : i + 8192] @ centre.T).argmax(1) for i in range(0, len(x), 8192)])
+        sums = np.stack([np.bincount(near, x[:, j] * weight, GROUPS) for j in range(SKETCH)], 1)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centre = np.where(norm > 0, sums / np.maximum(norm, 1e-9), centre)
+    return near
+
+
+class Sparse:
+    """Counts by symbol and group, from sums by symbol * GROUPS + group; rows are given out dense."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, symbols: int):
+        order = np.argsort(key)
+        self.key, self.n, self.shape = key[order], n[order].astype(np.float64), (symbols, GROUPS)
+        self.first = np.searchsorted(self.key, np.arange(symbols + 1) * GROUPS)
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        size = self.first[rows + 1] - self.first[rows]
+        at = np.repeat(self.first[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        out = np.zeros((len(rows), GROUPS))
+        out[np.repeat(np.arange(len(rows)), size), self.key[at] % GROUPS] = self.n[at]
+        return out
+
+    def sum(self, axis: int) -> np.ndarray:
+        by = self.key // GROUPS if axis else self.key % GROUPS
+        return np.bincount(by, self.n, self.shape[1 - axis])
+
+
+def count_neighbours(docs: DataFrame, counts: Counts, group: np.ndarray) -> tuple[Sparse, Sparse]:
+    """How often each group follows each symbol, and each symbol each group, over all the texts."""
+    half = counts.symbols * GROUPS
+
+    def each(pairs) -> Iterator[pa.RecordBatch]:
+        keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        waiting, count = [], 0
+
+        def merged():
+            return _summed(np.concatenate([keys, *waiting]), np.concatenate([n, np.ones(count, np.int64)]))
+
+        def out():
+            for i in range(0, len(keys), 1 << 16):
+                yield pa.RecordBatch.from_pydict({"pair": keys[i : i + (1 << 16)], "n": n[i : i + (1 << 16)]})
+
+        for context, symbol in pairs:
+            waiting += [context * GROUPS + group[symbol], half + symbol * GROUPS + group[context]]
+            count += 2 * len(symbol)
+            if count > PAIRS:
+                keys, n = merged()
+                waiting, count = [], 0
+                if len(keys) > PAIRS:
+                    yield from out()
+                    keys, n = keys[:0], n[:0]
+        keys, n = merged()
+        yield from out()
+
+    table = _symbols(docs, counts, "pair long, n long", each).groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pair, n = table.column("pair").to_numpy(), table.column("n").to_numpy()
+    after = pair < half
+    return Sparse(pair[after], n[after], counts.symbols), Sparse(pair[~after] - half, n[~after], counts.symbols)
+
+
+class Adam:
+    """Steps along the gradients of some rows of an array, with a pace for each number."""
+
+    def __init__(self, values: np.ndarray):
+        self.values, self.mean, self.square = values, np.zeros_like(values), np.zeros_like(values)
+        self.steps = np.zeros(len(values))
+
+    def step(self, grad: np.ndarray, rate: float, rows=slice(None)) -> None:
+        self.steps[rows] += 1
+        t = self.steps[rows].reshape(-1, *[1] * (self.values.ndim - 1))
+        m = self.mean[rows] + 0.1 * (grad - self.mean[rows])
+        v = self.square[rows] + 0.01 * (grad * grad - self.square[rows])
+        self.mean[rows], self.square[rows] = m, v
+        self.values[rows] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-10)
+
+
+def _slope(logit: np.ndarray, weight: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Slope of the expected contrastive loss by the scores: rows are contexts, columns targets."""
+    true = 1 / (1 + np.exp(-np.clip(logit - np.log(NOISE * noise), -40, 40)))
+    return NOISE * weight.sum(1, keepdims=True) * noise * true - weight * (1 - true)
+
+
+def _log_softmax(logit: np.ndarray) -> np.ndarray:
+    top = logit.max(1, keepdims=True)
+    return logit - top - np.log(np.exp(logit - top).sum(1, keepdims=True))
 
-    rows = docs.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    table = rows.toArrow()
-    out = np.zeros(SYMBOLS * SYMBOLS)
-    out[table.column("pair").to_numpy()] = table.column("n").to_numpy()
-    return out.reshape(SYMBOLS, SYMBOLS)
 
+def _shrunk(n: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Rows of counts with the chances of a prior mixed in; the sums stay."""
+    total = n.sum(1, keepdims=True)
+    return (n + PRIOR * prior) * total / (total + PRIOR)
 
-def train(neighbours: np.ndarray) -> np.ndarray:
-    """log10 probability of each symbol after each, from contrastive estimation."""
+
+def bilinear(neighbours, prior=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query vectors of the contexts (rows), vectors and biases of the targets (columns).
+
+    prior gives each context's chances that its counts are mixed with.
+    """
     rng = np.random.default_rng(5)
-    total = max(neighbours.sum(), 1.0)
-    noise = (neighbours.sum(0) + 1) / (neighbours.sum() + SYMBOLS)
-    weight = neighbours / total
-    before = weight.sum(1, keepdims=True)
-    shift = np.log(NOISE * noise)
-    vectors = {
-        "context": rng.normal(0, 0.1, (SYMBOLS, WIDTH)), "matrix": np.eye(WIDTH),
-        "target": rng.normal(0, 0.1, (SYMBOLS, WIDTH)), "bias": np.log(noise),
-    }
-    moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in vectors.items()}
-    for step in range(1, STEPS + 1):
-        query = vectors["context"] @ vectors["matrix"]
-        logit = query @ vectors["target"].T + vectors["bias"] - shift
-        true = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
-        slope = NOISE * before * noise * true - weight * (1 - true)
-        through = slope @ vectors["target"]
-        grads = {
-            "context": through @ vectors["matrix"].T, "matrix": vectors["context"].T @ through,
-            "target": slope.T @ query, "bias": slope.sum(0),
-        }
-        rate = 0.05 * (1 - step / (STEPS + 1)) + 0.002
-        for k, g in grads.items():  # Adam
-            m, v = moment[k]
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            vectors[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
-    logit = vectors["context"] @ vectors["matrix"] @ vectors["target"].T + vectors["bias"]
-    top = logit.max(1, keepdims=True)
-    return (logit - top - np.log(np.exp(logit - top).sum(1, keepdims=True))) / np.log(10)
+    rows, columns = neighbours.shape
+    followed = neighbours.sum(0)
+    noise = (followed + 1) / (followed.sum() + columns)
+    context, matrix = Adam(rng.normal(0, 0.1, (rows, WIDTH))), Adam(np.eye(WIDTH))
+    target, bias = Adam(rng.normal(0, 0.1, (columns, WIDTH))), Adam(np.log(noise))
+    parts = -(-rows // BATCH)
+    steps = max(STEPS, ROUNDS * parts)
+    for step in range(steps):
+        if step % parts == 0:
+            order = rng.permutation(rows)
+        own = order[step % parts :: parts]
+        weight = neighbours[own]
+        if prior is not None:
+            weight = _shrunk(weight, prior(own))
+        weight = weight / max(weight.sum(), 1.0)
+        vectors = context.values[own]
+        query = vectors @ matrix.values
+        slope = _slope(query @ target.values.T + bias.values, weight, noise)
+        through = slope @ target.values
+        grads = through @ matrix.values.T, vectors.T @ through, slope.T @ query, slope.sum(0)
+        rate = 0.05 * (1 - step / steps) + 0.002
+        context.step(grads[0], rate, own)
+        matrix.step(grads[1], rate)
+        target.step(grads[2], rate)
+        bias.step(grads[3], rate)
+    return context.values @ matrix.values, target.values, bias.values
+
+
+def train(neighbours: np.ndarray) -> np.ndarray:
+    """log10 probability of each target after each context, from contrastive estimation."""
+    query, target, bias = bilinear(neighbours)
+    return _log_softmax(query @ target.T + bias) / np.log(10)
 
 
-def scores(docs: DataFrame, held_out, table: DataFrame, counts: Counts, log10: np.ndarray) -> DataFrame:
+def within(before: Sparse, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of the groups before, vectors and biases of the symbols, and log sums by (group, group before).
+
+    before tells how often each symbol follows each group.
+    """
+    rng = np.random.default_rng(6)
+    members = [np.flatnonzero(group == g) for g in range(GROUPS)]
+    members = [own for own in members if len(own)]
+    seen = before.sum(1) + 1
+    noise = seen / np.bincount(group, seen, GROUPS)[group]
+    context = Adam(rng.normal(0, 0.1, (GROUPS, WIDTH)))
+    target, bias = Adam(rng.normal(0, 0.1, (len(group), WIDTH))), Adam(np.log(noise))
+    rounds = 2 * ROUNDS
+    for turn in range(rounds):
+        rate = 0.05 * (1 - turn / rounds) + 0.002
+        for g in rng.permutation(len(members)):
+            own = members[g]
+            n = before[own]
+            total = max(n.sum(), 1.0)
+            weight = _shrunk(n, n.sum(0) / total).T / total
+            vectors = target.values[own]
+            slope = _slope(context.values @ vectors.T + bias.values[own], weight, noise[own])
+            grads = slope @ vectors, slope.T @ context.values, slope.sum(0)
+            context.step(grads[0], rate)
+            target.step(grads[1], rate, own)
+            bias.step(grads[2], rate, own)
+    sums = np.zeros((GROUPS, GROUPS))
+    for own in members:
+        logit = context.values @ target.values[own].T + bias.values[own]
+        sums[group[own[0]]] = (logit - _log_softmax(logit))[:, 0]
+    return context.values, target.values, bias.values, sums
+
+
+@dataclass
+class Model:
+    """Natural logarithms throughout; vectors of a context are through the matrix."""
+
+    group: np.ndarray
+    after: tuple[np.ndarray, np.ndarray, np.ndarray]
+    inside: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+    def log10(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Normalised log10 chance of each symbol after its context."""
+        seen = np.zeros(len(self.group), bool)
+        seen[context] = True
+        place = np.cumsum(seen) - 1
+        query, target, bias = self.after
+        chance = np.concatenate([
+            _log_softmax(query[i] @ target.T + bias)
+            for i in np.array_split(np.flatnonzero(seen), 1 + seen.sum() // 8192)])
+        before, own = self.group[context], self.group[symbol]
+        out = chance[place[context], own].astype(np.float64)
+        left, right, bias, sums = self.inside
+        for i in range(0, len(symbol), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            out[part] += np.einsum("ij,ij->i", left[before[part]], right[symbol[part]])
+        return (out + bias[symbol] - sums[own, before]) / np.log(10)
+
+
+def fit(docs: DataFrame, counts: Counts) -> Model:
+    """The model of the texts, whose words gather has counted."""
+    group = groups(sketches(docs, counts))
+    after, before = count_neighbours(docs, counts, group)
+    of_groups = np.zeros((GROUPS, GROUPS))
+    np.add.at(of_groups, (group[after.key // GROUPS], after.key % GROUPS), after.n)
+    chances = 10 ** train(of_groups)
+    parts = bilinear(after, lambda own: chances[group[own]]), within(before, group)
+    return Model(group, *[tuple(x.astype(np.float32) for x in part) for part in parts])
+
+
+def scores(docs: DataFrame, held_out, table: DataFrame, counts: Counts, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     table is what count_words gives; held_out a boolean column over docs.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((counts, log10.astype(np.float32)))
+    shared = docs.sparkSession.sparkContext.broadcast((counts, model))
     divisor = float(np.log10(counts.tokens + counts.distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, chances = shared.value
+        own, model = shared.value
         end = _end_symbol(own)
         number = TaskContext.get().partitionId() << 40
         for block in blocks(batches):
@@ -208,8 +437,8 @@ def scores(docs: DataFrame, held_out, table: DataFrame, counts: Counts, log10: n
             found, count, symbol = own.look_up(value, classes)
             share = np.log10(count + 1)
             base = np.where(found, share - divisor, 0)
-            score = chances[_contexts(row, symbol, end), symbol].astype(np.float64)
-            score += np.where(found & (symbol >= COMMON), share - own.size[classes], 0)
+            score = model.log10(_contexts(row, symbol, end), symbol)
+            score += np.where(found & (symbol >= own.words), share - own.size[classes], 0)
             salt = mix(np.arange(n, dtype=U) + U(1))
             rest = np.flatnonzero(~found)
             _, first, times = np.unique(
@@ -258,4 +487,4 @@ def score_documents(docs: DataFrame, held_out) -> DataFrame:
     training = docs.filter(~held_out)
     table = staged(count_words(training), "counts")
     counts = gather(table)
-    return scores(docs, held_out, table, counts, train(count_neighbours(training, counts)))
+    return scores(docs, held_out, table, counts, fit(training, counts))
