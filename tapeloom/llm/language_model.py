@@ -15,7 +15,10 @@ each symbol's neighbours (random signs of ``SYMBOLS`` landmark symbols) that for
 how often each group follows each symbol and each symbol each group: at most ``GROUPS`` numbers of
 each kind for a symbol. The model is trained in numpy on these: each step takes the
 contrastive objective's expectation over data and noise in batched matrix products, so no
-noise is drawn. A symbol seen n times has n / (n + ``PRIOR``) of its own counts, and its group's for the rest.
+noise is drawn. The driver trains with the ``HEAD`` commonest words and the classes. What
+all symbols share then stands, so the vectors of each other word follow from its own counts
+alone: tasks find them, some words each. A symbol seen n times has n / (n + ``PRIOR``) of its own
+counts, and its group's for the rest.
 
 Scoring looks counts up in the task for the ``KNOWN`` commonest words at most (the size
 bound of what is broadcast); other words are joined with the table of counts.
@@ -44,12 +47,16 @@ CLASSES = 256
 SYMBOLS = COMMON + CLASSES
 #: Words with vectors of their own: how often they are seen at least, and how many at most.
 LEAST, WORDS = 10, 1 << 17
+#: Words whose counts the driver trains with.
+HEAD = 1 << 13
 GROUPS = 128
 SKETCH = 16
 KNOWN = 1 << 19
 WIDTH = 32
 NOISE = 10
 STEPS, ROUNDS, BATCH = 300, 6, 1024
+#: Steps that find the vectors of one more word.
+MORE = 40
 PRIOR = 20
 #: Different pairs that a task holds before it passes them on.
 PAIRS = 1 << 22
@@ -182,15 +189,18 @@ def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def sketches(docs: DataFrame, counts: Counts) -> np.ndarray:
     """For each symbol the sum, over all the texts, of its neighbours' random signs."""
     symbols, words = counts.symbols, counts.words
-    signs = np.zeros((2, symbols, SKETCH), np.int64)
-    landmark = np.r_[: min(COMMON, words), words:symbols]
-    signs[:, landmark] = np.random.default_rng(3).choice([-1, 1], (2, len(landmark), SKETCH))
+    marks = np.r_[: min(COMMON, words), words:symbols]
+    place = np.full(symbols, -1)
+    place[marks] = np.arange(len(marks))
+    signs = np.random.default_rng(3).choice(np.array([-1, 1], np.int32), (2, len(marks), SKETCH))
 
     def each(pairs) -> Iterator[pa.RecordBatch]:
         total = np.zeros((symbols, SKETCH), np.int64)
         for context, symbol in pairs:
-            for of, by in ((symbol, signs[0][context]), (context, signs[1][symbol])):
-                at, sums = _summed(of, by)
+            for i, (of, by) in enumerate(((symbol, context), (context, symbol))):
+                near = place[by]
+                marked = near >= 0
+                at, sums = _summed(of[marked], signs[i][near[marked]])
                 total[at] += sums
         at = np.flatnonzero(total.any(1))
         for i in range(0, len(at), 1 << 14):
@@ -224,12 +234,12 @@ def groups(sketch: np.ndarray) -> np.ndarray:
 
 
 class Sparse:
-    """Counts by symbol and group, from sums by symbol * GROUPS + group; rows are given out dense."""
+    """Counts by row and group, from sums by row * GROUPS + group; rows are given out dense."""
 
-    def __init__(self, key: np.ndarray, n: np.ndarray, symbols: int):
+    def __init__(self, key: np.ndarray, n: np.ndarray, rows: int):
         order = np.argsort(key)
-        self.key, self.n, self.shape = key[order], n[order].astype(np.float64), (symbols, GROUPS)
-        self.first = np.searchsorted(self.key, np.arange(symbols + 1) * GROUPS)
+        self.key, self.n, self.shape = key[order], n[order].astype(np.float64), (rows, GROUPS)
+        self.first = np.searchsorted(self.key, np.arange(rows + 1) * GROUPS)
 
     def __getitem__(self, rows: np.ndarray) -> np.ndarray:
         size = self.first[rows + 1] - self.first[rows]
@@ -243,10 +253,12 @@ class Sparse:
         return np.bincount(by, self.n, self.shape[1 - axis])
 
 
-def count_neighbours(docs: DataFrame, counts: Counts, group: np.ndarray) -> tuple[Sparse, Sparse]:
-    """How often each group follows each symbol, and each symbol each group, over all the texts."""
-    half = counts.symbols * GROUPS
+def count_neighbours(docs: DataFrame, counts: Counts, group: np.ndarray) -> DataFrame:
+    """row, group, n: how often each group follows and precedes each symbol, over all the texts.
 
+    Row 2 s is for what follows symbol s and row 2 s + 1 for what precedes it; row -1 - g
+    is for what precedes group g.
+    """
     def each(pairs) -> Iterator[pa.RecordBatch]:
         keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
         waiting, count = [], 0
@@ -256,11 +268,15 @@ def count_neighbours(docs: DataFrame, counts: Counts, group: np.ndarray) -> tupl
 
         def out():
             for i in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_pydict({"pair": keys[i : i + (1 << 16)], "n": n[i : i + (1 << 16)]})
+                row, other = np.divmod(keys[i : i + (1 << 16)], GROUPS)
+                yield pa.RecordBatch.from_pydict({
+                    "row": (row - GROUPS).astype(np.int32), "group": other.astype(np.int16), "n": n[i : i + (1 << 16)]})
 
         for context, symbol in pairs:
-            waiting += [context * GROUPS + group[symbol], half + symbol * GROUPS + group[context]]
-            count += 2 * len(symbol)
+            before, own = group[context], group[symbol]
+            waiting += [(GROUPS + 2 * context) * GROUPS + own, (GROUPS + 2 * symbol + 1) * GROUPS + before,
+                        (GROUPS - 1 - own) * GROUPS + before]
+            count += 3 * len(symbol)
             if count > PAIRS:
                 keys, n = merged()
                 waiting, count = [], 0
@@ -270,10 +286,22 @@ def count_neighbours(docs: DataFrame, counts: Counts, group: np.ndarray) -> tupl
         keys, n = merged()
         yield from out()
 
-    table = _symbols(docs, counts, "pair long, n long", each).groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    pair, n = table.column("pair").to_numpy(), table.column("n").to_numpy()
-    after = pair < half
-    return Sparse(pair[after], n[after], counts.symbols), Sparse(pair[~after] - half, n[~after], counts.symbols)
+    rows = _symbols(docs, counts, "row int, group short, n long", each)
+    return rows.groupBy("row", "group").agg(F.sum("n").alias("n"))
+
+
+def collected(rows: DataFrame, place: np.ndarray) -> tuple[Sparse, Sparse, np.ndarray]:
+    """Counts of what follows and what precedes the symbols of rows, by their places, and of groups before groups."""
+    table = rows.toArrow()
+    row, group, n = (table.column(c).to_numpy().astype(np.int64) for c in ("row", "group", "n"))
+    size = int(place.max(initial=-1)) + 1
+    out = []
+    for side in (0, 1):
+        own = (row >= 0) & (row % 2 == side)
+        out.append(Sparse(place[row[own] // 2] * GROUPS + group[own], n[own], size))
+    of_groups = np.zeros((GROUPS, GROUPS))
+    of_groups[-1 - row[row < 0], group[row < 0]] = n[row < 0]
+    return out[0], out[1], of_groups
 
 
 class Adam:
@@ -281,7 +309,7 @@ class Adam:
 
     def __init__(self, values: np.ndarray):
         self.values, self.mean, self.square = values, np.zeros_like(values), np.zeros_like(values)
-        self.steps = np.zeros(len(values))
+        self.steps = np.zeros(len(values), values.dtype)
 
     def step(self, grad: np.ndarray, rate: float, rows=slice(None)) -> None:
         self.steps[rows] += 1
@@ -292,10 +320,10 @@ class Adam:
         self.values[rows] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-10)
 
 
-def _slope(logit: np.ndarray, weight: np.ndarray, noise: np.ndarray) -> np.ndarray:
-    """Slope of the expected contrastive loss by the scores: rows are contexts, columns targets."""
-    true = 1 / (1 + np.exp(-np.clip(logit - np.log(NOISE * noise), -40, 40)))
-    return NOISE * weight.sum(1, keepdims=True) * noise * true - weight * (1 - true)
+def _slope(logit: np.ndarray, shift, data: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Slope of the expected contrastive loss by the scores; data and noise are weights of the pairs."""
+    true = 1 / (1 + np.exp(-np.clip(logit - shift, -40, 40)))
+    return noise * true - data * (1 - true)
 
 
 def _log_softmax(logit: np.ndarray) -> np.ndarray:
@@ -332,7 +360,8 @@ def bilinear(neighbours, prior=None) -> tuple[np.ndarray, np.ndarray, np.ndarray
         weight = weight / max(weight.sum(), 1.0)
         vectors = context.values[own]
         query = vectors @ matrix.values
-        slope = _slope(query @ target.values.T + bias.values, weight, noise)
+        slope = _slope(query @ target.values.T + bias.values, np.log(NOISE * noise), weight,
+                       NOISE * weight.sum(1, keepdims=True) * noise)
         through = slope @ target.values
         grads = through @ matrix.values.T, vectors.T @ through, slope.T @ query, slope.sum(0)
         rate = 0.05 * (1 - step / steps) + 0.002
@@ -349,16 +378,15 @@ def train(neighbours: np.ndarray) -> np.ndarray:
     return _log_softmax(query @ target.T + bias) / np.log(10)
 
 
-def within(before: Sparse, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Vectors of the groups before, vectors and biases of the symbols, and log sums by (group, group before).
+def within(before: Sparse, group: np.ndarray, noise: np.ndarray, of_groups: np.ndarray
+           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of the groups before, vectors and biases of the symbols at hand.
 
-    before tells how often each symbol follows each group.
+    before tells how often each of these symbols follows each group, noise its share of its
+    group, of_groups how often each group follows each, be the symbols at hand or not.
     """
     rng = np.random.default_rng(6)
-    members = [np.flatnonzero(group == g) for g in range(GROUPS)]
-    members = [own for own in members if len(own)]
-    seen = before.sum(1) + 1
-    noise = seen / np.bincount(group, seen, GROUPS)[group]
+    members = [own for g in range(GROUPS) if len(own := np.flatnonzero(group == g))]
     context = Adam(rng.normal(0, 0.1, (GROUPS, WIDTH)))
     target, bias = Adam(rng.normal(0, 0.1, (len(group), WIDTH))), Adam(np.log(noise))
     rounds = 2 * ROUNDS
@@ -366,20 +394,62 @@ def within(before: Sparse, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         rate = 0.05 * (1 - turn / rounds) + 0.002
         for g in rng.permutation(len(members)):
             own = members[g]
-            n = before[own]
-            total = max(n.sum(), 1.0)
-            weight = _shrunk(n, n.sum(0) / total).T / total
+            chance = _chances(of_groups[group[own[0]]])
+            total = max(of_groups[group[own[0]]].sum(), 1.0)
             vectors = target.values[own]
-            slope = _slope(context.values @ vectors.T + bias.values[own], weight, noise[own])
+            slope = _slope(context.values @ vectors.T + bias.values[own], np.log(NOISE * noise[own]),
+                           _shrunk(before[own], chance).T / total, NOISE * chance[:, None] * noise[own])
             grads = slope @ vectors, slope.T @ context.values, slope.sum(0)
             context.step(grads[0], rate)
             target.step(grads[1], rate, own)
             bias.step(grads[2], rate, own)
-    sums = np.zeros((GROUPS, GROUPS))
-    for own in members:
-        logit = context.values @ target.values[own].T + bias.values[own]
-        sums[group[own[0]]] = (logit - _log_softmax(logit))[:, 0]
-    return context.values, target.values, bias.values, sums
+    return context.values, target.values, bias.values
+
+
+def _chances(n: np.ndarray) -> np.ndarray:
+    return n / max(n.sum(), 1.0)
+
+
+def solve(start: np.ndarray, fixed: np.ndarray, offset, data: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Vectors (rows) whose scores with the fixed vectors lessen the contrastive loss, each for itself."""
+    own = Adam(start.copy())
+    for step in range(MORE):
+        own.step(_slope(own.values @ fixed.T + offset, 0, data, noise) @ fixed, 0.1 * (1 - step / MORE) + 0.005)
+    return own.values
+
+
+def more_vectors(rows: DataFrame, parts, group: np.ndarray, noise: np.ndarray, of_groups: np.ndarray,
+                 chances: np.ndarray, followed: np.ndarray) -> DataFrame:
+    """symbol, query, vector: found from each symbol's rows of count_neighbours, 512 symbols at a time.
+
+    parts are the start of each group's queries, the groups' vectors and biases, the start of
+    each group's symbol vectors, and the vectors of the groups before.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(
+        (*[x.astype(np.float32) for x in (*parts, noise, of_groups, chances, followed)], group))
+
+    def run(table: pa.Table) -> pa.Table:
+        query, target, bias, inner, left, noise, of_groups, chances, followed, group = shared.value
+        row, other, n = (table.column(c).to_numpy().astype(np.int64) for c in ("row", "group", "n"))
+        symbol = np.unique(row // 2)
+        dense = np.zeros((2, len(symbol), GROUPS), np.float32)
+        dense[row % 2, np.searchsorted(symbol, row // 2), other] = n
+        own = group[symbol]
+        after = _shrunk(dense[0], chances[own])
+        after /= np.maximum(after.sum(1, keepdims=True), 1)
+        queries = solve(query[own], target, bias - np.log(NOISE * followed), after, NOISE * followed)
+        usual = of_groups[own] / np.maximum(of_groups[own].sum(1, keepdims=True), 1)
+        before = _shrunk(dense[1], usual)
+        before /= np.maximum(before.sum(1, keepdims=True), 1)
+        # the last number of a vector is its bias, less the logarithm of its share
+        vectors = solve(inner[own], np.c_[left, np.ones(GROUPS, np.float32)], -np.log(np.float32(NOISE)), before, NOISE * usual)
+        vectors[:, -1] += np.log(noise[symbol])
+        return pa.table({
+            "symbol": pa.array(symbol, pa.int32()),
+            "query": pa.array([x.tobytes() for x in queries.astype("<f4")], pa.binary()),
+            "vector": pa.array([x.tobytes() for x in vectors.astype("<f4")], pa.binary())})
+
+    return rows.groupBy(F.shiftright("row", 10)).applyInArrow(run, "symbol int, query binary, vector binary")
 
 
 @dataclass
@@ -408,15 +478,52 @@ class Model:
         return (out + bias[symbol] - sums[own, before]) / np.log(10)
 
 
+def _group_means(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    sums = np.zeros((GROUPS, values.shape[1]))
+    np.add.at(sums, group, values)
+    return sums / np.maximum(np.bincount(group, minlength=GROUPS), 1)[:, None]
+
+
 def fit(docs: DataFrame, counts: Counts) -> Model:
     """The model of the texts, whose words gather has counted."""
     group = groups(sketches(docs, counts))
-    after, before = count_neighbours(docs, counts, group)
-    of_groups = np.zeros((GROUPS, GROUPS))
-    np.add.at(of_groups, (group[after.key // GROUPS], after.key % GROUPS), after.n)
-    chances = 10 ** train(of_groups)
-    parts = bilinear(after, lambda own: chances[group[own]]), within(before, group)
-    return Model(group, *[tuple(x.astype(np.float32) for x in part) for part in parts])
+    rows = staged(count_neighbours(docs, counts, group), "neighbours")
+    first = min(HEAD, counts.words)
+    head = np.r_[:first, counts.words : counts.symbols]
+    place = np.full(counts.symbols, -1)
+    place[head] = np.arange(len(head))
+    tail = (F.col("row") >= 2 * first) & (F.col("row") < 2 * counts.words)
+    after, before, of_groups = collected(rows.filter(~tail), place)
+
+    own = counts.symbol >= 0
+    seen = np.ones(counts.symbols)
+    seen[counts.symbol[own]] += counts.n[own]
+    seen[counts.words :] += before.sum(1)[first:]
+    noise = seen / np.bincount(group, seen, GROUPS)[group]
+    chances = 10 ** train(of_groups.T)
+    query, target, bias = bilinear(after, lambda some: chances[group[head[some]]])
+    left, vector, inner = within(before, group[head], noise[head], of_groups)
+    followed = of_groups.sum(1) + 1
+    followed /= followed.sum()
+
+    out = np.zeros((counts.symbols, WIDTH), np.float32), np.zeros((counts.symbols, WIDTH + 1), np.float32)
+    out[0][head], out[1][head] = query, np.c_[vector, inner]
+    start = np.c_[vector, inner - np.log(noise[head])]
+    found = more_vectors(
+        rows.filter(tail), (_group_means(query, group[head]), target, bias, _group_means(start, group[head]), left),
+        group, noise, of_groups, chances, followed).toArrow()
+    symbol = found.column("symbol").to_numpy()
+    for values, name in zip(out, ("query", "vector"), strict=True):
+        values[symbol] = np.frombuffer(b"".join(found.column(name).to_pylist()), "<f4").reshape(len(symbol), values.shape[1])
+
+    sums = np.zeros((GROUPS, GROUPS), np.float32)
+    for g in range(GROUPS):
+        members = out[1][group == g]
+        if len(members):
+            logit = left @ members[:, :-1].T + members[:, -1]
+            sums[g] = (logit - _log_softmax(logit))[:, 0]
+    return Model(group, (out[0], target.astype(np.float32), bias.astype(np.float32)),
+                 (left.astype(np.float32), out[1][:, :-1].copy(), out[1][:, -1].copy(), sums))
 
 
 def scores(docs: DataFrame, held_out, table: DataFrame, counts: Counts, model: Model) -> DataFrame:

@@ -43,8 +43,12 @@ def test_vocabulary_follows_the_counts(spark):
 def test_neighbour_counts_equal_plain_ones_however_often_tasks_pass_them_on(spark, monkeypatch):
     rows = texts(2, 60)
     docs, _, counts, model = fitted(spark, rows)
-    after, before = language_model.count_neighbours(docs, counts, model.group)
     everything = np.arange(counts.symbols)
+
+    def ask():
+        return language_model.collected(language_model.count_neighbours(docs, counts, model.group), everything)
+
+    after, before, of_groups = ask()
     dense = after[everything], before[everything]
     total = sum(len((t or "").split()) + 1 for _, t in rows)
     assert dense[0].sum() == dense[1].sum() == total == after.sum(0).sum() == before.sum(1).sum()
@@ -53,13 +57,15 @@ def test_neighbour_counts_equal_plain_ones_however_often_tasks_pass_them_on(spar
     groups = [np.zeros((language_model.GROUPS,) * 2) for _ in range(2)]
     np.add.at(groups[0], model.group, dense[0])
     np.add.at(groups[1], model.group, dense[1])
-    assert np.array_equal(groups[0], groups[1].T)
+    assert np.array_equal(groups[0], groups[1].T) and np.array_equal(groups[1], of_groups)
     monkeypatch.setattr(language_model, "PAIRS", 5)
-    for a, b in zip((after, before), language_model.count_neighbours(docs, counts, model.group), strict=True):
+    for a, b in zip((after, before), ask()[:2], strict=True):
         assert np.array_equal(a.key, b.key) and np.array_equal(a.n, b.n)
 
 
-def test_chances_sum_to_one_and_scores_equal_plain_sums(spark):
+@pytest.mark.parametrize("head", [1 << 13, 20])
+def test_chances_sum_to_one_and_scores_equal_plain_sums(spark, monkeypatch, head):
+    monkeypatch.setattr(language_model, "HEAD", head)
     rows = texts(3)
     docs, table, counts, model = fitted(spark, rows)
     every = np.arange(counts.symbols)
@@ -108,7 +114,9 @@ def test_chances_sum_to_one_and_scores_equal_plain_sums(spark):
         assert got[doc_id].score == pytest.approx(plain(text), abs=1e-2)
 
 
-def test_model_beats_counts_where_words_follow_one_another(spark, tmp_path):
+@pytest.mark.parametrize("head", [1 << 13, 10])
+def test_model_beats_counts_where_words_follow_one_another(spark, tmp_path, monkeypatch, head):
+    monkeypatch.setattr(language_model, "HEAD", head)
     spark.createDataFrame(texts(4, 900), "doc_id long, text string").repartition(3).write.parquet(
         str(tmp_path / "documents.parquet"))
     rows = queries.QUERIES["op8_language_model"](spark, str(tmp_path)).filter("held_out").agg(
