@@ -8,7 +8,8 @@ has no more than ``BROADCAST`` terms and joined by a shuffle otherwise.
 
 Of ``SUBSETS`` subsets of the lexicon, random ones keep a quarter, an eighth, ... of its
 terms, several of each, and the last holds the whole lexicon, so that every lexicon term
-is in one. A text's distinct lexicon terms, sorted, are hashed once for each subset. The
+is in one. Which subsets hold a term is found once for each term, as bits of its row of the
+lexicon. A text's distinct lexicon terms, sorted, are hashed once for each subset. The
 likeness of two fingerprints is the share of subsets with equal hashes among those in
 which either text has a term: large subsets tell near copies apart, small ones still
 agree when much has changed. A text without lexicon terms is hashed whole.
@@ -48,19 +49,23 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 
 def lexicon(docs: DataFrame) -> DataFrame:
-    """h and term (a 32-bit id) of the terms within the band, over all documents."""
+    """h and term of the terms within the band, over all documents.
+
+    term is an id of 31 bits above a bit for each random subset, set where the term is in it.
+    """
     n = docs.count()
     terms = docs.select(F.explode(_terms(F.coalesce(F.col("text"), F.lit("")))).alias("term"))
     counts = terms.filter("term != ''").groupBy(F.xxhash64("term").alias("h")).agg(F.count(F.lit(1)).alias("df"))
     low, high = max(LEAST * n, 2), max(MOST * n, 2)
-    return staged(
-        counts.filter(F.col("df").between(low, high)).select("h", F.col("h").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("term")), "lexicon")
+    term = F.col("h").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    packed = F.shiftleft(term.cast("long"), SUBSETS - 1)
+    for j in range(SUBSETS - 1):
+        packed = packed.bitwiseOR(F.when(_member(term, j), F.lit(1 << j)).otherwise(F.lit(0)).cast("long"))
+    return staged(counts.filter(F.col("df").between(low, high)).select("h", packed.alias("term")), "lexicon")
 
 
 def _member(term: Column, subset: int) -> Column:
-    """Whether a term is in a subset: all of its first bits of a hash of its own are set. The last holds all."""
-    if subset == SUBSETS - 1:
-        return F.lit(True)
+    """Whether a term is in a random subset: all of its first bits of a hash of its own are set."""
     bits = (1 << (2 + subset // EACH)) - 1
     return F.xxhash64(F.lit(subset), term).bitwiseAND(F.lit(bits)) == bits
 
@@ -76,10 +81,11 @@ def fingerprints(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("term")).alias("terms"))
 
     def one(j: int) -> Column:
-        own = F.filter("terms", lambda x: _member(x, j))
+        own = F.filter("terms", lambda x: x.bitwiseAND(F.lit(1 << j)) != 0)
         return F.when(F.size(own) > 0, F.xxhash64(own))
 
-    return kept.select("t1", "t2", F.array(*[one(j) for j in range(SUBSETS)]).alias("prints"))
+    prints = [*[one(j) for j in range(SUBSETS - 1)], F.xxhash64("terms")]
+    return kept.select("t1", "t2", F.array(*prints).alias("prints"))
 
 
 def likeness(a: Column, b: Column) -> Column:
