@@ -11,10 +11,11 @@ links of a spanning forest leave. The two open bytes bound a list to 65,536 fing
 
 Equal fingerprints are collapsed before the index, so copies cost nothing there.
 
-``unique_documents`` serves the pipeline, where texts count as near duplicates from a
-Jaccard similarity of 0.8 over five-word shingles. At that similarity whole-text
+``unique_documents`` serves the pipeline. Its groups come first from the fingerprints of
+whole texts and their index as above, over different texts. There texts also count as near
+duplicates from a Jaccard similarity of 0.8 over five-word shingles. At that similarity
 fingerprints of 64 bits differ in about ten bits, beyond what shared bytes can
-guarantee. There each positional byte is the SimHash byte of a sample of the shingles,
+guarantee. For those pairs each positional byte is the SimHash byte of a sample of the shingles,
 the one that is least under the position's own order; two texts agree in a position with
 their Jaccard similarity as probability. The same index finds texts that share
 ``BAND`` consecutive positions, pairs with at least ``TALLY`` shared positional bytes
@@ -394,9 +395,25 @@ def _first_texts(docs: DataFrame) -> DataFrame:
         "first_texts", ["t1", "t2"])
 
 
+def _near_texts(texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the keys t1 of texts whose fingerprints are within ``RADIUS`` bits,
+    enough to connect all of them: texts of one fingerprint with the least key among them, and
+    those of near fingerprints with one another."""
+    rows = staged(fingerprints(texts.select(F.col("t1").alias("doc_id"), "text")), "fingerprints")
+    rows = rows.select(F.col("doc_id").alias("t1"), "fp")
+    heads = rows.groupBy("fp").agg(F.min("t1").alias("head"))
+    same = rows.join(heads, "fp").filter("t1 != head").select(F.col("t1").alias("a"), F.col("head").alias("b"))
+    one, two = (heads.select(F.col("fp").alias(fp), F.col("head").alias(key)) for fp, key in (("a", "t"), ("b", "u")))
+    near = links(rows).join(one, "a").join(two, "b").select(F.col("t").alias("a"), F.col("u").alias("b"))
+    return staged(same.union(near), "near")
+
+
 def similar_texts(texts: DataFrame) -> DataFrame:
     """(u, v) of ``components`` over the keys t1 of ``_first_texts``.
 
+    Texts of near fingerprints are linked first, see ``_near_texts``; what follows adds the
+    pairs that are similar by their shingle sets.
+
     Each list links its members to one of them, chosen by a hash of its own for each list,
     so a list of any size gives one candidate for each member; that joins large groups.
     Then the members of a list of up to ``SMALL`` texts are all compared by their shared
@@ -414,7 +431,7 @@ def similar_texts(texts: DataFrame) -> DataFrame:
     lists = staged(lists.join(heads, "list"), "lists")
     tested = staged(_tallied(lists.filter("t1 != head").select(*_pair("t1", "head")).distinct(), samples), "pairs")
     found = _verified(tested, samples, texts)
-    linked = components(found)
+    linked = components(_near_texts(texts).union(found))
     for draw in range(ROUNDS):
         members = lists.join(linked.withColumnRenamed("u", "t1"), "t1", "left").select(
             "list", "n", "t1", F.coalesce("v", "t1").alias("root"))
@@ -446,9 +463,9 @@ def similar_texts(texts: DataFrame) -> DataFrame:
 def unique_documents(docs: DataFrame) -> DataFrame:
     """docs without near duplicates: of each group the row with the smallest doc_id stays.
 
-    Groups are connected by pairs of texts with a Jaccard similarity of at least
-    ``SIMILARITY`` over the sets of their shingles, see ``similar_texts``. A null doc_id
-    comes last.
+    Groups are connected by pairs of texts whose fingerprints differ in at most ``RADIUS``
+    bits, and by pairs with a Jaccard similarity of at least ``SIMILARITY`` over the sets of
+    their shingles, see ``similar_texts``. A null doc_id comes last.
     """
     spark = docs.sparkSession
     with scratch(spark), settings(spark, spark__sql__execution__arrow__maxBytesPerBatch=BATCH):

@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -393,3 +394,15 @@ def test_near_duplicates_are_found_among_similar_but_different_texts(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     assert len(set(root)) < len(texts)
     assert {r.doc_id for r in simhash.unique_documents(docs).collect()} == set(root)
+
+
+def test_unique_documents_join_all_near_fingerprints(spark):
+    """Fingerprints count repeats: texts of one repeated line are near whatever their short ends."""
+    line = " ".join(f"w{i}" for i in range(7))
+    rows = [(i, " ".join([line] * 200 + [f"e{i}x{x}" for x in range(12)])) for i in (3, 1, 2)]
+    rows += [(10 + i, " ".join(f"o{i}x{x}" for x in range(60))) for i in range(3)]
+    assert all(brute.jaccard(brute.shingles(a), brute.shingles(b)) < 0.8 for a, b in combinations([t for _, t in rows], 2))
+    docs = docs_of(spark, rows)
+    of = {r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert of == {1, 10, 11, 12}
+    assert {r.doc_id for r in simhash.unique_documents(docs).collect()} == of
