@@ -150,7 +150,7 @@ def ingest_in_order(
         cleaned = daily.clean_snapshot(
             rows, layout_of(source), sequence, keep=(PATH,), suffix=True).persist()
         try:
-            wrong = cleaned.where("trade_date is null or ticker is null").select(PATH).limit(5).collect()
+            wrong = quality.first_rows(cleaned.where("trade_date is null or ticker is null").select(PATH))
             if wrong:
                 raise quality.DataCheckError(f"rows without a date or ticker in {sorted({r[0] for r in wrong})}")
             landing.keep(cleaned, number)
