@@ -238,7 +238,8 @@ def load_daily_files(spark, sf_dir):
     path, columns = _land_files(spark, sf_dir)
     store = new_store(spark, "load_daily")
     raw = raw_files.read_csv(spark, f"{path}/year=*", columns)
-    store.upsert(loaders.checked(loaders.shape_daily(raw, keep=loaders.FILE_KEYS)))
+    shaped = adapter.kept(loaders.shape_daily(raw, keep=loaders.FILE_KEYS))  # every check takes the rows
+    store.upsert(loaders.checked(shaped))
     return store.snapshot().select(*_LOADED)
 
 
