@@ -14,6 +14,7 @@ driver, one for each day.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -135,16 +136,20 @@ def _fill(
     # before a removed row, and on a new day, the stored row of the day before goes on
     before = F.broadcast(numbers.withColumnRenamed("trade_date", "_day"))
     earlier = stored.withColumnRenamed("trade_date", "before")
-    gaps = intervals.where("not has_row").select("ticker", "day_no", "_until").join(
-        before.select("day_no", "before"), "day_no")
-    carried = earlier.join(gaps, ["ticker", "before"]).withColumn("trade_date", F.col("before"))
-    carried = carry.silenced(
-        carry.spread_until(carried, numbers).withColumn(MARK, F.lit(True)), F.lit(True))
-    rows = rows.unionByName(carried.select(*names, MARK))
+    if replace:  # only a removed row leaves an interval without a row of its own
+        gaps = intervals.where("not has_row").select("ticker", "day_no", "_until").join(
+            before.select("day_no", "before"), "day_no")
+        carried = earlier.join(gaps, ["ticker", "before"]).withColumn("trade_date", F.col("before"))
+        carried = carry.silenced(
+            carry.spread_until(carried, numbers).withColumn(MARK, F.lit(True)), F.lit(True))
+        rows = rows.unionByName(carried.select(*names, MARK))
     if new:
         opened = before.where("is_new and before is not null").select("before", F.col("_day").alias("trade_date"))
-        copies = earlier.join(opened, "before").withColumn(MARK, F.lit(True))
+        line = sorted(known)
+        last = {line[bisect_left(line, one) - 1] for one in new if bisect_left(line, one)}
+        copies = earlier.where(F.col("before").isin(sorted(last))).join(opened, "before").withColumn(MARK, F.lit(True))
         copies = with_keys_not_in(carry.silenced(copies, F.lit(True)), cells)
         rows = rows.unionByName(copies.select(*names, MARK))
-    store.patch(rows, cells, touched, may_empty=replace)
+    # without removed rows each cell has a row that takes the stored one's place
+    store.patch(rows, cells if replace else None, touched, may_empty=replace, sized=batch)
     return touched
