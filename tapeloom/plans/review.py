@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..contracts import fixed_values as fixed
 from ..functions import tickers
@@ -57,8 +58,9 @@ def dashboard_days(
     """The whole dashboard in one pass: a row for each day.
 
     Breadth and phase; ``limit_up_pool``, ``limit_down_pool`` and ``losers`` as ordered arrays of what the
-    functions of these names give as rows. One aggregation reads the view once. A day has
-    at most one row per stock, which bounds the arrays; themes and phases join by day.
+    functions of these names give as rows. One aggregation reads the view once. Losers are
+    ranked as rows where the day's rows lie, so that arrays hold what the pages show and no
+    whole day; themes and phases join by day.
     """
     code, pct = F.col("ticker").alias("ts_code"), F.col("pct_change")
 
@@ -68,13 +70,15 @@ def dashboard_days(
         row = F.struct(F.struct(*keys).alias("_order"), F.struct(*columns).alias("row"))
         return F.transform(F.sort_array(F.collect_list(F.when(when, row))), lambda x: x["row"])
 
-    days = view.groupBy("trade_date").agg(
+    worst = Window.partitionBy("trade_date").orderBy(pct.asc_nulls_last(), "ticker")
+    days = view.withColumn("_place", F.row_number().over(worst)).groupBy("trade_date").agg(
         *market.kpi_columns(),
         ordered(F.col("is_limit_up"), [-F.col("boards"), -F.col("amount"), F.col("ticker")],
                 code, "name", "boards", "amount").alias("limit_up_pool"),
         ordered(F.col("is_limit_down"), [pct, F.col("ticker")], code, "name", "pct_change", "amount")
         .alias("limit_down_pool"),
-        F.slice(ordered(pct.isNotNull(), [pct, F.col("ticker")], code, "name", "pct_change"), 1, k).alias("losers"),
+        ordered(pct.isNotNull() & (F.col("_place") <= k), [pct, F.col("ticker")], code, "name", "pct_change")
+        .alias("losers"),
     )
     theme = F.lit(None).cast("string")
     if themes is not None:

@@ -89,3 +89,17 @@ def test_a_dashboard_row_holds_what_the_tables_hold(spark):
     assert plan.count("Window [") <= 3 and plan.count("ObjectHashAggregate") >= 1
     bare = review.dashboard_days(view).collect()
     assert {x.theme for r in bare for x in r.limit_up_pool} == {None} and "phase" not in bare[0].__fields__
+
+
+def test_a_dashboard_gathers_no_whole_day(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 4000, 1, 4).select(
+        F.lit("2024-01-02").cast("date").alias("trade_date"), F.format_string("60%04d.SH", "id").alias("ticker"),
+        F.lit("n").alias("name"), (F.col("id") % 1000 / 100).alias("pct_change"), F.lit(1.0).alias("amount"),
+        F.lit(False).alias("is_limit_up"), F.lit(False).alias("is_limit_down"),
+        F.lit(False).alias("is_broken_limit"), F.lit(0).alias("boards"))
+    days = review.dashboard_days(rows, k=3)
+    plan = days._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number()" in plan and "slice(" not in plan  # ranked as rows, not cut from an array of all
+    assert [r.ts_code for r in days.first().losers] == ["600000.SH", "601000.SH", "602000.SH"]
