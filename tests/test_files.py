@@ -194,6 +194,39 @@ def test_export_by_ticker(spark, tmp_path):
     assert [(r.trade_date, r.close) for r in back.collect()] == [("2024-01-04", "2.0")]
 
 
+def tasks_of(spark, group, action):
+    """What an action returns, and the tasks of each stage it ran."""
+    context = spark.sparkContext
+    context.setJobGroup(group, group)
+    try:
+        out = action()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    return out, [s.numTasks for s in stages if s is not None]
+
+
+def test_many_tickers_are_one_file_each_and_listed_in_few_tasks(spark, tmp_path):
+    """40 folders: over 32 Spark lists them in tasks, by default one for each."""
+    path = str(tmp_path / "export")
+    rows = spark.range(120).selectExpr(
+        "date_add(date'2024-01-04', int(id div 40)) as trade_date", "lpad(id % 40, 6, '0') || '.SZ' as ticker",
+        "id / 100 as close", "id as volume",
+        "case when id % 7 = 0 then 'two' || char(10) || 'lines, one' when id % 7 < 6 then 'plain' end as note")
+    raw_files.export_by_ticker(rows, path)
+    assert len(list((tmp_path / "export").glob("ticker=*/*.csv"))) == 40
+    assert not list((tmp_path / "export").rglob("*.crc"))
+    default = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    back, tasks = tasks_of(spark, "by ticker", lambda: raw_files.read_by_ticker(spark, path, rows.schema))
+    assert tasks and max(tasks) <= 8
+    assert back.dtypes == rows.dtypes and sorted(back.collect(), key=str) == sorted(rows.collect(), key=str)
+    found, tasks = tasks_of(spark, "history", lambda: raw_files.list_files(spark, path, raw_files.HISTORY_GLOB))
+    assert tasks and max(tasks) <= 8 and found.count() == 40
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == default
+
+
 def test_files_of_one_name_in_two_folders(spark, tmp_path):
     headers = list(fixed.HISTORY_COLUMNS)
     values = dict.fromkeys(headers, 1)
