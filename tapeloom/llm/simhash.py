@@ -126,19 +126,22 @@ def _forest(values: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
     return ((i, int(r)) for i, r in enumerate(root) if i != r)
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp), enough to connect all within the radius."""
+def links(fps: DataFrame, radius: int = RADIUS, key: str = "fp") -> DataFrame:
+    """(a, b): links between distinct fingerprints (column fp), enough to connect all within the radius.
+
+    They are named by the column key, a long that all rows of a fingerprint share.
+    """
     if not 0 < radius <= 2:
         raise ValueError("radius must be 1 or 2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for fps in batch.column("fps"):
-                values = np.asarray(fps.values, np.int64)
+            for fps, keys in zip(batch.column("fp"), batch.column(key), strict=True):
+                values, names = (np.asarray(x.values, np.int64) for x in (fps, keys))
                 for i, j in _forest(values.view(U), radius):
-                    a.append(values[i])
-                    b.append(values[j])
+                    a.append(names[i])
+                    b.append(names[j])
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     full = (1 << 64) - 1
@@ -146,13 +149,14 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     lists = F.explode(F.array(*[
         F.struct(F.lit(i).alias("positions"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes"))
-        for i, m in enumerate(masks)])).alias("key")
+        for i, m in enumerate(masks)])).alias("list")
+    columns = dict.fromkeys(["fp", key])
     # each row becomes 28: as many tasks as a shuffle has, not the few that small input is merged to
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        fps.select("fp").distinct().repartition(tasks).select("fp", lists)
-        .groupBy("key.positions", "key.bytes").agg(F.collect_list("fp").alias("fps"))
-        .filter("size(fps) > 1").select("fps").mapInArrow(run, "a long, b long")
+        fps.select(*columns).distinct().repartition(tasks).select(*columns, lists)
+        .groupBy("list.positions", "list.bytes").agg(*[F.collect_list(x).alias(x) for x in columns])
+        .filter("size(fp) > 1").select(*columns).mapInArrow(run, "a long, b long")
     )
 
 
@@ -188,11 +192,13 @@ def _shingle_set(words, i: int) -> np.ndarray:
 
 def _text_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks(batches):
+        n = block.rows.num_rows
+        fps = np.fromiter((fingerprint(shingle_hashes(block.text(i), SHINGLE)) for i in range(n)), U, n)
         words = block.words(block.lower())
-        sample = [_samples(_shingle_set(words, i)) for i in range(block.rows.num_rows)]
+        sample = [_samples(_shingle_set(words, i)) for i in range(n)]
         yield pa.RecordBatch.from_pydict({
             **{x: block.rows.column(x) for x in ("t1", "t2")},
-            "sample": pa.array(sample, pa.binary())})
+            "fp": fps.view(np.int64), "sample": pa.array(sample, pa.binary())})
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +232,7 @@ def _verified(pairs: DataFrame, samples: DataFrame, texts: DataFrame) -> DataFra
     texts = staged(texts.join(ids.hint("shuffle_hash"), ["t1", "t2"], "left_semi").select("t1", "text"), "texts")
     with_text = pairs.join(texts.withColumnRenamed("t1", "a"), "a")
     both = with_text.join(texts.select(F.col("t1").alias("b"), F.col("text").alias("other")), "b")
-    return staged(both.select("a", "b", "text", "other").mapInArrow(_verify, "a long, b long"), "similar")
+    return both.select("a", "b", "text", "other").mapInArrow(_verify, "a long, b long")
 
 
 def _pair(a: str, b: str) -> list:
@@ -395,17 +401,14 @@ def _first_texts(docs: DataFrame) -> DataFrame:
         "first_texts", ["t1", "t2"])
 
 
-def _near_texts(texts: DataFrame) -> DataFrame:
+def _near_texts(samples: DataFrame) -> DataFrame:
     """Links (a, b) between the keys t1 of texts whose fingerprints are within ``RADIUS`` bits,
     enough to connect all of them: texts of one fingerprint with the least key among them, and
     those of near fingerprints with one another."""
-    rows = staged(fingerprints(texts.select(F.col("t1").alias("doc_id"), "text")), "fingerprints")
-    rows = rows.select(F.col("doc_id").alias("t1"), "fp")
+    rows = samples.select("t1", "fp")
     heads = rows.groupBy("fp").agg(F.min("t1").alias("head"))
     same = rows.join(heads, "fp").filter("t1 != head").select(F.col("t1").alias("a"), F.col("head").alias("b"))
-    one, two = (heads.select(F.col("fp").alias(fp), F.col("head").alias(key)) for fp, key in (("a", "t"), ("b", "u")))
-    near = links(rows).join(one, "a").join(two, "b").select(F.col("t").alias("a"), F.col("u").alias("b"))
-    return staged(same.union(near), "near")
+    return same.union(links(heads, key="head"))
 
 
 def similar_texts(texts: DataFrame) -> DataFrame:
@@ -419,10 +422,11 @@ def similar_texts(texts: DataFrame) -> DataFrame:
     Then the members of a list of up to ``SMALL`` texts are all compared by their shared
     bytes, and a longer list that still holds several components draws further heads, each
     linked to the members of the other components. Last, all pairs of a longer list that
-    are still in different components are compared in blocks, see ``_settled``.
+    are still in different components are compared in blocks, see ``_settled``. Where no
+    list is longer, there is nothing left to draw or to compare.
     """
     samples = staged(texts.select("t1", "t2", "text").mapInArrow(
-        _text_samples, "t1 long, t2 long, sample binary"), "samples")
+        _text_samples, "t1 long, t2 long, fp long, sample binary"), "samples")
     lists = samples.select("t1", F.posexplode(F.array(*[
         F.xxhash64(F.lit(i), F.substring("sample", i * BAND + 1, BAND)) for i in range(POSITIONS // BAND)
     ])).alias("start", "list"))
@@ -430,9 +434,9 @@ def similar_texts(texts: DataFrame) -> DataFrame:
         F.min_by("t1", F.xxhash64("list", "t1")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     lists = staged(lists.join(heads, "list"), "lists")
     tested = staged(_tallied(lists.filter("t1 != head").select(*_pair("t1", "head")).distinct(), samples), "pairs")
-    found = _verified(tested, samples, texts)
-    linked = components(_near_texts(texts).union(found))
-    for draw in range(ROUNDS):
+    linked = components(_near_texts(samples).union(_verified(tested, samples, texts)))
+    long = not lists.filter(F.col("n") > SMALL).isEmpty()
+    for draw in range(ROUNDS if long else 1):
         members = lists.join(linked.withColumnRenamed("u", "t1"), "t1", "left").select(
             "list", "n", "t1", F.coalesce("v", "t1").alias("root"))
         mixed = [F.min("root").alias("least"), F.max("root").alias("most")]
@@ -451,9 +455,11 @@ def similar_texts(texts: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             continue
         tested = tested.union(pairs)
-        new = _verified(pairs, samples, texts)
+        new = staged(_verified(pairs, samples, texts), "similar")
         if not new.isEmpty():
             linked = components(linked.select(F.col("u").alias("a"), F.col("v").alias("b")).union(new))
+    if not long:
+        return linked
     new = _settled(lists, linked, samples, texts)
     if not new.isEmpty():
         linked = components(linked.select(F.col("u").alias("a"), F.col("v").alias("b")).union(new))
@@ -475,7 +481,7 @@ def unique_documents(docs: DataFrame) -> DataFrame:
         # a group's winner is its text with the smallest doc_id; the others' texts go
         nodes = linked.select(F.col("u").alias("t1"), F.col("v").alias("root")).union(
             linked.select(F.col("v").alias("t1"), F.col("v").alias("root")).distinct())
-        known = staged(nodes.join(texts.select("t1", "t2", "first"), "t1"), "known")
+        known = nodes.join(texts.select("t1", "t2", "first"), "t1")
         best = known.groupBy("root").agg(F.min(F.struct("first", "t1")).alias("best"))
         losers = known.join(best, "root").filter(F.col("t1") != F.col("best.t1")).select("t1", "t2")
         losers = staged(losers, "losers", lasting=True)

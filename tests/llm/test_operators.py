@@ -14,6 +14,7 @@ from tapeloom.llm import (
     decontaminate, imatch, lang_id, language_model, quality, queries, simhash, substring_dedup,
     suffix_dedup, text, tokens,
 )
+from tapeloom.llm.text import staged
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -72,6 +73,30 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     assert got == {**{i: 100 for i in range(101, 161)}, **{i: 5 for i in range(1000, 1200)}}
 
 
+@pytest.mark.parametrize(("edges", "rounds"), [
+    ([(5, i) for i in range(1000, 1200)] + [(7, 7), (9, 8), (8, 9)], 0), ([], 0),
+    ([(1, 2), (2, 3)], 1), ([(1, 3), (2, 3)], 1), ([(2, 3), (1, 3), (3, 4), (6, 5)], 1)])
+def test_links_that_are_stars_take_no_further_round(spark, monkeypatch, edges, rounds):
+    from tapeloom.llm import graph
+    written = []
+    monkeypatch.setattr(graph, "staged", lambda df, name: (written.append(name), staged(df, name))[1])
+    got = {(r.u, r.v) for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nodes = sorted({x for e in edges for x in e})
+    root = brute.components(nodes, lambda a, b: (a, b) in edges or (b, a) in edges)
+    assert got == {(nodes[i], nodes[r]) for i, r in enumerate(root) if i != r}
+    assert written == ["links"] + ["stars"] * rounds
+
+
+def test_links_between_fingerprints_bear_the_names_given(spark):
+    rows = [(0, 70), (3, 71), (1 << 62, 72), (7, 73), ((1 << 62) + 1, 74), (-1, 75)]
+    pairs = simhash.links(spark.createDataFrame(rows, "fp long, head long"), key="head").collect()
+    near = {frozenset((p, q)) for (a, p), (b, q) in combinations(rows, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+    linked = {frozenset(r) for r in pairs}
+    names = [n for _, n in rows]
+    same = [brute.components(names, lambda a, b, x=x: frozenset((a, b)) in x) for x in (near, linked)]
+    assert same[0] == same[1]
+
+
 def test_edge_rows_of_the_repeat_operators(spark, tables):
     long = " ".join(f"u{i}" for i in range(50))
     rows = [(None, None), (None, long), (1, long), (1, long), (2, LONG), (3, "short"), (4, LONG)]
@@ -406,3 +431,20 @@ def test_unique_documents_join_all_near_fingerprints(spark):
     of = {r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert of == {1, 10, 11, 12}
     assert {r.doc_id for r in simhash.unique_documents(docs).collect()} == of
+
+
+def test_unique_documents_take_no_steps_for_lists_that_are_not_there(spark, monkeypatch):
+    """Texts are read once for samples and fingerprints; without a long list nothing is drawn or settled."""
+    written = []
+    monkeypatch.setattr(simhash, "staged", lambda df, name, *a, **k: (written.append(name), staged(df, name, *a, **k))[1])
+    base = [[f"b{i}x{x}" for x in range(200)] for i in range(5)]
+    rows = [(10 * i + n, " ".join([*b[:100], *["other"] * bool(n), *b[100:]])) for i, b in enumerate(base) for n in range(2)]
+    spark.sparkContext.setJobGroup("short lists", "short lists")
+    try:
+        kept = simhash.unique_documents(docs_of(spark, rows)).collect()
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("short lists")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.doc_id for r in kept} == {0, 10, 20, 30, 40}
+    assert written.count("pairs") == 2 and not {"fingerprints", "open", "shingles", "settled"} & set(written)
+    assert len(jobs) < 60
