@@ -7,9 +7,8 @@ So for each changed (day, ticker) the next real row bounds an interval, and the
 intervals of a delivery, which never overlap, are filled anew in one job. The result is the
 full fill of all real rows, in whatever order they came.
 
-Read are the delivered days, the days before new ones, key columns of the changed
-tickers after the first delivered day, and the partitions to be rewritten. Dates reach the
-driver, one for each day.
+Read are the real rows from the first delivered day on, the days before new ones, and the
+partitions to be rewritten. Dates and counts reach the driver, one for each day.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from pyspark.sql.window import Window
 from ..contracts import get_table
 from ..operators import calendar as cal
 from ..operators import carry, quality
-from ..operators.keys import PANEL_KEY, with_keys_in, with_keys_not_in
+from ..operators.keys import PANEL_KEY, with_keys_not_in
 from ..operators.shaping import conform
 from ..sources.store import MARK, PANEL, Store
 from .daily import derive
@@ -32,54 +31,68 @@ from .daily import derive
 KEY = list(PANEL_KEY)
 
 
-def _calendar(batch: DataFrame, known: list[date], fresh: list[date]) -> DataFrame:
-    """Every stored or delivered day: trade_date, day_no, last_no, is_new and the stored day before."""
-    rows, before, stored = [], None, set(known)
-    every = sorted(stored.union(fresh))
+def _calendar(batch: DataFrame, every: list[date], known: set[date], fresh: set[date]) -> DataFrame:
+    """Every stored or delivered day: trade_date, day_no, last_no, is_sent, is_new and the stored day before."""
+    rows, before = [], None
     for number, day in enumerate(every, 1):
-        rows.append((day, number, len(every), day not in stored, before))
-        if day in stored:
+        rows.append((day, number, len(every), day in fresh, day not in known, before))
+        if day in known:
             before = day
     return batch.sparkSession.createDataFrame(
-        rows, "trade_date date, day_no int, last_no int, is_new boolean, before date")
+        rows, "trade_date date, day_no int, last_no int, is_sent boolean, is_new boolean, before date")
 
 
-def _changed(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows of the batch that are not stored as real rows with the same values."""
-    values = [c for c in batch.columns if c not in (*KEY, "created_at", MARK)]
-    old = stored.select(*KEY, F.struct(*values).alias("_old"), F.col(MARK).alias("_copied"))
-    same = F.struct(*values).eqNullSafe(F.col("_old")) & ~F.coalesce("_copied", F.lit(False))
-    joined = batch.join(old, KEY, "left")
-    return joined.where(F.col("_old").isNull() | ~same).drop("_old", "_copied")
-
+def _intervals(batch: DataFrame, real: DataFrame, days: DataFrame, replace: bool) -> DataFrame:
+    """The batch's rows that change something, with day_no and _until of the interval each
+    fills, and has_row, which is false where a row was removed.
 
-def _intervals(
-    changed: DataFrame, removed: DataFrame | None, real: DataFrame, days: DataFrame
-) -> DataFrame:
-    """ticker, trade_date, day_no, _until and has_row of each interval to fill.
-
-    ``real`` has the keys of all real rows from the first delivered day on, as they will be.
-    A removed row inside another interval is part of that one.
+    ``real`` has the stored real rows from the first delivered day on. Both sides go to their
+    ticker once; there a sent row lies next to the stored one of its key, and a row's interval
+    ends at the next real row. A removed row inside another interval is part of that one. A key
+    sent twice stops the job.
     """
-    numbers = F.broadcast(days.select("trade_date", "day_no", "last_no"))
-    anchors = changed.select(*KEY)
-    if removed is not None:
-        anchors = anchors.unionByName(removed.select(*KEY))
-    events = (
-        anchors.withColumn("anchor", F.lit(True))
-        .unionByName(real.select(*KEY).withColumn("has_row", F.lit(True)), allowMissingColumns=True)
-        .groupBy(*KEY)
-        .agg(*[F.coalesce(F.max(c), F.lit(False)).alias(c) for c in ("anchor", "has_row")])
-        .join(numbers, "trade_date")
-    )
-    line = Window.partitionBy("ticker").orderBy("day_no")
-    later = line.rowsBetween(1, Window.unboundedFollowing)
-    following = F.min(F.when(F.col("has_row"), F.col("day_no"))).over(later)
-    led = events.withColumns({
+    values = [c for c in batch.columns if c not in (*KEY, "created_at", MARK)]
+    own = F.struct(*values)
+    old = real.select(*KEY, own.alias("_held"), F.lit(False).alias("_sent"))
+    rows = batch.withColumn("_sent", F.lit(True)).unionByName(old, allowMissingColumns=True)
+    rows = rows.join(F.broadcast(days.select("trade_date", "day_no", "last_no", "is_sent")), "trade_date")
+    rows = rows.withColumn("_held", F.when(F.col("is_sent"), F.col("_held")))  # compared on delivered days alone
+    line = Window.partitionBy("ticker").orderBy("day_no", "_sent")
+    led = rows.withColumns({
+        "_paired": F.coalesce(F.lag("day_no").over(line) == F.col("day_no"), F.lit(False)),
+        "_twice": F.coalesce(F.lag("_sent").over(line), F.lit(False)),
+        "_was": F.lag("_held").over(line),
+        "_next": F.lead("day_no").over(line),
+    })
+    led = quality.with_single_key(led, F.col("_paired") & F.col("_twice"), "repeated", KEY)
+    changed = F.col("_sent") & ~(F.col("_paired") & own.eqNullSafe(F.col("_was")))
+    if not replace:  # each row is a real one as it will be, so the next one ends an interval
+        until = F.coalesce("_next", F.col("last_no") + 1)
+        return led.where(changed).select(
+            *batch.columns, "day_no", until.alias("_until"), F.lit(True).alias("has_row"))
+    removed = ~F.col("_sent") & F.col("is_sent") & ~F.coalesce(F.col("_next") == F.col("day_no"), F.lit(False))
+    led = led.withColumns({"has_row": ~removed, "_anchor": changed | removed})
+    following = F.min(F.when(F.col("has_row"), F.col("day_no"))).over(
+        line.rowsBetween(1, Window.unboundedFollowing))
+    led = led.withColumns({
         "_until": F.coalesce(following, F.col("last_no") + 1),
-        "_inside": ~F.col("has_row") & F.coalesce(F.lag("anchor").over(line), F.lit(False)),
+        "_inside": ~F.col("has_row") & F.coalesce(F.lag("_anchor").over(line), F.lit(False)),
     })
-    return led.where("anchor and not _inside").select(*KEY, "day_no", "_until", "has_row")
+    return led.where("_anchor and not _inside").select(*batch.columns, "day_no", "_until", "has_row")
+
+
+def _covered(intervals: DataFrame, every: list[date]) -> dict[date, int]:
+    """The days that intervals cover and by how many, from their ends alone: two rows a day."""
+    ends = F.array(
+        F.struct(F.col("day_no").alias("at"), F.lit(1).alias("n")),
+        F.struct(F.col("_until").alias("at"), F.lit(-1).alias("n")))
+    steps = intervals.select(F.explode(ends).alias("e")).groupBy("e.at").agg(F.sum("e.n").alias("n")).collect()
+    steps, open_now, found = {row["at"]: row["n"] for row in steps}, 0, {}
+    for number, day in enumerate(every, 1):
+        open_now += steps.get(number, 0)
+        if open_now:
+            found[day] = open_now
+    return found
 
 
 def refill_days(cleaned: DataFrame, store: Store, replace: bool = False) -> list[date]:
@@ -90,66 +103,58 @@ def refill_days(cleaned: DataFrame, store: Store, replace: bool = False) -> list
     rewritten. The store must have been filled without ``max_gap``.
     """
     contract = get_table(PANEL)
-    quality.require_unique_key(cleaned, contract.key)
-    batch = conform(derive(conform(cleaned, contract, typed=True)), contract, typed=True).persist()
-    try:
-        fresh = sorted(row.trade_date for row in cal.trading_days(batch).collect())
+    batch = conform(derive(conform(cleaned, contract, typed=True)), contract, typed=True)
+    with store.staged_batch(batch) as (batch, fresh):
         if not fresh:
             return []
-        known = [row.trade_date for row in store.days().collect()]
-        days = _calendar(batch, known, fresh)
-        stored = store.table(PANEL, marked=True).withColumn(MARK, F.coalesce(MARK, F.lit(False)))
-        old = stored.where(F.col("trade_date").isin(fresh))
-        changed = _changed(batch, old)
-        removed = with_keys_not_in(old.where(~F.col(MARK)), batch) if replace else None
-
-        anchors = changed if removed is None else changed.select(*KEY).unionByName(removed.select(*KEY))
-        after = stored.where((F.col("trade_date") >= fresh[0]) & ~F.col(MARK)).select(*KEY)
-        real = with_keys_in(after, anchors, ["ticker"])
-        if removed is not None:
-            real = with_keys_not_in(real, removed)
-        intervals = _intervals(changed, removed, real.unionByName(batch.select(*KEY)).distinct(), days).persist()
-        try:
-            return _fill(store, batch, stored, days, intervals, set(known), fresh, replace)
-        finally:
-            intervals.unpersist()
-    finally:
-        batch.unpersist()
+        known = {row.trade_date for row in store.days().collect()}
+        every = sorted(known.union(fresh))
+        days = _calendar(batch, every, known, set(fresh))
+        stored = store.table(PANEL, fresh[0], marked=True).withColumn(MARK, F.coalesce(MARK, F.lit(False)))
+        with store.kept(_intervals(batch, stored.where(~F.col(MARK)), days, replace)) as intervals:
+            return _fill(store, batch.columns, days, intervals, every, known, fresh, replace)
 
 
 def _fill(
-    store: Store, batch: DataFrame, stored: DataFrame, days: DataFrame, intervals: DataFrame,
+    store: Store, names: list[str], days: DataFrame, intervals: DataFrame, every: list[date],
     known: set[date], fresh: list[date], replace: bool,
 ) -> list[date]:
-    names = batch.columns
     numbers = days.select("trade_date", "day_no", "before", "is_new")
-    cells = carry.spread_until(intervals.drop("has_row"), numbers).select(*KEY)
     new = [day for day in fresh if day not in known]
-    days_hit = {row.trade_date for row in cells.select("trade_date").distinct().collect()}
-    touched = sorted(days_hit.union(new))
+    covered = _covered(intervals, every)
+    touched = sorted(set(covered).union(new))
     if not touched:
         return []
 
-    own = batch.join(intervals.where("has_row").select(*KEY, "day_no", "_until"), KEY)
-    rows = carry.spread_until(own, numbers).select(*names, MARK)
+    rows = carry.spread_until(intervals.where("has_row"), numbers).select(*names, MARK)
 
     # before a removed row, and on a new day, the stored row of the day before goes on
     before = F.broadcast(numbers.withColumnRenamed("trade_date", "_day"))
+    stored = store.table(PANEL, marked=True).withColumn(MARK, F.coalesce(MARK, F.lit(False)))
     earlier = stored.withColumnRenamed("trade_date", "before")
-    if replace:  # only a removed row leaves an interval without a row of its own
-        gaps = intervals.where("not has_row").select("ticker", "day_no", "_until").join(
-            before.select("day_no", "before"), "day_no")
-        carried = earlier.join(gaps, ["ticker", "before"]).withColumn("trade_date", F.col("before"))
-        carried = carry.silenced(
-            carry.spread_until(carried, numbers).withColumn(MARK, F.lit(True)), F.lit(True))
-        rows = rows.unionByName(carried.select(*names, MARK))
+    copies = None
     if new:
         opened = before.where("is_new and before is not null").select("before", F.col("_day").alias("trade_date"))
         line = sorted(known)
-        last = {line[bisect_left(line, one) - 1] for one in new if bisect_left(line, one)}
-        copies = earlier.where(F.col("before").isin(sorted(last))).join(opened, "before").withColumn(MARK, F.lit(True))
-        copies = with_keys_not_in(carry.silenced(copies, F.lit(True)), cells)
-        rows = rows.unionByName(copies.select(*names, MARK))
-    # without removed rows each cell has a row that takes the stored one's place
-    store.patch(rows, cells if replace else None, touched, may_empty=replace, sized=batch)
+        last = sorted({line[bisect_left(line, one) - 1] for one in new if bisect_left(line, one)})
+        if last:
+            held = store.table(PANEL, last[0], last[-1], marked=True).withColumn(MARK, F.coalesce(MARK, F.lit(False)))
+            held = held.withColumnRenamed("trade_date", "before").where(F.col("before").isin(last))
+            copies = held.join(opened, "before").withColumn(MARK, F.lit(True))
+            copies = carry.silenced(copies, F.lit(True)).select(*names, MARK)
+    if not replace:  # each cell has a row that takes the place of a stored one or of a copy
+        store.patch(rows, None, touched, sent=covered, below=copies)
+        return touched
+
+    # only a removed row leaves an interval without a row of its own
+    cells = carry.spread_until(intervals.select(*KEY, "day_no", "_until"), numbers).select(*KEY)
+    gaps = intervals.where("not has_row").select("ticker", "day_no", "_until").join(
+        before.select("day_no", "before"), "day_no")
+    carried = earlier.join(gaps, ["ticker", "before"]).withColumn("trade_date", F.col("before"))
+    carried = carry.silenced(
+        carry.spread_until(carried, numbers).withColumn(MARK, F.lit(True)), F.lit(True))
+    rows = rows.unionByName(carried.select(*names, MARK))
+    if copies is not None:
+        rows = rows.unionByName(with_keys_not_in(copies, cells))
+    store.patch(rows, cells, touched, may_empty=True)
     return touched

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tapeloom", master: str | None = None, **conf) -> SparkSession:
@@ -38,14 +39,38 @@ def shared_dir(spark: SparkSession, name: str, base: str | None = None) -> str:
 def settings(spark: SparkSession, **values: str):
     """Set session settings (``__`` for a dot) and put the old values back after."""
     names = {name.replace("__", "."): value for name, value in values.items()}
-    before = {name: spark.conf.get(name) for name in names}
+    before = {name: spark.conf.get(name, None) for name in names}
     try:
         for name, value in names.items():
             spark.conf.set(name, value)
         yield
     finally:
         for name, value in before.items():
-            spark.conf.set(name, value)
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+#: Shuffle files go when the job that made them ends, not when the driver next collects garbage.
+RELEASED = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
+
+
+@contextmanager
+def kept_rows(rows: DataFrame, folder: str) -> Iterator[DataFrame]:
+    """Rows written once to a new ``folder`` and read from there; gone afterwards.
+
+    For rows taken several times. Unlike a cache it holds no memory, nor the shuffle files of
+    what made the rows, and plans built on it begin at files.
+    """
+    spark = rows.sparkSession
+    try:
+        with settings(spark, **RELEASED):
+            rows.write.parquet(folder)
+        yield spark.read.schema(rows.schema).parquet(folder)
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def writing_folders(spark: SparkSession, mode: str = "dynamic"):
@@ -58,6 +83,7 @@ def writing_folders(spark: SparkSession, mode: str = "dynamic"):
         spark,
         spark__sql__sources__partitionOverwriteMode=mode,
         spark__sql__adaptive__coalescePartitions__enabled="false",
+        **RELEASED,
     )
 
 

@@ -11,6 +11,7 @@ the catalog entry is pointed at it.
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from datetime import date, timedelta
@@ -26,7 +27,7 @@ from ..operators import calendar as cal
 from ..operators import quality
 from ..operators.keys import with_keys_in, with_keys_not_in
 from ..operators.shaping import conform, to_type
-from ..session import writing_folders
+from ..session import kept_rows, writing_folders
 
 PANEL = "daily_market_snapshot"
 PHASE = "market_phase"
@@ -178,6 +179,13 @@ class Store:
             df = df.withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
         return df
 
+    @contextmanager
+    def kept(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """Rows that are taken several times, written once below the store's folder."""
+        with quality.key_errors():
+            with kept_rows(rows, f"{self.root}/_staging/{uuid.uuid4().hex[:12]}") as found:
+                yield found
+
     @contextmanager
     def _staged(
         self, batch: DataFrame, contract: TableContract, stored: str | None = None,
@@ -191,16 +199,11 @@ class Store:
         table holds; without ``check`` the write that follows does so (``_dealt``). What
         follows reads the staged rows, which are gone afterwards.
         """
-        spark = batch.sparkSession
-        folder = f"{self.root}/_staging/{uuid.uuid4().hex[:12]}"
         metric = Observation()
         rows = quality.with_whole_key(batch, contract.key)
         if contract.partition_by:
             rows = rows.observe(metric, *_day_metrics(F.col("trade_date")))
-        try:
-            with quality.key_errors():
-                rows.write.parquet(folder)
-            found = spark.read.schema(rows.schema).parquet(folder)
+        with self.kept(rows) as found:
             days = []
             if contract.partition_by:
                 days = _days_of(metric.get)
@@ -210,9 +213,11 @@ class Store:
                 held = None if stored is None else self._slice(stored, days)
                 quality.require_new_keys(found, contract.key, held)
             yield found, days
-        finally:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def staged_batch(self, batch: DataFrame):
+        """Rows of the panel written once, and their days. A NULL key is an error; a repeated
+        one is left to what follows."""
+        return self._staged(batch, get_table(PANEL), check=False)
 
     def _slice(self, table: str, days: Sequence[date]) -> DataFrame:
         """The stored rows of the partitions that a batch on ``days`` touches."""
@@ -224,7 +229,7 @@ class Store:
 
     def _dealt(
         self, stored: DataFrame, batch: DataFrame, message: str = "", was: Sequence[str] = (),
-        sized: DataFrame | None = None,
+        sent: Mapping[date, int] | None = None,
     ) -> DataFrame:
         """Stored and sent rows of the panel by partition and key, marked ``_sent``, in one shuffle.
 
@@ -232,19 +237,27 @@ class Store:
         partition goes to one task, one of many rows in shares of its tickers. ``_updates`` tells
         a sent row whose key is stored and ``_last`` the row that stays; both follow from the
         sorted rows next to each other. A key sent twice stops the job, with ``message`` a stored
-        one too. ``_was`` holds the columns ``was`` of the row before. ``sized`` is counted for
-        the batch's rows where those are costly to make twice.
+        one too. ``_was`` holds the columns ``was`` of the row before. ``sent`` has the batch's
+        rows by day where they are known and costly to make twice.
         """
         key = get_table(PANEL).key
         folder = "trade_date" if self.grain == "day" else PERIOD
-        days = stored.select("trade_date").union((batch if sized is None else sized).select("trade_date"))
         period = F.col("trade_date") if self.grain == "day" else self.period_column(F.col("trade_date"))
-        most = days.groupBy(period.alias("p")).count().agg(F.max("count")).first()[0] or 0
+        days = stored.select("trade_date")
+        days = days if sent is not None else days.union(batch.select("trade_date"))
+        counts = Counter()
+        for day, n in (sent or {}).items():
+            counts[self._period_of(day)] += n
+        for row in days.groupBy(period.cast("string").alias("p")).count().collect():
+            counts[row.p] += row["count"]
+        most = max(counts.values(), default=0)
         rows = stored.withColumn("_sent", F.lit(False)).unionByName(
             batch.withColumn("_sent", F.lit(True)), allowMissingColumns=True)
         shares = F.lit(-(-most // _SHARE_ROWS) or 1)
+        # enough tasks that each sorts its rows in memory: a spill would be one more copy on disk
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * sum(counts.values()) // _SHARE_ROWS))
         rows = rows.withColumns({
-            folder: period, "_share": F.pmod(F.xxhash64(*key), shares)}).repartition(folder, "_share")
+            folder: period, "_share": F.pmod(F.xxhash64(*key), shares)}).repartition(tasks, folder, "_share")
         return with_neighbours(rows, key, [folder, "_share"], message, was)
 
     def _put(self, df: DataFrame, table: str, mode: str, dealt: bool = False) -> None:
@@ -352,28 +365,34 @@ class Store:
         """``replace_day`` for every day of the batch in one job.
 
         By days nothing stored is needed, so the rows go straight to their partitions.
+        Otherwise key checks and write share one shuffle (``_dealt``).
         """
         contract, batch = get_table(PANEL), self._ready(df, PANEL)
         if self.grain == "day":
             with quality.key_errors():
                 self._put(quality.with_unique_key(batch, contract.key), PANEL, "days")
             return
-        with self._staged(batch, contract) as (rows, days):
-            neighbours = self._slice(PANEL, days).where(~F.col("trade_date").isin(days))
-            self._put(neighbours.unionByName(rows, allowMissingColumns=True), PANEL, "days")
+        with self._staged(batch, contract, check=False) as (rows, days):
+            if days:
+                neighbours = self._slice(PANEL, days).where(~F.col("trade_date").isin(days))
+                with quality.key_errors():
+                    self._put(self._dealt(neighbours, rows).where("_last"), PANEL, "days", dealt=True)
 
     def patch(
         self, rows: DataFrame, keys: DataFrame | None, days: Sequence[date],
-        may_empty: bool = False, sized: DataFrame | None = None,
+        may_empty: bool = False, sent: Mapping[date, int] | None = None, below: DataFrame | None = None,
     ) -> None:
         """Drop the panel's rows whose key is in ``keys``, add ``rows``, marks included.
 
-        Without ``keys`` the rows take the place of those with their keys; rows of the
-        size and days of ``sized`` are cheap to count. Only the partitions of ``days`` are rewritten. With ``may_empty`` a day that is
-        left without a row goes.
+        Without ``keys`` the rows take the place of those with their keys, ``sent`` of each day;
+        ``below`` are rows with keys not stored, of which those stay that ``rows`` lack. Only the
+        partitions of ``days`` are rewritten. With ``may_empty`` a day that is left without a row goes.
         """
         if keys is None:
-            content = self._dealt(self._slice(PANEL, days), self._ready(rows, PANEL), sized=sized)
+            stored = self._slice(PANEL, days)
+            if below is not None:
+                stored = stored.unionByName(self._ready(below, PANEL), allowMissingColumns=True)
+            content = self._dealt(stored, self._ready(rows, PANEL), sent=sent)
             with quality.key_errors():
                 self._put(content.where("_last"), PANEL, "days", dealt=True)
             return
