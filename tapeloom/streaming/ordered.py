@@ -26,7 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..contracts import DAILY_MARKET_SNAPSHOT, layout_of
 from ..operators import quality
-from ..operators.keys import keep_last
+from ..operators.keys import PANEL_KEY, keep_last
 from ..plans import daily, late
 from ..session import writing_folders
 from ..sources import raw_files
@@ -65,14 +65,23 @@ class OrderedLanding:
             rows.select(*columns).write.insertInto(self.store.name(table), overwrite=True)
 
     def keep(self, cleaned: DataFrame, batch: int) -> None:
-        """Log the files of a batch and put its rows by."""
-        tagged = cleaned.withColumns({
+        """Put the rows of a batch by and log its files; one job reads, checks and writes the rows.
+
+        A row without a date or ticker stops it, and nothing is put by.
+        """
+        wrong = F.col("trade_date").isNull() | F.col("ticker").isNull()
+        tagged = quality.with_single_key(cleaned, wrong, "rows without a date or ticker in", [PATH]).withColumns({
             "batch": F.lit(batch).cast("long"), FOLDER: self.store.period_column(F.col("trade_date"))})
-        files = tagged.groupBy(PATH, "batch").agg(
+        try:
+            with quality.key_errors():
+                self._write(tagged.hint("rebalance", FOLDER), PENDING)
+        except quality.DuplicateKeyError as error:
+            raise quality.DataCheckError(str(error)) from None
+        held = cleaned.sparkSession.table(self.store.name(PENDING)).where(F.col("batch") == batch)
+        files = held.groupBy(PATH, "batch").agg(
             F.count(F.lit(1)).alias("n_rows"), F.min("trade_date").alias("first_day"),
             F.max("trade_date").alias("last_day"))
         self._write(files, FILES)
-        self._write(tagged.hint("rebalance", FOLDER), PENDING)
 
     def pending(self) -> dict[str, list[int]]:
         """Batches that hold rows of each folder not admitted; read from the list of partitions."""
@@ -102,14 +111,11 @@ class OrderedLanding:
         waiting = self.pending()
         newest = spark.table(self.store.name(DAYS)).where(F.col("batch") < batch).agg(F.max("trade_date")).first()[0]
         rows = spark.table(self.store.name(PENDING)).where(F.col(FOLDER).isin(folders))
-        rows = keep_last(rows, [PATH, "batch"]).select(*DAILY_MARKET_SNAPSHOT.columns).persist()
-        try:
-            days = late.refill_days(rows, self.store)
-            log = rows.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n_rows"))
-            is_late = F.lit(False) if newest is None else F.col("trade_date") < F.lit(newest)
-            self._write(log.withColumns({"is_late": is_late, "batch": F.lit(batch).cast("long")}), DAYS)
-        finally:
-            rows.unpersist()
+        days = late.refill_days(
+            keep_last(rows, [PATH, "batch"]).select(*DAILY_MARKET_SNAPSHOT.columns), self.store)
+        log = rows.select(*PANEL_KEY).distinct().groupBy("trade_date").agg(F.count(F.lit(1)).alias("n_rows"))
+        is_late = F.lit(False) if newest is None else F.col("trade_date") < F.lit(newest)
+        self._write(log.withColumns({"is_late": is_late, "batch": F.lit(batch).cast("long")}), DAYS)
         parts = ", ".join(
             f"PARTITION ({FOLDER} = '{folder}', batch = {n})" for folder in folders for n in waiting[folder])
         spark.sql(f"ALTER TABLE {self.store.name(PENDING)} DROP IF EXISTS {parts}")
@@ -147,15 +153,8 @@ def ingest_in_order(
 
     def handle(batch: DataFrame, number: int) -> None:
         rows = raw_files.number_rows(batch)
-        cleaned = daily.clean_snapshot(
-            rows, layout_of(source), sequence, keep=(PATH,), suffix=True).persist()
-        try:
-            wrong = quality.first_rows(cleaned.where("trade_date is null or ticker is null").select(PATH))
-            if wrong:
-                raise quality.DataCheckError(f"rows without a date or ticker in {sorted({r[0] for r in wrong})}")
-            landing.keep(cleaned, number)
-        finally:
-            cleaned.unpersist()
+        landing.keep(
+            daily.clean_snapshot(rows, layout_of(source), sequence, keep=(PATH,), suffix=True), number)
         landing.admit(number)
 
     return (

@@ -1,5 +1,6 @@
-"""What writes leave on disk, and intervals of late days from their ends alone."""
+"""What writes leave on disk, intervals of late days from their ends alone, rows read once."""
 
+import os
 import random
 import uuid
 from datetime import date, timedelta
@@ -54,3 +55,27 @@ def test_days_that_intervals_cover_are_counted_without_filling_them(spark):
     days = spark.createDataFrame(list(enumerate(every, 1)), "day_no int, trade_date date")
     filled = carry.spread_until(intervals, days).groupBy("trade_date").count()
     assert late._covered(intervals, every) == {r.trade_date: r["count"] for r in filled.collect()}
+
+
+def counted(rows, folder):
+    """``rows`` that leave a file for each time they are read."""
+    os.makedirs(folder)
+
+    def made(batches):
+        with open(f"{folder}/{uuid.uuid4().hex}", "w"):
+            yield from batches
+
+    return rows.coalesce(1).mapInArrow(made, rows.schema)
+
+
+def test_a_refill_reads_its_rows_once(spark, tmp_path):
+    store = new_store(spark)
+    rows = spark.createDataFrame(
+        [(START, "600000.SH", 1.0), (START + timedelta(days=1), "000001.SZ", 2.0)],
+        "trade_date date, ticker string, close double")
+    late.refill_days(rows, store)
+    late.refill_days(counted(rows.withColumn("close", F.col("close") + 1), str(tmp_path / "reads")), store)
+    assert len(os.listdir(tmp_path / "reads")) == 1
+    held = store.snapshot().select("ticker", "close", "is_carried").collect()
+    assert sorted(map(tuple, held)) == [
+        ("000001.SZ", 3.0, False), ("600000.SH", 2.0, False), ("600000.SH", 2.0, True)]
