@@ -79,3 +79,14 @@ def test_a_refill_reads_its_rows_once(spark, tmp_path):
     held = store.snapshot().select("ticker", "close", "is_carried").collect()
     assert sorted(map(tuple, held)) == [
         ("000001.SZ", 3.0, False), ("600000.SH", 2.0, False), ("600000.SH", 2.0, True)]
+
+
+def test_copies_are_stored_beside_their_row(spark):
+    store, days = new_store(spark), [START + timedelta(days=n) for n in range(20)]
+    rows = spark.createDataFrame(
+        [(d, f"{n}", float(n)) for d in days for n in range(9)], "trade_date date, ticker string, close double")
+    want = sorted((f"{n}", d) for d in days for n in range(9))
+    for write in (store.replace_days, store.upsert, lambda df: late.refill_days(df.withColumn("close", F.lit(0.5)), store)):
+        write(rows)
+        held = spark.table(store.name(PANEL)).withColumn("at", F.monotonically_increasing_id())
+        assert [(r.ticker, r.trade_date) for r in held.orderBy("at").collect()] == want
